@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import mixing, simhash, url_filter
 from .common import table
 
 
@@ -17,7 +17,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op6_mixing)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_url_filter, op6_mixing, op7_simhash)}
 
 ORACLES: dict[str, str] = {}
 
