@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, toxicity, url_filter
+from . import exact_dedup, mixing, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -27,7 +31,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_url_filter, op6_mixing, op7_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op4_url_filter, op6_mixing, op7_simhash)}
 
 ORACLES: dict[str, str] = {}
 
@@ -110,3 +114,9 @@ SELECT f.page_id, f.host, f.path, f.rule,
        CASE WHEN f.rule IS NOT NULL THEN 'rule' WHEN v.vote IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
 FROM fit f LEFT JOIN voted v ON v.node = f.node
 """
+
+ORACLES["op3_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
