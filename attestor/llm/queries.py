@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, simhash, toxicity, url_filter
+from . import exact_dedup, mixing, simhash, toxicity, url_filter, warc
 from .common import table
 
 
@@ -31,7 +31,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op4_url_filter, op6_mixing, op7_simhash)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op4_url_filter, op6_mixing, op7_simhash, op9_warc)}
 
 ORACLES: dict[str, str] = {}
 
