@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, simhash, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, mixing, simhash, token_counts, toxicity, url_filter, warc
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", "matches.item_id", "matches.edits", "matches.start", "matches.end").withColumnsRenamed(
+        {"item_id": "item_ids"}
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,7 +44,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op4_url_filter, op6_mixing, op7_simhash, op9_warc)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_exact_dedup, op4_url_filter, op6_mixing, op7_simhash, op9_warc, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
