@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, simhash, token_counts, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, mixing, quality, simhash, token_counts, toxicity, url_filter, warc
 from .common import table
 
 
@@ -39,6 +39,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_exact_dedup, op4_url_filter, op6_mixing, op7_simhash, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_exact_dedup, op4_url_filter, op6_mixing, op7_simhash, op8_quality, op9_warc, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
