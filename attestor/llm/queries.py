@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, quality, simhash, token_counts, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, mixing, quality, simhash, token_binary, token_counts, toxicity, url_filter, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.token_output(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_exact_dedup, op4_url_filter, op6_mixing, op7_simhash, op8_quality, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_exact_dedup, op4_url_filter, op5_token_binary, op6_mixing, op7_simhash, op8_quality, op9_warc, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
