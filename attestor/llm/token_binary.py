@@ -41,67 +41,81 @@ class Encoder:
     any other piece, is encoded by itself. A test holds the result against the encoding of whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         vocabulary = self.tokenizer.get_vocab()
         self.alphabet = max(vocabulary.values()) + 1
+        self.kind = "<u2" if self.alphabet <= 1 << 16 else "<u4"
         self.ends = np.zeros(self.alphabet, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.by_word = self.ends.any()
-        self.known: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.bodies: dict[str, bytes] = {}
 
-    def _each(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> None:
+        width = np.dtype(self.kind).itemsize
         for at in range(0, len(words), 4096):
             own = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(own) and cuts[-1] == len(ids):
-                self.known.update(zip(own, np.split(ids, cuts[:-1])))
+                raw, ends = ids.tobytes(), (cuts * width).tolist()
+                self.bodies.update(zip(own, (raw[a:b] for a, b in zip([0] + ends[:-1], ends))))
             else:
-                self.known.update(zip(own, self._each(own)))
-
-    def pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of each piece (without ASCII white space)."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        known, parts, words, rest = self.known, [], {}, {}
-        for p in pieces:
+                self.bodies.update(zip(own, self._each(own)))
+
+    def _learn(self, fresh: list[str]) -> None:
+        parts, words, rest = [], {}, {}
+        for p in fresh:
             body = p.rstrip(_TAIL)
             if self.by_word and body.isalpha():
-                body, tail = (body.lower() if body.isascii() else body), p[len(body) :]
-                if body not in known:
+                tail = p[len(body) :]
+                if body.isascii():
+                    body = body.lower()
+                if body not in self.bodies:
                     words[body] = None
-                if tail and tail not in known:
+                if tail and tail not in self.bodies:
                     rest[tail] = None
                 parts.append((body, tail))
             else:
-                if p not in known:
+                if p not in self.bodies:
                     rest[p] = None
                 parts.append((p, ""))
         self._words(list(words))
-        known.update(zip(rest, self._each(list(rest))))
-        return [np.concatenate((known[a], known[b])) if b else known[a] for a, b in parts]
+        self.bodies.update(zip(rest, self._each(list(rest))))
+        known = self.bodies
+        self.pieces.update(zip(fresh, (known[a] + known[b] if b else known[a] for a, b in parts)))
+
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece (without ASCII white space)."""
+        if len(self.pieces) > self.limit:
+            self.pieces, self.bodies = {}, {}
+        known = self.pieces
+        fresh = [p for p in pieces if p not in known]
+        if fresh:
+            self._learn(fresh)
+        return [known[p] for p in pieces]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order (null counts as empty), and the number of each text's ids."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
-        per_piece = self.pieces(flat.dictionary.to_pylist())
-        sizes = np.array([len(p) for p in per_piece], np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-        store = np.concatenate(per_piece) if per_piece else np.empty(0, np.int64)
-        piece = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        many = sizes[piece] if len(piece) else np.empty(0, np.int64)
+        packed = self.ids_of(flat.dictionary.to_pylist())
+        store = np.frombuffer(b"".join(packed), self.kind)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // store.itemsize
+        starts = np.cumsum(sizes) - sizes
+        piece = flat.indices.to_numpy(zero_copy_only=False)
+        many = sizes[piece]
         ends = np.cumsum(many)
-        place = np.repeat(starts[piece] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0) if len(piece) else np.empty(0, np.int64)
+        place = np.repeat(starts[piece] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
         offsets = split.offsets.to_numpy()
         total = np.concatenate(([0], ends))
         return store[place], np.diff(total[offsets - offsets[0]])
@@ -189,8 +203,8 @@ def write_tokens(
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                own = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 4000):
+                own = batch.slice(at, 4000)
                 ids, counts = encoder.batch(own.column(1))
                 # the end id goes behind each document's own ids
                 ids = np.insert(ids, np.cumsum(counts), end_id)
