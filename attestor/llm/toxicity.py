@@ -14,11 +14,11 @@ from .words import Adam, WordTable, bucket, chunks_of, clean, sigmoid
 BUCKETS, DIMS = 1 << 17, 4
 GRAMS = (3, 4, 5)
 #: A bag averages the different words among so many; a text's score is that of its most toxic bag.
-WINDOW = 16
+WINDOW = 6
 #: Neutral subwords added to each bag, so that one odd word alone does not decide.
-PRIOR = 150
+PRIOR = 100
 #: Labelled rows that a model learns from, for each class.
-PER_CLASS = 800
+PER_CLASS = 600
 FOLDS, HELD = 5, 0
 
 
@@ -57,11 +57,12 @@ def train(rows: list[tuple[str, int]], turns: int = 60, rate: float = 0.3) -> Mo
     keep = [i for i, t in enumerate(texts) if t]
     y = np.array([rows[i][1] for i in keep], np.float64)
     texts = [np.array(texts[i]) for i in keep]
-    grams = [subwords(w) for w in number]
+    grams = [np.array(subwords(w), np.int32) for w in number]
     count = np.array([len(g) for g in grams], np.float64)
-    flat = np.array([x for g in grams for x in g], np.int64)
-    owner = np.repeat(np.arange(len(grams)), count.astype(np.int64))
+    flat = np.concatenate(grams)
+    owner = np.repeat(np.arange(len(grams), dtype=np.int32), count.astype(np.int64))
     used, flat = np.unique(flat, return_inverse=True)  # only buckets in use are trained, the others weigh 0
+    flat = flat.astype(np.int32)
     word = np.concatenate(texts)
     pieces = [_windows(len(t)) for t in texts]
     sizes = np.array([len(p) for p in pieces])
@@ -78,14 +79,15 @@ def train(rows: list[tuple[str, int]], turns: int = 60, rate: float = 0.3) -> Mo
     shift = np.zeros(2, np.float32)
     adam = Adam([embed, soft, shift], rate, floor=2e-5)
 
-    def spread(by, values, n):
-        return np.stack([np.bincount(by, values[:, k], n) for k in range(values.shape[1])], 1)
+    def spread(by, values, n, at=slice(None)):
+        """Sums of the rows ``values[at]`` for each of the n values of ``by``, one dimension at a time."""
+        return np.stack([np.bincount(by, np.ascontiguousarray(values[:, k])[at], n) for k in range(values.shape[1])], 1)
 
     total_w = np.bincount(window, count[word], len(starts)) + PRIOR
     total_d = np.bincount(doc, total_w, len(texts))
     for turn in range(turns):
-        by_word = spread(owner, embed[flat], len(grams)).astype(np.float32)
-        sums = spread(window, by_word[word], len(starts))
+        by_word = spread(owner, embed, len(grams), flat).astype(np.float32)
+        sums = spread(window, by_word, len(starts), word)
         if turn < turns // 3:
             bags, of, total = spread(doc, sums, len(texts)), None, total_d
         else:
@@ -103,8 +105,8 @@ def train(rows: list[tuple[str, int]], turns: int = 60, rate: float = 0.3) -> Mo
         else:
             per_window = np.zeros((len(starts), DIMS))
             per_window[of] = back
-        per_word = spread(word, per_window[window], len(grams))
-        grad = spread(flat, per_word[owner], len(used)) + 1e-7 * embed
+        per_word = spread(word, per_window, len(grams), window)
+        grad = spread(flat, per_word, len(used), owner) + 1e-7 * embed
         adam.step([grad.astype(np.float32), (bags.T @ err).astype(np.float32), err.sum(0).astype(np.float32)])
     weight = np.zeros(BUCKETS, np.float32)
     weight[used] = embed @ (soft[:, 1] - soft[:, 0])

@@ -22,7 +22,7 @@ class WordTable:
     """Numbers words from 0 and keeps one value for each in arrays; forgets all when it is full, so its memory is
     bounded whatever the corpus holds."""
 
-    def __init__(self, work_out, kinds, limit: int = 300_000):
+    def __init__(self, work_out, kinds, limit: int = 150_000):
         self.work_out, self.kinds, self.limit = work_out, kinds, limit
         self.clear()
 
