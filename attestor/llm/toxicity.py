@@ -16,9 +16,9 @@ GRAMS = (3, 4, 5)
 #: A bag averages the different words among so many; a text's score is that of its most toxic bag.
 WINDOW = 6
 #: Neutral subwords added to each bag, so that one odd word alone does not decide.
-PRIOR = 100
+PRIOR = 120
 #: Labelled rows that a model learns from, for each class.
-PER_CLASS = 600
+PER_CLASS = 800
 FOLDS, HELD = 5, 0
 
 
