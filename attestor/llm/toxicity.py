@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .training import held_out, labelled_sample
-from .words import Adam, WordTable, bucket, chunks_of, clean, sigmoid
+from .words import Adam, WordTable, chunks_of, clean, sigmoid
 
 BUCKETS, DIMS = 1 << 17, 4
 GRAMS = (3, 4, 5)
@@ -31,14 +31,37 @@ class Model:
     bias: float
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word with its ends marked and of its character n-grams."""
-    marked = f"<{clean(word)}>"
-    if len(marked) == 2:
-        return []
-    return [bucket(marked, BUCKETS)] + [
-        bucket(marked[i : i + n], BUCKETS) for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked)
-    ]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes of 64 bits as buckets."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(64 - 17)).astype(np.int64) & (BUCKETS - 1)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of the words' subwords, by array operations over all words at once: the word with its ends
+    marked, and its character n-grams. A word of punctuation only has none."""
+    marked = [f"<{w}>" for w in map(clean, words)]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(marked)), size)
+    real = size > 2
+    base = np.uint64(0x100000001B3)
+    # the whole word: a sum over its characters, each weighted by a power of its place
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, base, np.uint64))
+    whole = np.add.reduceat(codes * power[place], np.cumsum(size) - size) if len(codes) else codes
+    owners, buckets = [np.flatnonzero(real)], [_mixed(whole + np.uint64(99))[real]]
+    for n in GRAMS:
+        if len(codes) < n:
+            continue
+        h = np.full(len(codes) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = h * base + codes[k : len(codes) - n + 1 + k]
+        own = owner[: len(h)]
+        held = (own == owner[n - 1 :]) & (size[own] > n) & real[own]
+        owners.append(own[held])
+        buckets.append(_mixed(h[held]))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def _windows(n: int) -> np.ndarray:
@@ -57,10 +80,9 @@ def train(rows: list[tuple[str, int]], turns: int = 60, rate: float = 0.3) -> Mo
     keep = [i for i, t in enumerate(texts) if t]
     y = np.array([rows[i][1] for i in keep], np.float64)
     texts = [np.array(texts[i]) for i in keep]
-    grams = [np.array(subwords(w), np.int32) for w in number]
-    count = np.array([len(g) for g in grams], np.float64)
-    flat = np.concatenate(grams)
-    owner = np.repeat(np.arange(len(grams), dtype=np.int32), count.astype(np.int64))
+    owner, flat = subwords(list(number))
+    owner = owner.astype(np.int32)
+    count = np.bincount(owner, minlength=len(number)).astype(np.float64)
     used, flat = np.unique(flat, return_inverse=True)  # only buckets in use are trained, the others weigh 0
     flat = flat.astype(np.int32)
     word = np.concatenate(texts)
@@ -86,7 +108,7 @@ def train(rows: list[tuple[str, int]], turns: int = 60, rate: float = 0.3) -> Mo
     total_w = np.bincount(window, count[word], len(starts)) + PRIOR
     total_d = np.bincount(doc, total_w, len(texts))
     for turn in range(turns):
-        by_word = spread(owner, embed, len(grams), flat).astype(np.float32)
+        by_word = spread(owner, embed, len(number), flat).astype(np.float32)
         sums = spread(window, by_word, len(starts), word)
         if turn < turns // 3:
             bags, of, total = spread(doc, sums, len(texts)), None, total_d
@@ -105,7 +127,7 @@ def train(rows: list[tuple[str, int]], turns: int = 60, rate: float = 0.3) -> Mo
         else:
             per_window = np.zeros((len(starts), DIMS))
             per_window[of] = back
-        per_word = spread(word, per_window, len(grams), window)
+        per_word = spread(word, per_window, len(number), window)
         grad = spread(flat, per_word, len(used), owner) + 1e-7 * embed
         adam.step([grad.astype(np.float32), (bags.T @ err).astype(np.float32), err.sum(0).astype(np.float32)])
     weight = np.zeros(BUCKETS, np.float32)
@@ -121,9 +143,8 @@ class Scorer:
         self.table = WordTable(self._work_out, (np.float64, np.int64))
 
     def _work_out(self, words):
-        grams = [subwords(w) for w in words]
-        sums = np.array([self.model.weight[g].sum(dtype=np.float64) if g else 0.0 for g in grams])
-        return sums, np.array([len(g) for g in grams], np.int64)
+        owner, grams = subwords(words)
+        return np.bincount(owner, self.model.weight[grams], len(words)), np.bincount(owner, minlength=len(words))
 
     def logit(self, text: str | None) -> float:
         words = chunks_of(text)
