@@ -18,7 +18,7 @@ from .mixing_coder import BLOCK, _cut, decode, encode
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Tokens in a segment, the unit of writing and reading: whole documents, cut into blocks.
-SEGMENT = 3_000_000
+SEGMENT = 2_000_000
 MAGIC = b"ATOK"
 _HEAD = struct.Struct("<4sHIQII")  # magic, version, alphabet, tokens, documents, blocks
 _BLOCK = struct.Struct("<III")  # tokens, coded bytes, crc32 of the ids as 32-bit integers
@@ -41,7 +41,7 @@ class Encoder:
     any other piece, is encoded by itself. A test holds the result against the encoding of whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 80_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -203,8 +203,8 @@ def write_tokens(
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1500):
-                own = batch.slice(at, 1500)
+            for at in range(0, batch.num_rows, 600):
+                own = batch.slice(at, 600)
                 ids, counts = encoder.batch(own.column(1))
                 # the end id goes behind each document's own ids
                 ids = np.insert(ids, np.cumsum(counts), end_id)
