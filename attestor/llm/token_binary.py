@@ -41,7 +41,7 @@ class Encoder:
     any other piece, is encoded by itself. A test holds the result against the encoding of whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 80_000):
+    def __init__(self, path: str, limit: int = 60_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,6 +54,7 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.by_word = self.ends.any()
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bodies: dict[str, bytes] = {}
 
     def _each(self, pieces: list[str]) -> list[bytes]:
@@ -94,11 +95,14 @@ class Encoder:
         self.pieces.update(zip(fresh, (known[a] + known[b] if b else known[a] for a, b in parts)))
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The packed ids of each piece (without ASCII white space)."""
+        """The packed ids of each piece (without ASCII white space). Of two generations of pieces the older one is
+        forgotten when the younger one is full; pieces that are met again pass over to the younger."""
         if len(self.pieces) > self.limit:
-            self.pieces, self.bodies = {}, {}
-        known = self.pieces
-        fresh = [p for p in pieces if p not in known]
+            self.older, self.pieces, self.bodies = self.pieces, {}, {}
+        known, older = self.pieces, self.older
+        missing = [p for p in pieces if p not in known]
+        known.update((p, older[p]) for p in missing if p in older)
+        fresh = [p for p in missing if p not in older]
         if fresh:
             self._learn(fresh)
         return [known[p] for p in pieces]
@@ -203,8 +207,8 @@ def write_tokens(
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 600):
-                own = batch.slice(at, 600)
+            for at in range(0, batch.num_rows, 1000):
+                own = batch.slice(at, 1000)
                 ids, counts = encoder.batch(own.column(1))
                 # the end id goes behind each document's own ids
                 ids = np.insert(ids, np.cumsum(counts), end_id)
