@@ -167,7 +167,7 @@ def _scaler(unit: str, zeros: int):
 
 def rag_text(col: Column, turns: int = 3) -> Column:
     """Query text for retrieval: lower case, no leading demonstrative, scaled numbers written out (``turns`` of each
-    unit), no currency sign, per cent in words, no empty adjectives, no light stopwords or single characters."""
+    unit), no currency sign, percent signs as a word, no empty adjectives, no light stopwords or single characters."""
     out = F.regexp_replace(F.lower(F.trim(col)), r"^(isso|este|esta|esse|essa|aquilo|aquele|aquela)\s+", "")
     for unit, zeros in (("bilhões?", 9), ("milhões?", 6), (r"mil(?![\p{L}\p{N}_])", 3)):
         for _ in range(turns):
