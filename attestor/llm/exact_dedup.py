@@ -159,7 +159,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     named = work.save(name_texts(rows, work, block, prints), "named")
     best = F.max(F.struct(F.col("id"), F.col("row")))
-    groups = named.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join below reads two plain shuffles and AQE may split a large group
+    groups = work.save(named.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select(
         F.col("id").alias("doc_id"),
         F.col("best.id").alias("keep_id"),
