@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc", ma
 
     Alternating large-star and small-star steps: each node's neighbours are rehung on the smallest node seen, so a
     long chain takes a logarithmic number of rounds. A hub with very many neighbours is never gathered: its minimum
-    is a partially aggregated sum-like state and its edges meet that one row in a join that AQE may split. Every
+    is a partially aggregated state, written first, and its edges meet that one row in a join that AQE may split. Every
     round is written to the shared folder, and only a row count and a checksum reach the driver.
     """
     ends = edges.select("a", "b").where("a is not null and b is not null and a <> b")
@@ -30,8 +30,10 @@ def connected_components(edges: DataFrame, work: Workspace, name: str = "cc", ma
         state = (now["n"], now["h"])
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = work.save(least, f"{name}_least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = work.save(large, f"{name}_large")
+        low = work.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}_low")
         rest = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = rest.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         new = work.save(small, f"{name}_{turn}")

@@ -15,9 +15,8 @@ from .components import connected_components
 
 #: References are random 64-bit words of a fixed generator, the same on every executor.
 PIVOTS = 32
-#: A fingerprint is cut into so many segments; links of 3 bits leave at least SAME of them equal.
+#: A fingerprint is cut into so many segments; links of 3 bits leave at least SEGMENTS - RADIUS of them equal.
 SEGMENTS, RADIUS = 5, 3
-SAME = SEGMENTS - RADIUS
 #: Fingerprints that share a key are compared in blocks of this many.
 BLOCK = 4096
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -153,7 +152,8 @@ def links(distinct: DataFrame, work: Workspace, radius: int = RADIUS, segments:
     deal = F.array(*[_key(m, k) for k, m in enumerate(masks)])
     keyed = distinct.select("fp", F.explode(deal).alias("key"))
     sizes = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("s"))
-    keyed = keyed.join(sizes, "key")
+    # written, as below: a join of two plain shuffles, of which AQE may split a large key
+    keyed = keyed.join(work.save(sizes, "sizes"), "key")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("s")).cast("int")
     # a block meets every block, itself too
     mates = F.when(F.col("s") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("s") - 1))
@@ -217,7 +217,7 @@ def near_duplicates(
     found = work.save(links(groups.select("fp"), work, radius, segments).distinct(), "links")
     parts = connected_components(found, work).select(F.col("node").alias("fp"), "component")
     groups = groups.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = work.save(groups.groupBy("component").agg(F.min("least").alias("component_id")), "names")
     groups = work.save(groups.join(names, "component").select("fp", "component_id"), "named")
     return prints.join(groups, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
