@@ -11,7 +11,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions.numbers import cosine, round_at
 
 #: Values of the query side that one pass holds in a task: rows times dimensions.
-PASS_VALUES = 20_000_000
+PASS_VALUES = 2_000_000
 
 
 def hashed_embedding(col: Column, dims: int = 64) -> Column:
