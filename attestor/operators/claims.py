@@ -36,18 +36,16 @@ TYPES = [
 ]
 
 
-def signals(col: Column) -> dict[str, Column]:
-    found = {name: col.rlike(pattern) for name, pattern in SIGNALS.items()}
-    found["quantity"] = found["quantity"] & ~found["numeric"]
-    return found
-
-
 def with_signals(sentences: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``signals`` (those present, in the order of SIGNALS) and ``points``, their weights in hundredths."""
-    found = signals(F.trim(F.col(text_col)))
+    """Adds ``signals`` (those present, in the order of SIGNALS) and ``points``, their weights in hundredths. Each
+    pattern is matched once, into a struct that both columns read. A quantity counts only without a numeric signal."""
+    text = F.trim(F.col(text_col))
+    rows = sentences.withColumn("__s", F.struct(*[text.rlike(pattern).alias(name) for name, pattern in SIGNALS.items()]))
+    found = {name: F.col(f"__s.{name}") for name in SIGNALS}
+    found["quantity"] = found["quantity"] & ~found["numeric"]
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))
     points = sum((F.when(c, F.lit(lx.SIGNAL_WEIGHTS[n])).otherwise(F.lit(0)) for n, c in found.items()), F.lit(0))
-    return sentences.withColumn("signals", names).withColumn("points", points)
+    return rows.withColumn("signals", names).withColumn("points", points).drop("__s")
 
 
 def decide(sentences: DataFrame, text_col: str = "text") -> DataFrame:
@@ -145,22 +143,25 @@ def checkability(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.trim(F.col(text_col))
     flag = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0))
     names = F.size("entities")
+    matched = F.struct(t.rlike(OPINION).alias("opinion"), t.rlike(FACTUAL).alias("factual"))
+    sentences = sentences.withColumn("__m", matched)
+    opinion, factual = F.col("__m.opinion"), F.col("__m.factual")
     points = (
-        F.least(F.lit(30), 10 * names) + flag(t.rlike(ANY_NUMBER), 20) + flag(F.col("indicative"), 20) + flag(t.rlike(FACTUAL), 20)
-        + flag(t.rlike(CITATION), 15) + flag(F.col("has_subject"), 10) - flag(F.col("modal"), 15) - flag(t.rlike(OPINION), 20)
+        F.least(F.lit(30), 10 * names) + flag(t.rlike(ANY_NUMBER), 20) + flag(F.col("indicative"), 20) + flag(factual, 20)
+        + flag(t.rlike(CITATION), 15) + flag(F.col("has_subject"), 10) - flag(F.col("modal"), 15) - flag(opinion, 20)
     )
     out = sentences.withColumn("__p", F.greatest(F.lit(0), F.least(F.lit(100), points)))
     p = F.col("__p")
     rules = [
         (F.length(t) < 25, "noise", F.lit(100)), (F.endswith(t, F.lit("?")) | t.rlike(QUESTION), "rhetorical", F.lit(95)),
-        (t.rlike(CALL), "noise", F.lit(95)), (t.rlike(OPINION) & ~t.rlike(FACTUAL), "opinion", F.lit(85)),
+        (t.rlike(CALL), "noise", F.lit(95)), (opinion & ~factual, "opinion", F.lit(85)),
         ((p >= 25) | ((p >= 10) & (names > 0)), "checkable", p), (F.col("modal") & ~F.col("indicative"), "opinion", 100 - p),
     ]
     label, value = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2])
     for test, name, points_ in rules[1:]:
         label, value = label.when(test, name), value.when(test, points_)
     out = out.withColumn("label", label.otherwise("noise")).withColumn("label_confidence", value.otherwise(80) / 100.0)
-    return out.withColumn("score", p / 100.0).drop("__p")
+    return out.withColumn("score", p / 100.0).drop("__p", "__m")
 
 
 def detect(sentences: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
