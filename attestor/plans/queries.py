@@ -13,7 +13,7 @@ from .. import lexicons as lx
 from ..functions import text as tx
 from ..functions import urls
 from ..functions.numbers import number_tokens, round_at
-from ..operators import chunks, claims, classify, clean, features, index, pages, retrieve, score, segment, stance, vectors
+from ..operators import chunks, claims, classify, clean, crawl, features, index, pages, retrieve, score, segment, stance, vectors
 from . import sql as q
 
 QUERIES: dict = {}
@@ -651,6 +651,35 @@ def search_queries(spark, d):
     return rows.select("claim_id", retrieve.search_query(F.col("text"), F.col("entities"), F.col("subject")).alias("web"), F.array_join(listed, " || ").alias("vector"))
 
 
+@query()
+def crawl_numbers(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.explode(crawl.mentions("text")).alias("m"))
+    return rows.select("doc_id", "m.*")
+
+
+@query()
+def crawl_queries(spark, d):
+    rows = _claims(spark, d).withColumn("entities", tx.entities(F.col("text")))
+    rows = rows.withColumn("strong", crawl.strong_entities(F.col("text"), F.col("entities"), tx.subject(F.col("text"), F.col("entities")), F.col("text")))
+    rows = rows.withColumn("numbers", crawl.required("text"))
+    news = crawl.news_queries(F.col("text"), F.col("entities"), F.lit(""), F.lit(""))
+    return rows.select("claim_id", crawl.crawl_query(F.col("text"), F.col("strong"), F.col("numbers")).alias("query"), F.array_join(news, " || ").alias("news"))
+
+
+@query()
+def crawl_candidates(spark, d):
+    """Claims against pages with two significant tokens in common, by their best excerpt, with the strict filter's reason."""
+    page_rows = _articles(spark, d).select(F.col("page_id").alias("evidence_id"), "url", "title", F.array_join("blocks", "\n").alias("body"))
+    left = retrieve.prepared(_claims(spark, d), "text", "claim")
+    right = retrieve.prepared(page_rows, "body", "evidence")
+    pairs = retrieve.token_pairs(left, right, least=6)
+    rows = pairs.join(left.select("claim_id", F.col("text").alias("claim_text")), "claim_id").join(page_rows, "evidence_id")
+    best = crawl.excerpts(rows, key=("claim_id", "evidence_id"))
+    rows = rows.drop("body").join(best, ["claim_id", "evidence_id"]).withColumnRenamed("excerpt", "evidence_text")
+    rows = rows.withColumn("claim_entities", tx.entities(F.col("claim_text"))).withColumn("context", F.lit(""))
+    return crawl.judge(rows).select("claim_id", "evidence_id", "reason", "similarity")
+
+
 # --- rerank, stance, score --------------------------------------------------------------------------------------------
 
 _ST = lambda x: q.set_without(q.words(x, "[a-z0-9][a-z0-9-]{2,}"), lx.STANCE_STOPWORDS)
