@@ -33,15 +33,15 @@ class _Lanes:
         self.n, self.ids = n, ids
         lane = np.arange(n, dtype=np.int64)
         self.base, self.mix_base, self.class_base, self.member_base = lane * SLOTS, lane * 32, lane * (CLASSES + 1), lane * MEMBERS
-        self.one = np.zeros(n * SLOTS, np.int32)  # (id + 1) << 4 | confidence
+        self.one = np.zeros(n * SLOTS, np.int32)  # (id + 1) << 2 | confidence; 0 where empty
         self.two = np.zeros(n * SLOTS, np.int32)
         self.w2, self.w1, self.w0 = (np.full(n * 32, k, np.int64) for k in (STEP, STEP, 4 * STEP))
         self.slots = np.zeros(n * SLOTS, np.int64)  # (id + 1) << 32 | place in its class << 16 | count
         self.member = np.zeros(n * MEMBERS, np.int16)
         self.held = np.zeros(n * (CLASSES + 1), np.int64)  # slots in a class
         self.held[self.class_base + NEW] = ids
-        self.sums = np.zeros((n, CLASSES + 1), np.int64)  # counts in a class
-        self.sums[:, NEW] = 1
+        self.sums = np.zeros((CLASSES + 1, n), np.int32)  # counts in a class
+        self.sums[NEW] = 1
         self.p1 = np.zeros(n, np.int64)
         self.p2 = np.zeros(n, np.int64)
         self.low = np.zeros(n, np.uint64)
@@ -51,18 +51,19 @@ class _Lanes:
     def shrink(self, k: int) -> None:
         """Keeps the first k lanes."""
         if k < len(self.p1):
-            for name in ("base", "mix_base", "class_base", "member_base", "p1", "p2", "low", "range", "sums"):
+            for name in ("base", "mix_base", "class_base", "member_base", "p1", "p2", "low", "range"):
                 setattr(self, name, getattr(self, name)[:k])
+            self.sums = self.sums[:, :k]
 
     def predict(self) -> None:
         a = self.p1 * 40503
         self.i1 = self.base + ((a >> 3) & (SLOTS - 1))
         self.i2 = self.base + (((a ^ (self.p2 * 52711)) >> 2) & (SLOTS - 1))
         self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
-        self.s1, self.s2 = (self.e1 >> 4) - 1, (self.e2 >> 4) - 1
-        self.c1, self.c2 = self.e1 & 15, self.e2 & 15
+        self.s1, self.s2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
+        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
         agree = self.s1 == self.s2
-        self.at = self.mix_base + (agree * 16 + np.minimum(self.c2, 3) * 4 + np.minimum(self.c1, 3))
+        self.at = self.mix_base + ((agree << np.int32(4)) + (self.c2 << 2) + self.c1)
         self.f2 = self.w2[self.at] * (self.c2 > 0)
         self.f1 = self.w1[self.at] * ((self.c1 > 0) & ~agree)
         self.f0 = self.w0[self.at]
@@ -76,10 +77,9 @@ class _Lanes:
             over = self.w2 + self.w1 + self.w0 > LIMIT
             for w in (self.w2, self.w1, self.w0):
                 w[over] = (w[over] + 1) >> 1
-        fresh = (sym + 1) << 4 | 1
+        fresh = ((sym + 1) << 2 | 1).astype(np.int32)
         for table, i, e, s, c in ((self.one, self.i1, self.e1, self.s1, self.c1), (self.two, self.i2, self.e2, self.s2, self.c2)):
-            same = s == sym
-            table[i] = np.where(same, e + (c < 15), np.where(c > 1, e - 1, fresh))
+            table[i] = np.where(s == sym, e + (c < 3), fresh)
         self.p2, self.p1 = self.p1, sym + 1
 
     def slot(self, sym: np.ndarray) -> np.ndarray:
@@ -95,13 +95,13 @@ class _Lanes:
             now = entry[k] + 1
             self.slots[sk] = now
             n = now & 0xFFFF
-            self.sums[zk, ck] += 1
+            self.sums[ck, zk] += 1
             up = np.flatnonzero(_CLASS[n] != ck)
             if len(up):
                 self._leave(zk[up], slot[k][up], ck[up])
                 self._enter(zk[up], slot[k][up], ck[up] + 1)
-                self.sums[zk[up], ck[up]] -= n[up]
-                self.sums[zk[up], ck[up] + 1] += n[up]
+                self.sums[ck[up], zk[up]] -= n[up]
+                self.sums[ck[up] + 1, zk[up]] += n[up]
         k = np.flatnonzero(~known)
         if len(k):
             zk, sk, slots = z[k], si[k], slot[k]
@@ -109,11 +109,11 @@ class _Lanes:
             if len(old):
                 n = entry[k][old] & 0xFFFF
                 self._leave(zk[old], slots[old], _CLASS[n])
-                self.sums[zk[old], _CLASS[n]] -= n
+                self.sums[_CLASS[n], zk[old]] -= n
             self.slots[sk] = (sym[k] + 1) << 32 | 1
             self._enter(zk, slots, np.zeros(len(k), np.int64))
-            self.sums[zk, 0] += 1
-            self.sums[zk, NEW] += 1
+            self.sums[0, zk] += 1
+            self.sums[NEW, zk] += 1
 
     def _leave(self, z, slot, cls) -> None:
         ci = self.class_base[z] + cls
@@ -137,7 +137,8 @@ class _Lanes:
     def ready(self) -> np.ndarray | None:
         """Lanes whose top 16 bits are settled (a range that gets too small is cut so that they are)."""
         settled = (self.low ^ (self.low + self.range)) < _TOP
-        small = ~settled & (self.range < _BOTTOM)
+        small = self.range < _BOTTOM
+        small &= ~settled
         if small.any():
             self.range[small] = (~self.low[small] + np.uint64(1)) & _LOW_MASK
             settled |= small
@@ -187,11 +188,11 @@ def encode(ids: np.ndarray, lengths: np.ndarray, alphabet: int) -> list[bytes]:
             entry = lanes.slots[si]
             known = entry >> 32 == own + 1
             cls = np.where(known, _CLASS[entry & 0xFFFF], NEW)
-            rows = lanes.sums[z]
-            cum = np.cumsum(rows, axis=1)
-            pick = np.arange(len(z)) * (CLASSES + 1) + cls
+            rows = lanes.sums[:, z]
+            cum = np.cumsum(rows, axis=0, dtype=np.int32)
+            pick = cls * len(z) + np.arange(len(z))
             top, width = cum.ravel()[pick], rows.ravel()[pick]
-            unit = lanes.range[z] // cum[:, -1].astype(np.uint64)
+            unit = lanes.range[z] // cum[-1].astype(np.uint64)
             low = lanes.low[z] + unit * (top - width).astype(np.uint64)
             unit = (unit * width.astype(np.uint64)) // lanes.held[lanes.class_base[z] + cls].astype(np.uint64)
             lanes.low[z] = low + unit * np.where(known, (entry >> 16) & 0xFFFF, own).astype(np.uint64)
@@ -238,12 +239,12 @@ def decode(blocks: list[bytes], lengths: np.ndarray, alphabet: int) -> np.ndarra
         lanes.range = unit * np.where(hit2, f2, np.where(hit1, f1, f0)).astype(np.uint64)
         z = np.flatnonzero(~(hit2 | hit1))
         if len(z):
-            rows = lanes.sums[z]
-            cum = np.cumsum(rows, axis=1)
-            unit = lanes.range[z] // cum[:, -1].astype(np.uint64)
+            rows = lanes.sums[:, z]
+            cum = np.cumsum(rows, axis=0, dtype=np.int32)
+            unit = lanes.range[z] // cum[-1].astype(np.uint64)
             u = ((code[z] - lanes.low[z]) // unit).astype(np.int64)
-            cls = np.minimum((cum <= u[:, None]).sum(1), NEW)
-            pick = np.arange(len(z)) * (CLASSES + 1) + cls
+            cls = np.minimum((cum <= u).sum(axis=0), NEW)
+            pick = cls * len(z) + np.arange(len(z))
             top, width = cum.ravel()[pick], rows.ravel()[pick]
             low = lanes.low[z] + unit * (top - width).astype(np.uint64)
             held = lanes.held[lanes.class_base[z] + cls]

@@ -18,7 +18,7 @@ from .mixing_coder import BLOCK, _cut, decode, encode
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Tokens in a segment, the unit of writing and reading: whole documents, cut into blocks.
-SEGMENT = 2_000_000
+SEGMENT = 3_000_000
 MAGIC = b"ATOK"
 _HEAD = struct.Struct("<4sHIQII")  # magic, version, alphabet, tokens, documents, blocks
 _BLOCK = struct.Struct("<III")  # tokens, coded bytes, crc32 of the ids as 32-bit integers
