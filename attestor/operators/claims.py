@@ -143,9 +143,10 @@ def checkability(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.trim(F.col(text_col))
     flag = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0))
     names = F.size("entities")
-    matched = F.struct(t.rlike(OPINION).alias("opinion"), t.rlike(FACTUAL).alias("factual"))
-    sentences = sentences.withColumn("__m", matched)
-    opinion, factual = F.col("__m.opinion"), F.col("__m.factual")
+    # each pattern that several columns read is matched once
+    patterns = {"opinion": OPINION, "factual": FACTUAL, "question": QUESTION, "call": CALL}
+    sentences = sentences.withColumn("__m", F.struct(*[t.rlike(p).alias(n) for n, p in patterns.items()]))
+    opinion, factual, question, call = (F.col(f"__m.{n}") for n in patterns)
     points = (
         F.least(F.lit(30), 10 * names) + flag(t.rlike(ANY_NUMBER), 20) + flag(F.col("indicative"), 20) + flag(factual, 20)
         + flag(t.rlike(CITATION), 15) + flag(F.col("has_subject"), 10) - flag(F.col("modal"), 15) - flag(opinion, 20)
@@ -153,8 +154,8 @@ def checkability(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     out = sentences.withColumn("__p", F.greatest(F.lit(0), F.least(F.lit(100), points)))
     p = F.col("__p")
     rules = [
-        (F.length(t) < 25, "noise", F.lit(100)), (F.endswith(t, F.lit("?")) | t.rlike(QUESTION), "rhetorical", F.lit(95)),
-        (t.rlike(CALL), "noise", F.lit(95)), (opinion & ~factual, "opinion", F.lit(85)),
+        (F.length(t) < 25, "noise", F.lit(100)), (F.endswith(t, F.lit("?")) | question, "rhetorical", F.lit(95)),
+        (call, "noise", F.lit(95)), (opinion & ~factual, "opinion", F.lit(85)),
         ((p >= 25) | ((p >= 10) & (names > 0)), "checkable", p), (F.col("modal") & ~F.col("indicative"), "opinion", 100 - p),
     ]
     label, value = F.when(rules[0][0], rules[0][1]), F.when(rules[0][0], rules[0][2])
