@@ -1,0 +1,252 @@
+"""Near-duplicates by word shingles: all pairs of a Jaccard similarity of at least 4/5, found by prefixes, verified."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import Workspace
+from .components import connected_components
+from .simhash import keep_least, shingle_spans
+
+#: Words in a shingle. Two sets are similar where 5 * common >= 4 * joined, or size + size >= 9 * different.
+WORDS = 5
+#: Documents whose shingles are counted to find common ones, and the most of these that are kept.
+SAMPLE, COMMON = 5_000, 200_000
+#: Holders of a shingle are sorted by size; each meets so many before it, and those powers of two before it.
+LAGS = 32
+#: Ids up to this many are broadcast when texts are read again.
+BROADCAST = 1_000_000
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted XXH64 (seed 42) of the text's different shingles; none for a text without words."""
+    joined, spans = shingle_spans(text, words)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64))
+
+
+def node_of(own: np.ndarray) -> int:
+    """The name of a set of shingles, a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of ``own`` in an order that all sets share: rare shingles by hash, then common ones by ``rank``. Two
+    similar sets have one in both their prefixes, whatever the order."""
+    size = len(own)
+    if not size:
+        return own
+    need = size - (4 * size + 4) // 5 + 1
+    at = np.minimum(np.searchsorted(common, own), max(0, len(common) - 1))
+    held = common[at] == own if len(common) else np.zeros(size, bool)
+    out = own[~held][:need]
+    if len(out) < need:
+        late = own[held]
+        out = np.concatenate([out, late[np.argsort(rank[at[held]], kind="stable")][: need - len(out)]])
+    return out
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """The parity of the number of shingles with each remainder: as many bits differ between two sets as shingles do,
+    or fewer. At least 256 bits and two for each shingle."""
+    bits = 1 << max(8, int(2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.unpackbits(x ^ y).sum())
+
+
+@F.arrow_udf(T.BooleanType())
+def _possible(a: pa.Array, b: pa.Array, size: pa.Array) -> pa.Array:
+    return pa.array([9 * least_difference(x.as_py(), y.as_py()) <= n.as_py() for x, y, n in zip(a, b, size)], pa.bool_())
+
+
+def common_shingles(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several documents of a sample hold, and the rank of each by their number. They only order
+    the shingles, so the sample changes the effort and never the result."""
+    total = rows.count()
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64))], ["tok"])
+
+    picked = rows.sample(min(1.0, sample / max(1, total)), 42).mapInArrow(run, "tok long")
+    many = picked.groupBy("tok").count().where("count > 2").orderBy(F.desc("count"), "tok").limit(COMMON).toPandas()
+    own, count = many["tok"].to_numpy(np.int64).view(np.uint64), many["count"].to_numpy(np.int64)
+    order = np.argsort(own)
+    rank = np.empty(len(own), np.int64)
+    rank[np.lexsort((own, count))] = np.arange(len(own))
+    return own[order], rank[order]
+
+
+def _prints(rows: DataFrame, common) -> DataFrame:
+    """``doc_id, node, n, sketch, prefix``; the last two are null for sets met before in the same partition."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        order, seen = common.value, set()
+        for batch in batches:
+            out = [[], [], [], []]
+            for t in batch.column(1):
+                own = shingles(t.as_py())
+                node = node_of(own)
+                first = node not in seen
+                seen.add(node)
+                for to, x in zip(out, (node, len(own), sketch(own) if first else None, prefix(own, *order).view(np.int64) if first else None)):
+                    to.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], ["doc_id", "node", "n", "sketch", "prefix"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, node long, n int, sketch binary, prefix array<long>")
+
+
+def _by_shingle(rows: DataFrame, settle, schema: str) -> DataFrame:
+    """``settle`` over whole groups of one ``tok``, the first column, sorted by the others."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "tok").sortWithinPartitions(*rows.columns)
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            own = own if kept is None else [np.concatenate(x) for x in zip(kept, own)]
+            if len(own[0]):
+                last = int(np.searchsorted(own[0], own[0][-1], "left"))
+                if last:
+                    yield from settle([x[:last] for x in own])
+                kept = [x[last:].copy() for x in own]
+        if kept is not None:
+            yield from settle(kept)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _pair_batch(a, b, size, tok=None) -> pa.RecordBatch:
+    """Pairs, smaller node first, or, without ``b``, rows of a shingle's holders."""
+    low, high = (pa.array(a), pa.nulls(len(a), pa.int64())) if b is None else map(pa.array, (np.minimum(a, b), np.maximum(a, b)))
+    tok = pa.nulls(len(a), pa.int64()) if tok is None else pa.array(tok)
+    return pa.RecordBatch.from_arrays([low, high, pa.array(size.astype(np.int32)), tok], ["a", "b", "n", "tok"])
+
+
+def _meet(lags: int):
+    """Pairs of sets with a common prefix shingle, all of those up to ``lags`` places apart; and the rows of groups
+    that hold others (b null)."""
+
+    def settle(rows):
+        tok, n, node = rows
+        fresh = np.append(True, (tok[1:] != tok[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1]))[: len(tok)]
+        tok, n, node = tok[fresh], n[fresh].astype(np.int64), node[fresh]
+        lag = 1
+        while lag < len(tok):
+            same = tok[lag:] == tok[:-lag]
+            if not same.any():
+                break
+            at = np.flatnonzero(same & (5 * n[:-lag] >= 4 * n[lag:]))
+            if len(at):
+                yield _pair_batch(node[at], node[at + lag], n[at] + n[at + lag])
+            lag = lag + 1 if lag < lags else 1 << lag.bit_length()
+        starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
+        many = np.diff(np.append(starts, len(tok)))
+        wide = np.repeat(many > lags + 1, many)
+        if wide.any():
+            yield _pair_batch(node[wide], None, n[wide], tok[wide])
+
+    return settle
+
+
+def _meet_rest(rows):
+    """All pairs of a group that are not joined yet."""
+    tok, n, node, part = rows
+    starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(tok)).tolist()):
+        size, own, of = n[a:b].astype(np.int64), node[a:b], part[a:b]
+        if (of == of[0]).all():
+            continue
+        for at in range(0, b - a, 256):
+            x = np.arange(at, min(at + 256, b - a))
+            i, j = np.nonzero((of[x][:, None] != of[None, :]) & (x[:, None] < np.arange(b - a)) & (5 * size[x][:, None] >= 4 * size[None, :]))
+            if len(i):
+                yield _pair_batch(own[x[i]], own[j], size[x[i]] + size[j])
+
+
+def _verified(rows: DataFrame, prints: DataFrame, sketches: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b, n) that are similar: sketches discard, shingles decide."""
+    pairs = pairs.distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}")), side)
+    pairs = work.save(pairs.where(_possible("sa", "sb", "n")).select("a", "b", "n"), f"{name}_possible")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = work.save(prints.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{name}_ids")
+    wanted = ids.select("doc_id").distinct()
+    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST else wanted
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t.as_py()) for t in batch.column(0)]
+            nodes = pa.array([node_of(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "own"])
+
+    texts = rows.join(wanted, "doc_id", "left_semi").select("text")
+    sets = work.save(texts.mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"]), f"{name}_sets")
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("own").alias(f"o{side}")), side)
+    both = F.size(F.array_intersect("oa", "ob"))
+    return work.save(pairs.where(5 * both >= 4 * (F.col("n") - both)).select("a", "b"), f"{name}_links")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lags: int = LAGS, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, component_id`` for each row of ``docs`` with an id.
+
+    Documents link where the sets of their shingles of five words have a Jaccard similarity of 0.8 or more;
+    ``component_id`` is the smallest doc_id reachable over links. Words are those of ``simhash.near_duplicates``; a
+    text of fewer than five is one shingle; texts without words are alike. Rows without an id take no part. Repeated
+    rows are returned as often as they occur; an empty table gives no rows.
+
+    No similar pair is left out but those joined by others: similar sets share a shingle among the first fifth in any
+    order, so each set is dealt by these, rare ones first. Of a shingle with many holders, near ones meet first and
+    then those that are not joined yet. Equal sets are one; texts are never shuffled by shingle.
+    """
+    work = Workspace(docs.sparkSession, "shingles")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, sample))
+    prints = work.save(_prints(rows, common), "prints")
+    groups = work.save(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "groups")
+    schema = "a long, b long, n int, tok long"
+    dealt = prints.where("prefix is not null").select(F.explode("prefix").alias("tok"), "n", "node")
+    met = work.save(_by_shingle(dealt, _meet(lags), schema), "met")
+    near = met.where("b is not null").select("a", "b", "n")
+    involved = met.select(F.col("a").alias("node")).unionByName(met.where("b is not null").select(F.col("b").alias("node"))).distinct()
+    sketches = prints.where("sketch is not null").select("node", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
+    sketches = work.save(sketches, "sketches")
+    found = _verified(rows, prints, sketches, near, work, "near")
+    parts = connected_components(found, work, "cc")
+    wide = met.where("b is null")
+    if not wide.isEmpty():
+        held = wide.select("tok", "n", F.col("a").alias("node")).join(parts, "node", "left")
+        held = held.select("tok", "n", "node", F.coalesce("component", "node").alias("part"))
+        rest = work.save(_by_shingle(held, _meet_rest, schema).select("a", "b", "n").distinct(), "rest")
+        found = found.unionByName(_verified(rows, prints, sketches, rest, work, "rest"))
+        parts = connected_components(found, work, "all")
+    parts = parts.select("node", "component")
+    groups = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = work.save(groups.groupBy("component").agg(F.min("least").alias("component_id")), "names")
+    groups = work.save(groups.join(names, "component").select("node", "component_id"), "named")
+    return prints.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``simhash.keep_one`` for the near-duplicates of this module."""
+    return keep_least(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **how), id_col)

@@ -22,18 +22,22 @@ BLOCK = 4096
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64 bits: bit i is set where over half of the shingles' XXH64 (seed 42) have it set."""
+def shingle_spans(text: str | None, words: int):
+    """The text's words, A-Z lower-cased, joined by single spaces, and the places of its shingles in that."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
     joined = memoryview(b" ".join(found))
     if len(found) <= words:
-        spans = [(0, len(joined))]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))
-        spans = zip(starts[: 1 - words].tolist(), (ends[words - 1 :] - 1).tolist())
+        return joined, [(0, len(joined))] if found else []
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    return joined, zip(starts[: 1 - words].tolist(), (ends[words - 1 :] - 1).tolist())
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64 bits: bit i is set where over half of the shingles' XXH64 (seed 42) have it set."""
+    joined, spans = shingle_spans(text, words)
+    if not len(joined):
+        return 0
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
     total = np.zeros(64, np.int64)
@@ -229,7 +233,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without an id stay; of rows with one id, one stays.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    return keep_least(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **how), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``found`` (``doc_id, component_id``), and those without an id."""
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.join(keep, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
