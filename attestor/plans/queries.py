@@ -668,12 +668,14 @@ def crawl_queries(spark, d):
 
 @query()
 def crawl_candidates(spark, d):
-    """Claims against pages with two significant tokens in common, by their best excerpt, with the strict filter's reason."""
+    """Claims against pages that share one of the claim's phrase tokens (claims of up to five) or two, which the strict
+    filter asks for, by their best excerpt, with the filter's reason."""
     page_rows = _articles(spark, d).select(F.col("page_id").alias("evidence_id"), "url", "title", F.array_join("blocks", "\n").alias("body"))
-    left = retrieve.prepared(_claims(spark, d), "text", "claim")
+    left = _claims(spark, d).withColumn("claim_tokens", tx.phrase_tokens(F.col("text")))
     right = retrieve.prepared(page_rows, "body", "evidence")
-    pairs = retrieve.token_pairs(left, right, least=6)
-    rows = pairs.join(left.select("claim_id", F.col("text").alias("claim_text")), "claim_id").join(page_rows, "evidence_id")
+    least = F.when(F.size("claim_tokens") <= 5, 1).otherwise(2)
+    pairs = retrieve.token_pairs(left, right, least=1).join(left.select("claim_id", F.col("text").alias("claim_text"), least.alias("least")), "claim_id")
+    rows = pairs.where(F.col("overlap") >= F.col("least")).drop("least").join(page_rows, "evidence_id")
     best = crawl.excerpts(rows, key=("claim_id", "evidence_id"))
     rows = rows.drop("body").join(best, ["claim_id", "evidence_id"]).withColumnRenamed("excerpt", "evidence_text")
     rows = rows.withColumn("claim_entities", tx.entities(F.col("claim_text"))).withColumn("context", F.lit(""))
