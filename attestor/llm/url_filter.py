@@ -73,25 +73,62 @@ def match_rules_table(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     return df.join(best, key, "left")
 
 
+def decode_entities(col: Column) -> Column:
+    """Numeric references and ``&amp; &lt; &gt; &quot; &apos;`` as characters, each once; others stay."""
+    parts = F.split(col, "&")
+
+    def one(part: Column) -> Column:
+        name = F.lower(F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);", 1))
+        digits = F.when(name.startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 16)).otherwise(F.conv(F.substring(name, 2, 7), 10, 16))
+        code = F.conv(digits, 16, 10).cast("int")
+        number = F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        named = F.when(name == "amp", "&").when(name == "lt", "<").when(name == "gt", ">").when(name == "quot", '"').when(name == "apos", "'")
+        value = F.when(name.startswith("#"), number).otherwise(named)
+        return F.coalesce(F.concat(value, F.regexp_extract(part, r"(?s)^[^;]*;(.*)$", 1)), F.concat(F.lit("&"), part))
+
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, 100_000), one), ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its segments ``.`` and ``..`` worked off."""
+    parts = F.slice(F.split(path, "/"), 2, 100_000)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    end = F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
+def resolve(url: Column, target: Column) -> Column:
+    """The address that ``target`` names on the page ``url``; null for schemes without ``://`` and where the page has no
+    address to start from."""
+    origin = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*", 0)
+    base = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)
+    path, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.when(base == "", "/").otherwise(F.regexp_extract(base, r"^.*/", 0))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(origin == "", F.lit(None).cast("string"))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(path), rest))
+        .when(target.startswith("?"), F.concat(origin, base, target))
+        .when(target.startswith("#"), F.concat(origin, base, query, target))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """``a, b``: nodes of a page and of the address that its canonical link or its refresh redirect names."""
+    """``a, b``: nodes of a page and of each address that its canonical links or its refresh redirects name, relative
+    ones resolved against the page's url."""
     rows = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).where(F.col("h").rlike("(?i)canonical|http-equiv"))
-    rows = rows.select(
-        "u",
-        F.explode(
-            F.array(
-                F.regexp_extract(F.regexp_extract("h", LINK, 0), HREF, 1),
-                F.regexp_extract(F.regexp_extract("h", REFRESH, 0), REFRESH_URL, 1),
-            )
-        ).alias("t"),
-    ).where("t <> '' and instr(u, '://') > 0")
-    origin = F.regexp_extract("u", r"^[^/?#]*://[^/?#]*", 0)
-    to = (
-        F.when(F.col("t").contains("://"), F.col("t"))
-        .when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t")))
-        .when(F.col("t").startswith("/"), F.concat(origin, F.col("t")))
-    )
-    rows = rows.select("u", to.alias("t")).where("t is not null")
+    found = lambda tag, at: F.transform(F.regexp_extract_all("h", F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, at, 1))
+    rows = rows.where("instr(u, '://') > 0").select("u", F.explode(F.concat(found(LINK, HREF), found(REFRESH, REFRESH_URL))).alias("t")).where("t <> ''")
+    rows = rows.select("u", decode_entities(F.col("t")).alias("t"))
+    rows = rows.select("u", resolve(F.col("u"), F.col("t")).alias("t")).where("t is not null")
     rows = split_url(rows, F.col("u")).select("t", F.col("__node").alias("a"))
     return split_url(rows, F.col("t")).select("a", F.col("__node").alias("b")).where("a <> b")
 

@@ -58,3 +58,20 @@ def test_rule_table_gives_the_same(spark):
 
 def test_empty_table(spark):
     assert verdicts(spark, []) == []
+
+
+def test_targets_are_resolved_against_the_page(spark):
+    link = lambda t: f'<link rel="canonical" href="{t}">'
+    cases = [
+        ("http://h.com/a/b?x#f", "next.html", "h.com/a/next.html"), ("http://h.com/a/b", "../c/./d", "h.com/c/d"), ("http://h.com/a/b/", "..", "h.com/a/"),
+        ("http://h.com/a/b?x", "?p=2", "h.com/a/b?p=2"), ("http://h.com", "n", "h.com/n"), ("http://h.com/a", "/go?u=http://x.net/", "h.com/go?u=http://x.net/"),
+        ("http://h.com/a", "/q?a=1&amp;b=2&#38;c&copy=3", "h.com/q?a=1&b=2&c&copy=3"), ("http://h.com/a", "go?u=http://x.net/", "h.com/go?u=http://x.net/"),
+        ("http://h.com/a", "//i.com/z", "i.com/z"), ("http://h.com/a", "HTTPS://i.com/z", "i.com/z"), ("http://h.com/a", "mailto:x@i.com", None), ("http://h.com/a?q", "#top", None),
+    ]
+    for k, (url, target, want) in enumerate(cases):
+        cases[k] = (url, link(target), want)
+    df = spark.createDataFrame([(u.replace("h.com", f"h{k}.com"), h) for k, (u, h, _) in enumerate(cases)], "url string, html string")
+    got = {r.a.split("/")[0]: r.b for r in U.alias_edges(df, "url", "html").collect()}
+    assert got == {f"h{k}.com": w.replace("h.com", f"h{k}.com") for k, (_, _, w) in enumerate(cases) if w}
+    rows = [(1, "http://a.com/x/y", link("one") + link("../two")), (2, "http://a.com/two", '<meta http-equiv=refresh content="0;url=three"><meta http-equiv=refresh content="0;url=http://k.net/">')]
+    assert [r[4:] for r in verdicts(spark, rows)] == [("block", "alias")] * 2
