@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from functools import cache
 
@@ -26,6 +27,11 @@ _DOC = struct.Struct("<qBQ")  # id, 1 if the id is null, tokens
 _TAIL = ".,!?;:"
 
 
+def _stays_letters(body: str) -> bool:
+    """Letters that NFC leaves alone and of which none lower-cases to several code points."""
+    return body.isalpha() and (body.isascii() or (unicodedata.is_normalized("NFC", body) and len(body.lower()) == len(body)))
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -38,7 +44,8 @@ class Encoder:
     The vocabulary's normaliser and splitter never join across white space, so each different piece between ASCII
     white space is encoded once and kept, in bounded memory. Words of letters, in lower case where they are ASCII,
     are encoded together and told apart by their last token's word-end mark; whatever does not come out even, and
-    any other piece, is encoded by itself. A test holds the result against the encoding of whole texts.
+    any other piece, is encoded by itself. Letters are told from a tail of punctuation only where normalisation
+    leaves them letters: a mark that it makes would form one token with the tail. A test holds the result against the encoding of whole texts.
     """
 
     def __init__(self, path: str, limit: int = 60_000):
@@ -76,7 +83,7 @@ class Encoder:
         parts, words, rest = [], {}, {}
         for p in fresh:
             body = p.rstrip(_TAIL)
-            if self.by_word and body.isalpha():
+            if self.by_word and _stays_letters(body):
                 tail = p[len(body) :]
                 if body.isascii():
                     body = body.lower()

@@ -94,3 +94,9 @@ def test_ids_are_in_the_files(spark, docs):
 
 def test_empty_table(empty):
     assert T.token_output(empty).collect() == []
+
+
+def test_letters_that_normalise_to_marks_before_punctuation():
+    texts = ["DİYARLİ. x", "DİYARLİ", "İ!? İ. a", "\u0958. b", "\ufb2a. c", "a\u0958, İ;"]
+    ids, counts = T.Encoder(T.vocabulary_path()).batch(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == direct(texts)
