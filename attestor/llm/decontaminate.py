@@ -15,6 +15,8 @@ from .common import Workspace
 Q, EDIT_RATE = 12, 0.05
 #: Characters of items that one pass over the documents looks for; more items are looked for in several passes.
 PASS_CHARS = 20_000_000
+#: Hits of q-grams held at a time.
+AT_ONCE = 4_000_000
 _MIX = 0x9E3779B97F4A7C15
 _TABLE_BITS = 22
 
@@ -137,40 +139,81 @@ def find_items(text: str | None, index: Index) -> list[tuple[int, int, int, int]
     if not len(place):
         return []
     found: dict[int, tuple[int, int, int, int]] = {}
-    total = np.cumsum(many)
-    at_once = 4_000_000  # hits held at a time; a region's hits may fall in two pieces only with its neighbours' overlap
-    start = 0
-    while start < len(place):
-        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + at_once, "right")))
-        _search_piece(codes, at, place[start:stop], low[start:stop], many[start:stop], index, found)
-        if stop >= len(place):
-            break
-        longest = max(len(c) for c in index.codes)
-        start = max(start + 1, int(np.searchsorted(place, place[stop] - 2 * longest)))
+    if many.sum() <= AT_ONCE:
+        _search(codes, at, *_hits(place, low, many, index.item, index.pos), index, found)
+        return sorted(found.values())
+    # too many to hold: items are searched in groups, so that each item's hits are counted together
+    hits = np.zeros(len(index.codes), np.int64)
+    for a, b in _runs(many):
+        hits += np.bincount(_hits(place[a:b], low[a:b], many[a:b], index.item, index.pos)[0], minlength=len(hits))
+    able = np.flatnonzero(hits >= index.need)
+    for a, b in _runs(hits[able]):
+        own = np.zeros(len(hits), bool)
+        own[able[a:b]] = True
+        held = np.flatnonzero(own[index.item])
+        grams, item, pos = index.hashes[held], index.item[held], index.pos[held]
+        low = np.searchsorted(grams, hashes[place], "left")
+        many = np.searchsorted(grams, hashes[place], "right") - low
+        if many.sum() <= AT_ONCE:
+            _search(codes, at, *_hits(place, low, many, item, pos), index, found)
+        else:
+            number = int(able[a])
+            _verify(codes, at, _bands_of_one(number, place, low, many, pos, index), index, found)
     return sorted(found.values())
 
 
-def _search_piece(codes, at, place, low, many, index, found) -> None:
+def _runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of places that add up to at most AT_ONCE each, or hold one place."""
+    total, start, out = np.cumsum(sizes), 0, []
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + AT_ONCE, "right")))
+        out.append((start, stop))
+        start = stop
+    return out
+
+
+def _hits(place, low, many, item, pos):
+    """Item, place in the item and place in the document of each hit."""
     hit = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-    item, pos, doc = index.item[hit], index.pos[hit], np.repeat(place, many)
+    return item[hit], pos[hit], np.repeat(place, many)
+
+
+def _bands_of_one(number: int, place, low, many, pos, index) -> list[tuple[int, int]]:
+    """The bands of an item that reach its bound, its hits added up in pieces: a mark for each band and place."""
+    step = int(index.edits[number]) + 1
+    size = len(index.codes[number]) - index.q + 1
+    least = (int(place[0]) - size + 1) // step
+    seen = np.zeros((int(place[-1]) // step - least + 3, size), bool)  # an empty band at both ends
+    for a, b in _runs(many):
+        _, own, doc = _hits(place[a:b], low[a:b], many[a:b], pos, pos)
+        seen[(doc - own) // step - least + 1, own] = True
+    return [(number, b + least - 1) for b in range(len(seen) - 1) if np.count_nonzero(seen[b] | seen[b + 1]) >= index.need[number]]
+
+
+def _search(codes, at, item, pos, doc, index, found) -> None:
     step = index.edits[item] + 1
     band = (doc - pos) // step
+    counted = []
     for shift in (0, -1):  # bands overlap by half: each hit counts in two
         # one count for each item, band and place in the item
         key = np.unique(np.stack([item, band + shift, pos]), axis=1)
         cuts = np.flatnonzero((np.diff(key[0]) != 0) | (np.diff(key[1]) != 0)) + 1
-        starts = np.concatenate(([0], cuts))
+        starts = np.concatenate(([0], cuts)) if key.shape[1] else cuts
         counts = np.diff(np.append(starts, key.shape[1]))
-        if shift == 0:
-            first = {(int(key[0, s]), int(key[1, s])): key[2, s : s + c] for s, c in zip(starts, counts)}
-            continue
-        second = {(int(key[0, s]), int(key[1, s])): key[2, s : s + c] for s, c in zip(starts, counts)}
-    for number, b in sorted(first.keys() | second.keys()):
-        if number in found and found[number][1] == 0:
-            continue
-        parts = [x[(number, b)] for x in (first, second) if (number, b) in x]
+        counted.append({(int(key[0, s]), int(key[1, s])): key[2, s : s + c] for s, c in zip(starts, counts)})
+    reached = []
+    for number, b in sorted(counted[0].keys() | counted[1].keys()):
+        parts = [x[(number, b)] for x in counted if (number, b) in x]
         shared = len(parts[0]) if len(parts) == 1 else len(np.union1d(*parts))
-        if shared < index.need[number]:
+        if shared >= index.need[number]:
+            reached.append((number, b))
+    _verify(codes, at, reached, index, found)
+
+
+def _verify(codes, at, reached, index, found) -> None:
+    """Aligns the items in the bands (item number, band) that reach the bound, and keeps the best of each item."""
+    for number, b in reached:
+        if number in found and found[number][1] == 0:
             continue
         mine, budget = index.codes[number], int(index.edits[number])
         width = budget + 1
@@ -225,7 +268,11 @@ def contamination(
     for k in range(passes):
         rows = items if passes == 1 else items.where(F.col("__pass") == k)
         rows = sorted(((r["item_id"], r["text"]) for r in rows.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        shared = spark.sparkContext.broadcast(build_index(rows, q, rate))
+        # each different text is searched once, for all its ids
+        texts: dict[bytes, tuple[list, str]] = {}
+        for i, t in rows:
+            texts.setdefault(normalise(t)[0].tobytes(), ([], t))[0].append(i)
+        shared = spark.sparkContext.broadcast(build_index(list(texts.values()), q, rate))
         out = out.withColumn("__found", F.concat("__found", _search_udf(shared, spans, items.schema["item_id"].dataType)(F.col(text_col))))
     out = out.withColumn("matches", F.array_sort("__found")).withColumn("contaminated", F.size("matches") > 0)
     return out.drop("__found")
@@ -241,7 +288,7 @@ def _search_udf(shared, spans: str, id_type):
         index = shared.value
         rows = []
         for t in texts:
-            rows.append([{"item_id": index.ids[n], "edits": e, "start": a, "end": b} for n, e, a, b in find_items(t.as_py(), index)])
+            rows.append([{"item_id": i, "edits": e, "start": a, "end": b} for n, e, a, b in find_items(t.as_py(), index) for i in index.ids[n]])
         return pa.array(rows, pa.list_(inner))
 
     return search

@@ -86,3 +86,22 @@ def test_empty_tables(spark, docs, empty, items):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(empty, spark.createDataFrame(items, "item_id long, text string")).collect() == []
     assert not any(r.contaminated for r in D.contamination(docs, none).collect())
+
+
+@pytest.mark.parametrize("at_once", [50, 3000])
+def test_frequent_grams_are_counted_over_the_whole_text(monkeypatch, words, at_once):
+    monkeypatch.setattr(D, "AT_ONCE", at_once)
+    rng = random.Random(21)
+    shared = " ".join(rng.choices(words, k=40))
+    items = [(k, f"{shared} {k:05d} {' '.join(rng.choices(words, k=3))}") for k in range(60)] + [(99, "ha " * 300)]
+    index = D.build_index(items)
+    for k in (7, 99):
+        text = " ".join(rng.choices(words, k=30)) + " " + dict(items)[k] + " " + " ".join(rng.choices(words, k=30))
+        assert [r[1] for r in D.find_items(text, index) if index.ids[r[0]] == k] == [0]
+
+
+def test_items_of_one_text_are_searched_once_and_all_reported(spark):
+    text = "a sentence that many benchmark items repeat word for word"
+    items = spark.createDataFrame([(1, text), (2, text.upper()), (None, text), (3, "quite another benchmark item here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {text} behind")], "doc_id long, text string")
+    assert sorted((m.item_id for m in D.contamination(docs, items).first().matches), key=str) == [1, 2, None]
