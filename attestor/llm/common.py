@@ -15,10 +15,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (local tests) a temporary folder is created once and set for the session.
+    Where it is unset and the master is local (tests) a temporary folder is created once and set for the session; on a
+    cluster that would be another folder on each machine, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("attestor.local.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="attestor-")
         spark.conf.set("attestor.local.dir", path)
     return path.rstrip("/")
@@ -47,6 +50,18 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have, in any case."""
+    held = {c.lower() for c in df.columns}
+    return [next(n for n in (f"__{w}{k or ''}" for k in range(len(held) + 1)) if n not in held) for w in wanted]
+
+
+def tasks_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Tasks for an explicit repartition, which AQE leaves alone: so many that none holds much more than ``each``, and
+    the session's shuffle partitions at least."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(amount) // each))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, UPPER.lower())

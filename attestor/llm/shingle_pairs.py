@@ -1,4 +1,5 @@
-"""Near-duplicates by word shingles: all pairs of a Jaccard similarity of at least 4/5, found by prefixes, verified."""
+"""Sets of word shingles: pairs of a Jaccard similarity of at least 4/5, found by prefixes and verified. The part of the
+SimHash operator that decides whether candidates are similar and finds those that fingerprints cannot show."""
 
 from __future__ import annotations
 
@@ -9,10 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace
-from .components import connected_components
-from .simhash import keep_least, shingle_spans
-
+from .common import Workspace, tasks_for
 #: Words in a shingle. Two sets are similar where 5 * common >= 4 * joined, or size + size >= 9 * different.
 WORDS = 5
 #: Documents whose shingles are counted to find common ones, and the most of these that are kept.
@@ -21,13 +19,31 @@ SAMPLE, COMMON = 5_000, 200_000
 LAGS = 32
 #: Ids up to this many are broadcast when texts are read again.
 BROADCAST = 1_000_000
+#: Shingles that one task holds.
+TASK_ROWS = 8_000_000
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted XXH64 (seed 42) of the text's different shingles; none for a text without words."""
+def shingle_spans(text: str | None, words: int):
+    """The text's words, A-Z lower-cased, joined by single spaces, and the places of its shingles in that."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = memoryview(b" ".join(found))
+    if len(found) <= words:
+        return joined, [(0, len(joined))] if found else []
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    return joined, zip(starts[: 1 - words].tolist(), (ends[words - 1 :] - 1).tolist())
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the text's shingles, repeats included; none for a text without words."""
     joined, spans = shingle_spans(text, words)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64))
+    return np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted hashes of the text's different shingles."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def node_of(own: np.ndarray) -> int:
@@ -80,10 +96,10 @@ def common_shingles(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
 
     def run(batches):
         for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column(1)]
+            found = [shingles(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64))], ["tok"])
 
-    picked = rows.sample(min(1.0, sample / max(1, total)), 42).mapInArrow(run, "tok long")
+    picked = rows.select("text").sample(min(1.0, sample / max(1, total)), 42).mapInArrow(run, "tok long")
     many = picked.groupBy("tok").count().where("count > 2").orderBy(F.desc("count"), "tok").limit(COMMON).toPandas()
     own, count = many["tok"].to_numpy(np.int64).view(np.uint64), many["count"].to_numpy(np.int64)
     order = np.argsort(own)
@@ -92,31 +108,35 @@ def common_shingles(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     return own[order], rank[order]
 
 
-def _prints(rows: DataFrame, common) -> DataFrame:
-    """``doc_id, node, n, sketch, prefix``; the last two are null for sets met before in the same partition."""
+def shingle_prints(rows: DataFrame, common, bits_of) -> DataFrame:
+    """``doc_id, h, node, n, fp, sketch, prefix`` of rows ``doc_id, h, text``; ``fp`` is ``bits_of`` all shingles' hashes,
+    ``sketch`` and ``prefix`` are null for sets met before in the same partition."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         order, seen = common.value, set()
         for batch in batches:
-            out = [[], [], [], []]
-            for t in batch.column(1):
-                own = shingles(t.as_py())
+            out = [[], [], [], [], []]
+            for t in batch.column(2):
+                hashes = shingle_hashes(t.as_py(), WORDS)
+                own = np.unique(hashes)
                 node = node_of(own)
                 first = node not in seen
                 seen.add(node)
-                for to, x in zip(out, (node, len(own), sketch(own) if first else None, prefix(own, *order).view(np.int64) if first else None)):
+                values = (node, len(own), bits_of(hashes), sketch(own) if first else None, prefix(own, *order).view(np.int64) if first else None)
+                for to, x in zip(out, values):
                     to.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], ["doc_id", "node", "n", "sketch", "prefix"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            names = ["doc_id", "h", "node", "n", "fp", "sketch", "prefix"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)], names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, node long, n int, sketch binary, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, node long, n int, fp long, sketch binary, prefix array<long>")
 
 
-def _by_shingle(rows: DataFrame, settle, schema: str) -> DataFrame:
-    """``settle`` over whole groups of one ``tok``, the first column, sorted by the others."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "tok").sortWithinPartitions(*rows.columns)
+def by_shingle(rows: DataFrame, settle, many: int) -> DataFrame:
+    """``settle`` over whole groups of one ``tok``, the first column, sorted by the others;
+    there are about ``many`` rows."""
+    rows = rows.repartition(tasks_for(rows.sparkSession, many, TASK_ROWS), "tok").sortWithinPartitions(*rows.columns)
 
     def run(batches):
         kept = None
@@ -131,7 +151,7 @@ def _by_shingle(rows: DataFrame, settle, schema: str) -> DataFrame:
         if kept is not None:
             yield from settle(kept)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "a long, b long, n int, tok long")
 
 
 def _pair_batch(a, b, size, tok=None) -> pa.RecordBatch:
@@ -141,7 +161,7 @@ def _pair_batch(a, b, size, tok=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([low, high, pa.array(size.astype(np.int32)), tok], ["a", "b", "n", "tok"])
 
 
-def _meet(lags: int):
+def meet(lags: int):
     """Pairs of sets with a common prefix shingle, all of those up to ``lags`` places apart; and the rows of groups
     that hold others (b null)."""
 
@@ -167,7 +187,7 @@ def _meet(lags: int):
     return settle
 
 
-def _meet_rest(rows):
+def meet_rest(rows):
     """All pairs of a group that are not joined yet."""
     tok, n, node, part = rows
     starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
@@ -182,16 +202,16 @@ def _meet_rest(rows):
                 yield _pair_batch(own[x[i]], own[j], size[x[i]] + size[j])
 
 
-def _verified(rows: DataFrame, prints: DataFrame, sketches: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
+def verified(rows: DataFrame, prints: DataFrame, sketches: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Those of ``pairs`` (a, b, n) that are similar: sketches discard, shingles decide."""
     pairs = pairs.distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}")), side)
     pairs = work.save(pairs.where(_possible("sa", "sb", "n")).select("a", "b", "n"), f"{name}_possible")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = work.save(prints.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), f"{name}_ids")
-    wanted = ids.select("doc_id").distinct()
-    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST else wanted
+    one = F.min(F.struct("doc_id", "h")).alias("one")
+    wanted = work.save(prints.join(nodes, "node").groupBy("node").agg(one).select(F.col("one.doc_id").alias("i"), F.col("one.h").alias("k")), f"{name}_ids")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
 
     def run(batches):
         for batch in batches:
@@ -199,54 +219,9 @@ def _verified(rows: DataFrame, prints: DataFrame, sketches: DataFrame, pairs: Da
             nodes = pa.array([node_of(x) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([nodes, pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "own"])
 
-    texts = rows.join(wanted, "doc_id", "left_semi").select("text")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left_semi").select("text")
     sets = work.save(texts.mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"]), f"{name}_sets")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("own").alias(f"o{side}")), side)
     both = F.size(F.array_intersect("oa", "ob"))
     return work.save(pairs.where(5 * both >= 4 * (F.col("n") - both)).select("a", "b"), f"{name}_links")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lags: int = LAGS, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, component_id`` for each row of ``docs`` with an id.
-
-    Documents link where the sets of their shingles of five words have a Jaccard similarity of 0.8 or more;
-    ``component_id`` is the smallest doc_id reachable over links. Words are those of ``simhash.near_duplicates``; a
-    text of fewer than five is one shingle; texts without words are alike. Rows without an id take no part. Repeated
-    rows are returned as often as they occur; an empty table gives no rows.
-
-    No similar pair is left out but those joined by others: similar sets share a shingle among the first fifth in any
-    order, so each set is dealt by these, rare ones first. Of a shingle with many holders, near ones meet first and
-    then those that are not joined yet. Equal sets are one; texts are never shuffled by shingle.
-    """
-    work = Workspace(docs.sparkSession, "shingles")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, sample))
-    prints = work.save(_prints(rows, common), "prints")
-    groups = work.save(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "groups")
-    schema = "a long, b long, n int, tok long"
-    dealt = prints.where("prefix is not null").select(F.explode("prefix").alias("tok"), "n", "node")
-    met = work.save(_by_shingle(dealt, _meet(lags), schema), "met")
-    near = met.where("b is not null").select("a", "b", "n")
-    involved = met.select(F.col("a").alias("node")).unionByName(met.where("b is not null").select(F.col("b").alias("node"))).distinct()
-    sketches = prints.where("sketch is not null").select("node", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
-    sketches = work.save(sketches, "sketches")
-    found = _verified(rows, prints, sketches, near, work, "near")
-    parts = connected_components(found, work, "cc")
-    wide = met.where("b is null")
-    if not wide.isEmpty():
-        held = wide.select("tok", "n", F.col("a").alias("node")).join(parts, "node", "left")
-        held = held.select("tok", "n", "node", F.coalesce("component", "node").alias("part"))
-        rest = work.save(_by_shingle(held, _meet_rest, schema).select("a", "b", "n").distinct(), "rest")
-        found = found.unionByName(_verified(rows, prints, sketches, rest, work, "rest"))
-        parts = connected_components(found, work, "all")
-    parts = parts.select("node", "component")
-    groups = groups.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = work.save(groups.groupBy("component").agg(F.min("least").alias("component_id")), "names")
-    groups = work.save(groups.join(names, "component").select("node", "component_id"), "named")
-    return prints.select("doc_id", "node").join(groups, "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``simhash.keep_one`` for the near-duplicates of this module."""
-    return keep_least(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **how), id_col)

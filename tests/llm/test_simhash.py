@@ -60,8 +60,8 @@ def test_links_lose_nothing_in_hot_keys(spark):
     prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(400)} | {rng.getrandbits(64) for _ in range(100)}
     df = spark.createDataFrame([(S._signed(f),) for f in prints], "fp long")
     work = Workspace(spark, "t")
-    for block in (20, 4096):
-        found = S.links(df, work, block=block).collect()
+    for block, segments in ((20, None), (4096, 5), (4096, 7)):
+        found = S.links(df, work, block=block, segments=segments).collect()
         assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in found)
         part = components(prints)
         parent = {S._signed(f): S._signed(f) for f in prints}
@@ -98,7 +98,43 @@ def test_keep_one(docs, corpus):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(309) == 1 and 100 in ids and not set(range(101, 106)) & set(ids)
-    assert ids.count(None) == 2
+    assert ids.count(None) == 1  # the other null id has a null text, as empty as 301
+
+
+def test_keep_one_by_row(spark):
+    """Ids that repeat or are null name no row; columns keep their names and values."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "p"), (5, a, "q"), (5, b, "r"), (None, c, "s"), (None, c.upper(), "t"), (None, b, "u"), (7, "z", "v"), (7, "z", "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __hash string").withColumnsRenamed({"text": "body"})
+    for keep in (S.keep_one, S.keep_similar_one):
+        got = keep(df, text_col="body")
+        assert got.columns == df.columns
+        rest = sorted((r.doc_id, r.body[:2], r["__hash"]) for r in got.collect() if r.doc_id)
+        assert rest == [(1, "a0", "p"), (5, "b0", "r"), (7, "z", "v")] and got.count() == 4
+
+
+def test_pivot_keys():
+    """Fingerprints within three bits share a key whatever the bits; keys tell other fingerprints apart."""
+    rng = random.Random(4)
+    one = [rng.getrandbits(64) for _ in range(200)]
+    two = [f ^ sum(1 << b for b in rng.sample(range(64), 3)) for f in one]
+    for segments in (5, 6, 7):
+        left, right = ([set(r) for r in S.pivot_keys(np.array(fps, np.uint64), segments).tolist()] for fps in (one, two))
+        assert all(a & b for a, b in zip(left, right))
+        assert sum(len(left[i] & left[j]) for i in range(200) for j in range(i)) <= 5
+    assert [S.segments_for(n) for n in (0, 10**6, 10**9, 10**10)] == [5, 5, 6, 7]
+
+
+def test_small_groups_find_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 30, np.uint64)
+    fps = np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 63), base ^ np.uint64(0xFF)])
+    group, own = np.sort(rng.integers(0, 12, len(fps))), np.arange(len(fps)) % 2
+    for mixed in (np.zeros(len(fps), bool), np.ones(len(fps), bool)):
+        near = lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= 3 and group[i] == group[j] and (not mixed[i] or own[i] != own[j])
+        want = {(i, j) for j in range(len(fps)) for i in range(j) if near(i, j)}
+        got = [(int(x), int(y)) for i, j in S.near_neighbours(fps, group, own, mixed, S.pivots()) for x, y in zip(i, j)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_empty_table(empty):
