@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import decontaminate, mixing, shingle_dedup, token_binary, toxicity
+from attestor.llm import decontaminate, mixing, simhash, token_binary, toxicity
 from attestor.llm.common import Workspace, table
 
 
@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more), that with the smallest id."""
-    return shingle_dedup.keep_one(docs)
+    return simhash.keep_similar_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
