@@ -1,268 +1,242 @@
-"""Adaptive context-mixing range coder for token ids, run over many blocks at once.
+"""Adaptive context-mixing range coder for token ids.
 
-Each block starts from an empty model and its own coder state, so blocks are decoded independently. All blocks of a
-call advance together, one token per step, as lanes of numpy arrays; only integer arithmetic is used, so encoder and
-decoder agree on any machine.
+A block is coded from an empty model and is decoded without any other. Its ids are cut into lanes, even runs that share
+the block's model and each have a range coder of their own; all lanes advance together, one id per step, as numpy
+arrays. Only integer arithmetic is used and an array position written twice holds the last value, so encoder and decoder
+agree on any machine.
 
-Model. Order 2 and order 1 each predict one id, the one last confirmed in a slot of their context, with a
-confidence; order 0 predicts every id, by adaptive counts in classes of powers of two, or as new. For each joint
-state of the two confidences, adaptive weights mix the three predictions into one distribution.
+Model. Order 2 and order 1 each predict one id, the one last confirmed in their context, with a confidence. Order 0 gives
+every id met so far a part of the range by how often the other orders missed it, and the rest to new ids. For each joint
+state of the two confidences, adaptive weights mix the three predictions into one distribution. Predictions change with
+every id, counts and weights take effect at steps that double.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SLOTS = 1024
-#: Tokens in a block at most; counts of a block fit the class layout below.
-BLOCK = 2048
-CLASSES = 12
-NEW = CLASSES  # the class of ids that order 0 does not hold
-#: Room for the slots of a class: all of them, and at most BLOCK >> c that were met 2**c times.
-_OFFSET = np.concatenate(([0], np.cumsum([min(SLOTS, BLOCK >> c) for c in range(CLASSES - 1)]))).astype(np.int64)
-MEMBERS = int(_OFFSET[-1]) + 1
-_CLASS = np.array([max(0, int(n).bit_length() - 1) for n in range(BLOCK + 1)], np.int64)
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 44)
-_16, _48 = np.uint64(16), np.uint64(48)
-_LOW_MASK = np.uint64((1 << 44) - 1)
-STEP, LIMIT = 24, 2048
-
-
-class _Lanes:
-    def __init__(self, n: int, ids: int):
-        self.n, self.ids = n, ids
-        lane = np.arange(n, dtype=np.int64)
-        self.base, self.mix_base, self.class_base, self.member_base = lane * SLOTS, lane * 32, lane * (CLASSES + 1), lane * MEMBERS
-        self.one = np.zeros(n * SLOTS, np.int32)  # (id + 1) << 2 | confidence; 0 where empty
-        self.two = np.zeros(n * SLOTS, np.int32)
-        self.w2, self.w1, self.w0 = (np.full(n * 32, k, np.int64) for k in (STEP, STEP, 4 * STEP))
-        self.slots = np.zeros(n * SLOTS, np.int64)  # (id + 1) << 32 | place in its class << 16 | count
-        self.member = np.zeros(n * MEMBERS, np.int16)
-        self.held = np.zeros(n * (CLASSES + 1), np.int64)  # slots in a class
-        self.held[self.class_base + NEW] = ids
-        self.sums = np.zeros((CLASSES + 1, n), np.int32)  # counts in a class
-        self.sums[NEW] = 1
-        self.p1 = np.zeros(n, np.int64)
-        self.p2 = np.zeros(n, np.int64)
-        self.low = np.zeros(n, np.uint64)
-        self.range = np.full(n, (1 << 64) - 1, np.uint64)
-        self.turn = 0
-
-    def shrink(self, k: int) -> None:
-        """Keeps the first k lanes."""
-        if k < len(self.p1):
-            for name in ("base", "mix_base", "class_base", "member_base", "p1", "p2", "low", "range"):
-                setattr(self, name, getattr(self, name)[:k])
-            self.sums = self.sums[:, :k]
+#: Ids in a block at most, and in a lane at least where the block has more than one.
+BLOCK, LANE = 1 << 20, 256
+LANES = 4096
+MIX_BITS, COUNT_BITS, TWO_BITS = 12, 16, 18
+MOST_KNOWN = 1 << 15
+#: Counts and weights are renewed at powers of two and then every so many steps.
+RENEW = 64
+CONFIDENT = 7
+_32 = np.uint64(32)
+_LOW = np.uint64(1 << 32)
+_MASK = np.uint64((1 << 32) - 1)
+
+
+class _Model:
+    def __init__(self, alphabet: int, steps: int, lanes: int):
+        self.one = np.zeros(alphabet + 1, np.int32)  # by the id before: (id + 1) << 3 | confidence, 0 where empty
+        self.two = np.zeros(1 << TWO_BITS, np.int32)
+        self.alphabet = alphabet
+        state = np.arange(128)
+        c1, c2, agree = state & 7, state >> 3 & 7, state >> 6
+        self.by_two, self.by_one = c2 > 0, (c1 > 0) & (agree == 0)
+        self.met = np.stack([self.by_two * c2, self.by_one * c1, np.full(128, 4)], axis=1).astype(np.int64)
+        self.count = np.zeros(alphabet, np.int64)
+        self.p1, self.p2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.ids = np.empty((steps, lanes), np.int32)
+        self.ways = np.zeros((steps, lanes), np.int16)  # state * 4 + order that gave the id, 3 for lanes that have ended
+        self.renewed, self.turn = 0, 0
+        self.renew()
+
+    def renew(self) -> None:
+        ways, ids = self.ways[self.renewed : self.turn], self.ids[self.renewed : self.turn]
+        self.renewed = self.turn
+        self.met += np.bincount(ways.ravel(), minlength=512).reshape(128, 4)[:, :3]
+        self.count += np.bincount(ids[ways & 3 == 2], minlength=self.alphabet)
+        room = (1 << MIX_BITS) - 4
+        total = self.met.sum(axis=1)
+        two = self.by_two * (self.met[:, 0] * room // total + 1)
+        self.upto2 = two.astype(np.uint64)
+        self.upto1 = (two + self.by_one * (self.met[:, 1] * room // total + 1)).astype(np.uint64)
+        known = np.flatnonzero(self.count)
+        many = self.count[known]
+        if len(known) > MOST_KNOWN:
+            kept = np.sort(np.argsort(-many, kind="stable")[:MOST_KNOWN])
+            known, many = known[kept], many[kept]
+        total = int(many.sum())
+        size = 1 << COUNT_BITS
+        fresh = size if not total else min(size // 2, max(32, size * int(np.count_nonzero(many == 1)) // total))
+        part = many * (size - fresh - len(known)) // max(total, 1) + 1
+        part = np.concatenate(([size - int(part.sum())], part))  # the first is that of new ids
+        self.known = np.concatenate(([0], known)).astype(np.int32)
+        self.place = np.zeros(self.alphabet, np.int32)
+        self.place[known] = np.arange(1, len(known) + 1)
+        self.part = part.astype(np.uint64)
+        self.start = (np.cumsum(part) - part).astype(np.uint64)
+        self.at = np.repeat(np.arange(len(part), dtype=np.uint16), part)
 
     def predict(self) -> None:
-        a = self.p1 * 40503
-        self.i1 = self.base + ((a >> 3) & (SLOTS - 1))
-        self.i2 = self.base + (((a ^ (self.p2 * 52711)) >> 2) & (SLOTS - 1))
-        self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
-        self.s1, self.s2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        agree = self.s1 == self.s2
-        self.at = self.mix_base + ((agree << np.int32(4)) + (self.c2 << 2) + self.c1)
-        self.f2 = self.w2[self.at] * (self.c2 > 0)
-        self.f1 = self.w1[self.at] * ((self.c1 > 0) & ~agree)
-        self.f0 = self.w0[self.at]
-
-    def learn(self, sym: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.w2[self.at] += STEP * hit2
-        self.w1[self.at] += STEP * hit1
-        self.w0[self.at] += STEP * ~(hit2 | hit1)
+        self.i2 = ((self.p1 * np.int32(40503 * 13) ^ self.p2 * np.int32(52711 * 29)) >> np.int32(5)) & np.int32((1 << TWO_BITS) - 1)
+        self.e1, self.e2 = self.one.take(self.p1), self.two.take(self.i2)
+        self.c1, self.c2 = self.e1 & 7, self.e2 & 7
+        self.s1, self.s2 = self.e1 >> 3, self.e2 >> 3  # id + 1
+        self.state = (self.c2 << 3) + self.c1 + ((self.s1 == self.s2).view(np.int8).astype(np.int32) << 6)
+        self.f2, self.f1 = self.upto2.take(self.state), self.upto1.take(self.state)
+
+    def learn(self, named: np.ndarray, way: np.ndarray) -> None:
+        """``named``: id + 1 of each lane."""
+        k = len(named)
+        self.ids[self.turn, :k] = named - 1
+        self.ways[self.turn, :k] = (self.state << 2) + way
+        self.ways[self.turn, k:] = 3
+        fresh = (named << 3) + 1
+        self.one[self.p1] = np.where(self.s1 == named, self.e1 + (self.c1 < CONFIDENT), np.where(self.c1 > 3, self.e1 - 2, fresh))
+        self.two[self.i2] = np.where(self.s2 == named, self.e2 + (self.c2 < CONFIDENT), np.where(self.c2 > 3, self.e2 - 2, fresh))
+        self.p2, self.p1 = self.p1, named
         self.turn += 1
-        if self.turn % 32 == 0:
-            over = self.w2 + self.w1 + self.w0 > LIMIT
-            for w in (self.w2, self.w1, self.w0):
-                w[over] = (w[over] + 1) >> 1
-        fresh = ((sym + 1) << 2 | 1).astype(np.int32)
-        for table, i, e, s, c in ((self.one, self.i1, self.e1, self.s1, self.c1), (self.two, self.i2, self.e2, self.s2, self.c2)):
-            table[i] = np.where(s == sym, e + (c < 3), fresh)
-        self.p2, self.p1 = self.p1, sym + 1
-
-    def slot(self, sym: np.ndarray) -> np.ndarray:
-        return ((sym * 40503) >> 4) & (SLOTS - 1)
-
-    def count(self, z: np.ndarray, sym: np.ndarray, known: np.ndarray, slot: np.ndarray, entry: np.ndarray, cls: np.ndarray) -> None:
-        """Order 0 meets ``sym`` in lanes ``z``: known ids count one more and rise a class at powers of two; new ids
-        take their slot, from another id if need be."""
-        si = self.base[z] + slot
-        k = np.flatnonzero(known)
-        if len(k):
-            zk, sk, ck = z[k], si[k], cls[k]
-            now = entry[k] + 1
-            self.slots[sk] = now
-            n = now & 0xFFFF
-            self.sums[ck, zk] += 1
-            up = np.flatnonzero(_CLASS[n] != ck)
-            if len(up):
-                self._leave(zk[up], slot[k][up], ck[up])
-                self._enter(zk[up], slot[k][up], ck[up] + 1)
-                self.sums[ck[up], zk[up]] -= n[up]
-                self.sums[ck[up] + 1, zk[up]] += n[up]
-        k = np.flatnonzero(~known)
-        if len(k):
-            zk, sk, slots = z[k], si[k], slot[k]
-            old = np.flatnonzero(entry[k])
-            if len(old):
-                n = entry[k][old] & 0xFFFF
-                self._leave(zk[old], slots[old], _CLASS[n])
-                self.sums[_CLASS[n], zk[old]] -= n
-            self.slots[sk] = (sym[k] + 1) << 32 | 1
-            self._enter(zk, slots, np.zeros(len(k), np.int64))
-            self.sums[0, zk] += 1
-            self.sums[NEW, zk] += 1
-
-    def _leave(self, z, slot, cls) -> None:
-        ci = self.class_base[z] + cls
-        self.held[ci] -= 1
-        first = self.member_base[z] + _OFFSET[cls]
-        last = self.member[first + self.held[ci]].astype(np.int64)
-        pos = (self.slots[self.base[z] + slot] >> 16) & 0xFFFF
-        self.member[first + pos] = last
-        self._place(self.base[z] + last, pos)
-
-    def _enter(self, z, slot, cls) -> None:
-        ci = self.class_base[z] + cls
-        pos = self.held[ci]
-        self.member[self.member_base[z] + _OFFSET[cls] + pos] = slot
-        self._place(self.base[z] + slot, pos)
-        self.held[ci] = pos + 1
-
-    def _place(self, si, pos) -> None:
-        self.slots[si] = self.slots[si] & ~0xFFFF0000 | pos << 16
-
-    def ready(self) -> np.ndarray | None:
-        """Lanes whose top 16 bits are settled (a range that gets too small is cut so that they are)."""
-        settled = (self.low ^ (self.low + self.range)) < _TOP
-        small = self.range < _BOTTOM
-        small &= ~settled
-        if small.any():
-            self.range[small] = (~self.low[small] + np.uint64(1)) & _LOW_MASK
-            settled |= small
-        return np.flatnonzero(settled)
-
-    def shift(self, z: np.ndarray) -> None:
-        self.low[z] <<= _16
-        self.range[z] <<= _16
-
-
-def _cut(total: int, block: int) -> np.ndarray:
-    """Lengths of even blocks, longest first."""
-    n = max(1, -(-total // block))
-    return np.array([total // n + (k < total % n) for k in range(n)], np.int64)
-
-
-def encode(ids: np.ndarray, lengths: np.ndarray, alphabet: int) -> list[bytes]:
-    """The coded bytes of consecutive blocks of ``ids``; ``lengths`` descend by at most one."""
-    n = len(lengths)
-    lanes = _Lanes(n, alphabet)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    ids = ids.astype(np.int64)
-    room = int(lengths[0]) * 3 + 8
-    out, fill = np.zeros((n, room), np.uint16), np.zeros(n, np.int64)
-    done_low = np.zeros(n, np.uint64)
-    active = n
-    for t in range(int(lengths[0])):
-        k = int(np.searchsorted(-lengths, -t, "left"))  # lanes with more than t tokens
-        if k < active:
-            done_low[k:active] = lanes.low[k:active]
-            lanes.shrink(k)
-            active = k
-        sym = ids[starts[:k] + t]
-        lanes.predict()
-        f2, f1, f0 = lanes.f2, lanes.f1, lanes.f0
-        hit2 = (lanes.s2 == sym) & (f2 > 0)
-        hit1 = (lanes.s1 == sym) & (f1 > 0) & ~hit2
-        unit = lanes.range // (f2 + f1 + f0).astype(np.uint64)
-        under = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        lanes.low += unit * under.astype(np.uint64)
-        lanes.range = unit * np.where(hit2, f2, np.where(hit1, f1, f0)).astype(np.uint64)
-        z = np.flatnonzero(~(hit2 | hit1))
-        if len(z):
-            own = sym[z]
-            slot = lanes.slot(own)
-            si = lanes.base[z] + slot
-            entry = lanes.slots[si]
-            known = entry >> 32 == own + 1
-            cls = np.where(known, _CLASS[entry & 0xFFFF], NEW)
-            rows = lanes.sums[:, z]
-            cum = np.cumsum(rows, axis=0, dtype=np.int32)
-            pick = cls * len(z) + np.arange(len(z))
-            top, width = cum.ravel()[pick], rows.ravel()[pick]
-            unit = lanes.range[z] // cum[-1].astype(np.uint64)
-            low = lanes.low[z] + unit * (top - width).astype(np.uint64)
-            unit = (unit * width.astype(np.uint64)) // lanes.held[lanes.class_base[z] + cls].astype(np.uint64)
-            lanes.low[z] = low + unit * np.where(known, (entry >> 16) & 0xFFFF, own).astype(np.uint64)
-            lanes.range[z] = unit
-            lanes.count(z, own, known, slot, entry, cls)
-        lanes.learn(sym, hit2, hit1)
-        while len(z := lanes.ready()):
-            out[z, fill[z]] = (lanes.low[z] >> _48).astype(np.uint16)
-            fill[z] += 1
-            lanes.shift(z)
-    done_low[:active] = lanes.low[:active]
-    for k in range(4):
-        out[np.arange(n), fill + k] = (done_low >> np.uint64(48 - 16 * k)).astype(np.uint16)
-    return [out[i, : fill[i] + 4].astype("<u2").tobytes() for i in range(n)]
-
-
-def decode(blocks: list[bytes], lengths: np.ndarray, alphabet: int) -> np.ndarray:
-    """The ids of :func:`encode`."""
-    n = len(lengths)
-    lanes = _Lanes(n, alphabet)
-    size = max(map(len, blocks)) // 2 + 4
-    data = np.zeros((n, size), np.uint64)
-    for i, b in enumerate(blocks):
-        data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    code = (data[:, 0] << _48) | (data[:, 1] << np.uint64(32)) | (data[:, 2] << _16) | data[:, 3]
-    data, at = data.ravel(), np.arange(n) * size + 4
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    ids = np.zeros(int(lengths.sum()), np.int64)
-    active = n
-    for t in range(int(lengths[0])):
-        k = int(np.searchsorted(-lengths, -t, "left"))
-        if k < active:
-            lanes.shrink(k)
-            code, at, active = code[:k], at[:k], k
-        lanes.predict()
-        f2, f1, f0 = lanes.f2, lanes.f1, lanes.f0
-        unit = lanes.range // (f2 + f1 + f0).astype(np.uint64)
-        u = ((code - lanes.low) // unit).astype(np.int64)
-        hit2 = u < f2
-        hit1 = (u < f2 + f1) & ~hit2
-        sym = np.where(hit2, lanes.s2, lanes.s1)
-        under = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        lanes.low += unit * under.astype(np.uint64)
-        lanes.range = unit * np.where(hit2, f2, np.where(hit1, f1, f0)).astype(np.uint64)
-        z = np.flatnonzero(~(hit2 | hit1))
-        if len(z):
-            rows = lanes.sums[:, z]
-            cum = np.cumsum(rows, axis=0, dtype=np.int32)
-            unit = lanes.range[z] // cum[-1].astype(np.uint64)
-            u = ((code[z] - lanes.low[z]) // unit).astype(np.int64)
-            cls = np.minimum((cum <= u).sum(axis=0), NEW)
-            pick = cls * len(z) + np.arange(len(z))
-            top, width = cum.ravel()[pick], rows.ravel()[pick]
-            low = lanes.low[z] + unit * (top - width).astype(np.uint64)
-            held = lanes.held[lanes.class_base[z] + cls]
-            unit = (unit * width.astype(np.uint64)) // held.astype(np.uint64)
-            index = np.minimum(((code[z] - low) // unit).astype(np.int64), held - 1)
-            known = cls < NEW
-            slot = lanes.member[np.where(known, lanes.member_base[z] + _OFFSET[np.minimum(cls, CLASSES - 1)] + index, 0)].astype(np.int64)
-            slot = np.where(known, slot, lanes.slot(index))
-            entry = lanes.slots[lanes.base[z] + slot]
-            own = np.where(known, (entry >> 32) - 1, index)
-            lanes.low[z] = low + unit * index.astype(np.uint64)
-            lanes.range[z] = unit
-            sym[z] = own
-            lanes.count(z, own, known, slot, entry, cls)
-        lanes.learn(sym, hit2, hit1)
-        ids[starts[:k] + t] = sym
-        while len(z := lanes.ready()):
-            code[z] = (code[z] << _16) | data[np.minimum(at[z], len(data) - 1)]
-            at[z] += 1
-            lanes.shift(z)
-    return ids
+        t = self.turn
+        if t & (t - 1) == 0 or t % RENEW == 0:
+            self.renew()
+
+    def end(self, k: int) -> None:
+        """Only the first k lanes go on."""
+        self.p1, self.p2 = self.p1[:k], self.p2[:k]
+
+
+def lane_lengths(total: int) -> np.ndarray:
+    lanes = max(1, min(LANES, total // LANE))
+    return total // lanes + (np.arange(lanes) < total % lanes)
+
+
+class _Out:
+    """The coders' words: low is 64 bits wide, a carry goes back into the words written."""
+
+    def __init__(self, lanes: int, room: int):
+        self.words, self.room = np.zeros(lanes * room, np.uint32), room
+        self.at = np.arange(lanes) * room
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+
+    def add(self, lanes, amount) -> None:
+        low = self.low[lanes] + amount
+        carry = np.flatnonzero(low < amount)
+        self.low[lanes] = low
+        if len(carry):
+            back = self.at[lanes][carry] - 1
+            while len(back):
+                self.words[back] += np.uint32(1)
+                back = back[self.words[back] == 0] - 1
+
+    def shift(self, lanes) -> None:
+        self.words[self.at[lanes]] = (self.low[lanes] >> _32).astype(np.uint32)
+        self.at[lanes] += 1
+        self.low[lanes] <<= _32
+        self.range[lanes] <<= _32
+
+
+def encode_block(ids: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each lane, all words) of one block of at least one id."""
+    lengths = lane_lengths(len(ids))
+    n, steps = len(lengths), int(lengths[0])
+    full = int(lengths[-1])
+    starts = np.cumsum(lengths) - lengths
+    grid = np.zeros((steps, n), np.int32)
+    for t in range(steps):
+        k = n if t < full else int(np.count_nonzero(lengths > t))
+        grid[t, :k] = ids[starts[:k] + t] + 1
+    model, out = _Model(alphabet, steps, n), _Out(n, 2 * steps + 4)
+    size = np.uint64(alphabet)
+    for t in range(steps):
+        k = n if t < full else int(np.count_nonzero(lengths > t))
+        if k < len(model.p1):
+            model.end(k)
+        named = grid[t, :k]
+        model.predict()
+        hit2 = model.s2 == named
+        hit1 = (model.s1 == named) & ~hit2
+        way = np.where(hit2, 0, 2 - hit1.view(np.int8)).astype(np.int32)
+        own = out.range[:k]
+        unit = own >> np.uint64(MIX_BITS)
+        b2, b1 = unit * model.f2, unit * model.f1
+        low = np.where(hit2, np.uint64(0), np.where(hit1, b2, b1))
+        own[:] = np.where(hit2, b2, np.where(hit1, b1, own)) - low
+        z = np.flatnonzero(way == 2)
+        place = model.place.take(named[z] - 1)
+        unit = own[z] >> np.uint64(COUNT_BITS)
+        low[z] += unit * model.start.take(place)
+        own[z] = unit * model.part.take(place)
+        out.add(slice(0, k), low)
+        new = z[place == 0]
+        if len(new):
+            out.shift(new[own[new] < _LOW])
+            unit = own[new] // size
+            out.add(new, unit * (named[new] - 1).astype(np.uint64))
+            own[new] = unit
+        out.shift(np.flatnonzero(own < _LOW))
+        model.learn(named, way)
+    # one word more says enough where the range still holds a whole word, else two
+    up = (out.low + _MASK) & ~_MASK
+    short = (up >= out.low) & (up - out.low + _MASK < out.range) & (out.range > _LOW)
+    exact = np.where(short, up, out.low)
+    out.words[out.at] = (exact >> _32).astype(np.uint32)
+    out.at += 1
+    rest = np.flatnonzero(~short)
+    out.words[out.at[rest]] = (exact[rest] & _MASK).astype(np.uint32)
+    out.at[rest] += 1
+    used = out.at - np.arange(n) * out.room
+    held = np.arange(out.room)[None, :] < used[:, None]
+    return used, out.words.reshape(n, out.room)[held]
+
+
+def decode_block(used: np.ndarray, words: np.ndarray, total: int, alphabet: int) -> np.ndarray:
+    lengths = lane_lengths(total)
+    n, steps = len(lengths), int(lengths[0])
+    full = int(lengths[-1])
+    model = _Model(alphabet, steps, n)
+    words = np.concatenate([words, np.zeros(4, np.uint32)])
+    at = np.cumsum(used) - used
+    last = len(words) - 1
+    code = words[at].astype(np.uint64) << _32 | words[np.minimum(at + 1, last)]
+    at += 2
+    size = np.uint64(alphabet)
+    own = np.full(n, (1 << 64) - 1, np.uint64)
+
+    def shift(lanes):
+        a = at[lanes]
+        code[lanes] = code[lanes] << _32 | words.take(np.minimum(a, last))
+        at[lanes] = a + 1
+        own[lanes] <<= _32
+
+    for t in range(steps):
+        k = n if t < full else int(np.count_nonzero(lengths > t))
+        if k < len(model.p1):
+            model.end(k)
+            own, code, at = own[:k], code[:k], at[:k]
+        model.predict()
+        unit = own >> np.uint64(MIX_BITS)
+        b2, b1 = unit * model.f2, unit * model.f1
+        hit2 = code < b2
+        hit1 = (code < b1) & ~hit2
+        way = np.where(hit2, 0, 2 - hit1.view(np.int8)).astype(np.int32)
+        low = np.where(hit2, np.uint64(0), np.where(hit1, b2, b1))
+        code -= low
+        own[:] = np.where(hit2, b2, np.where(hit1, b1, own)) - low
+        named = np.where(hit2, model.s2, model.s1)
+        z = np.flatnonzero(way == 2)
+        unit = own[z] >> np.uint64(COUNT_BITS)
+        value = code[z]
+        place = model.at.take(np.minimum(value // unit, np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64))
+        code[z] = value - unit * model.start.take(place)
+        own[z] = unit * model.part.take(place)
+        named[z] = model.known.take(place) + 1
+        new = z[place == 0]
+        if len(new):
+            shift(new[own[new] < _LOW])
+            unit = own[new] // size
+            raw = np.minimum(code[new] // unit, size - np.uint64(1))
+            code[new] -= raw * unit
+            own[new] = unit
+            named[new] = raw.astype(np.int32) + 1
+        shift(np.flatnonzero(own < _LOW))
+        model.learn(named, way)
+    out = np.empty(total, np.int32)
+    starts = np.cumsum(lengths) - lengths
+    for t in range(steps):
+        k = n if t < full else int(np.count_nonzero(lengths > t))
+        out[starts[:k] + t] = model.ids[t, :k]
+    return out

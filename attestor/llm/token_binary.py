@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import unicodedata
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,22 +17,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
-from .mixing_coder import BLOCK, _cut, decode, encode
+from .common import Workspace, tasks_for
+from .mixing_coder import BLOCK, decode_block, encode_block, lane_lengths
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Tokens in a segment, the unit of writing and reading: whole documents, cut into blocks.
 SEGMENT = 3_000_000
+#: Bytes of text that one task sorts and encodes.
+TASK_BYTES = 64 << 20
 MAGIC = b"ATOK"
-_HEAD = struct.Struct("<4sHIQII")  # magic, version, alphabet, tokens, documents, blocks
-_BLOCK = struct.Struct("<III")  # tokens, coded bytes, crc32 of the ids as 32-bit integers
-_DOC = struct.Struct("<qBQ")  # id, 1 if the id is null, tokens
+_HEAD = struct.Struct("<4sHIQQII")  # magic, version, alphabet, tokens, bytes of the table, its crc32, blocks
+_BLOCK = struct.Struct("<III")  # tokens, 32-bit words, crc32 of the ids as 32-bit integers and the coded bytes
 _TAIL = ".,!?;:"
-
-
-def _stays_letters(body: str) -> bool:
-    """Letters that NFC leaves alone and of which none lower-cases to several code points."""
-    return body.isalpha() and (body.isascii() or (unicodedata.is_normalized("NFC", body) and len(body.lower()) == len(body)))
+#: The steps of a vocabulary whose pieces between white space can be encoded apart, and words by themselves.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STEPS = {"NFC", "Replace", "Lowercase"}
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -38,98 +41,140 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next free
+    one from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(seen)))}
+
+
 class Encoder:
     """The tokenizers library over Arrow batches.
 
-    The vocabulary's normaliser and splitter never join across white space, so each different piece between ASCII
-    white space is encoded once and kept, in bounded memory. Words of letters, in lower case where they are ASCII,
-    are encoded together and told apart by their last token's word-end mark; whatever does not come out even, and
-    any other piece, is encoded by itself. Letters are told from a tail of punctuation only where normalisation
-    leaves them letters: a mark that it makes would form one token with the tail. A test holds the result against the encoding of whole texts.
+    Where the vocabulary's normaliser and splitter are known never to join across white space, each different piece
+    between ASCII white space is encoded once and kept, in bounded memory; a word of Latin letters, alone or before
+    punctuation marks, goes straight to the library's byte-pair model, since normalisation leaves it a word. Letters that
+    NFC changes or that lower-case to several are left to the whole of the library, as are all texts of a vocabulary of
+    other steps. A test holds the result against the encoding of whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 60_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.limit = limit
-        vocabulary = self.tokenizer.get_vocab()
-        self.alphabet = max(vocabulary.values()) + 1
-        self.kind = "<u2" if self.alphabet <= 1 << 16 else "<u4"
-        self.ends = np.zeros(self.alphabet, bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>")
-        self.by_word = self.ends.any()
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.bodies: dict[str, bytes] = {}
-
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> None:
-        width = np.dtype(self.kind).itemsize
-        for at in range(0, len(words), 4096):
-            own = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(own) and cuts[-1] == len(ids):
-                raw, ends = ids.tobytes(), (cuts * width).tolist()
-                self.bodies.update(zip(own, (raw[a:b] for a, b in zip([0] + ends[:-1], ends))))
-            else:
-                self.bodies.update(zip(own, self._each(own)))
-
-    def _learn(self, fresh: list[str]) -> None:
-        parts, words, rest = [], {}, {}
-        for p in fresh:
-            body = p.rstrip(_TAIL)
-            if self.by_word and _stays_letters(body):
-                tail = p[len(body) :]
-                if body.isascii():
-                    body = body.lower()
-                if body not in self.bodies:
-                    words[body] = None
-                if tail and tail not in self.bodies:
-                    rest[tail] = None
-                parts.append((body, tail))
+        self.alphabet = max(self.tokenizer.get_vocab().values()) + 1
+        self.kind = np.dtype("<u2" if self.alphabet <= 1 << 16 else "<u4")
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_piece = (
+            set(steps) <= _STEPS
+            and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": _SPLIT}
+            and not cuts[1]["add_prefix_space"]
+            and spec["model"]["type"] == "BPE"
+        )
+        self.lower = "Lowercase" in steps
+        self.letters = _byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number = {"": 0}  # of each piece that is kept
+        self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.store, self.used = np.empty(4096, self.kind), 0
+
+    def _keep(self, pieces: list[str], ids: list[list[int]]) -> None:
+        at, many = len(self.number), len(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, many)
+        total = int(sizes.sum())
+        if at + many > len(self.first):
+            room = 2 * (at + many)
+            self.first, self.size = np.resize(self.first, room), np.resize(self.size, room)
+        if self.used + total > len(self.store):
+            self.store = np.resize(self.store, 2 * (self.used + total))
+        self.first[at : at + many] = self.used + np.cumsum(sizes) - sizes
+        self.size[at : at + many] = sizes
+        self.store[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
+        self.used += total
+        self.number.update(zip(pieces, range(at, at + many)))
+
+    def _numbers(self, pieces: list[str], encode) -> np.ndarray:
+        get = self.number.get
+        out = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        if len(out) and out.min() < 0:
+            fresh = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(out < 0).tolist()))
+            self._keep(fresh, encode(fresh))
+            out = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        return out
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of Latin letters, already in the vocabulary's case."""
+        tokens = self.model.tokenize
+        return [[t.id for t in tokens(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))] for w in words]
+
+    def _any(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _parts(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of each different piece's word, or of itself, and of the punctuation behind the word."""
+        body = pc.ascii_rtrim(pieces, characters=_TAIL)
+        plain = pc.ascii_is_alpha(body)
+        out = np.zeros((len(pieces), 2), np.int64)
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        words = body.filter(plain)
+        words = (pc.ascii_lower(words) if self.lower else words).dictionary_encode()
+        out[at, 0] = self._numbers(_strings(words.dictionary), self._words)[words.indices.to_numpy(zero_copy_only=False)]
+        tailed = pc.and_(plain, pc.not_equal(pc.binary_length(pieces), pc.binary_length(body)))
+        tails = [p[len(p.rstrip(_TAIL)) :] for p in _strings(pieces.filter(tailed))]
+        out[np.flatnonzero(tailed.to_numpy(zero_copy_only=False)), 1] = self._numbers(tails, self._any)
+        at = np.flatnonzero(pc.invert(plain).to_numpy(zero_copy_only=False))
+        word, whole = ([], [], []), ([], [])
+        for k, p in zip(at.tolist(), _strings(pieces.filter(pc.invert(plain)))):
+            b = p.rstrip(_TAIL)
+            low = b.lower() if self.lower else b
+            if _LATIN.fullmatch(b) and len(low) == len(b) and unicodedata.is_normalized("NFC", b):
+                for to, x in zip(word, (k, low, p[len(b) :])):
+                    to.append(x)
             else:
-                if p not in self.bodies:
-                    rest[p] = None
-                parts.append((p, ""))
-        self._words(list(words))
-        self.bodies.update(zip(rest, self._each(list(rest))))
-        known = self.bodies
-        self.pieces.update(zip(fresh, (known[a] + known[b] if b else known[a] for a, b in parts)))
-
-    def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The packed ids of each piece (without ASCII white space). Of two generations of pieces the older one is
-        forgotten when the younger one is full; pieces that are met again pass over to the younger."""
-        if len(self.pieces) > self.limit:
-            self.older, self.pieces, self.bodies = self.pieces, {}, {}
-        known, older = self.pieces, self.older
-        missing = [p for p in pieces if p not in known]
-        known.update((p, older[p]) for p in missing if p in older)
-        fresh = [p for p in missing if p not in older]
-        if fresh:
-            self._learn(fresh)
-        return [known[p] for p in pieces]
+                for to, x in zip(whole, (k, p)):
+                    to.append(x)
+        out[word[0], 0], out[word[0], 1] = self._numbers(word[1], self._words), self._numbers(word[2], self._any)
+        out[whole[0], 0] = self._numbers(whole[1], self._any)
+        return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order (null counts as empty), and the number of each text's ids."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_piece:
+            ids = self._any(texts.to_pylist())
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), self.kind, int(counts.sum())), counts
+        if len(self.number) > self.limit:
+            self._forget()
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
-        packed = self.ids_of(flat.dictionary.to_pylist())
-        store = np.frombuffer(b"".join(packed), self.kind)
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // store.itemsize
-        starts = np.cumsum(sizes) - sizes
+        parts = self._parts(flat.dictionary)
+        store, ends = _gather(self.store, self.first[parts].ravel(), self.size[parts].ravel())
+        ends = ends[1::2]  # of both parts of each different piece
+        sizes = np.diff(ends, prepend=0)
         piece = flat.indices.to_numpy(zero_copy_only=False)
-        many = sizes[piece]
-        ends = np.cumsum(many)
-        place = np.repeat(starts[piece] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+        ids, ends = _gather(store, (ends - sizes)[piece], sizes[piece])
         offsets = split.offsets.to_numpy()
         total = np.concatenate(([0], ends))
-        return store[place], np.diff(total[offsets - offsets[0]])
+        return ids, np.diff(total[offsets - offsets[0]])
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(store: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``store`` one after the other, and where each ends."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return store[np.repeat(first - (ends - size), size) + np.arange(total)], ends
 
 
 @cache
@@ -137,52 +182,54 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_segment(ids: np.ndarray, docs: list[tuple[int | None, int]], alphabet: int, block: int = BLOCK) -> bytes:
-    """A segment: header, table of (id, tokens), then blocks, each coded from an empty model with its checksum."""
-    lengths = _cut(len(ids), block)
-    if lengths[0] == 0:
-        lengths = lengths[:0]
-    coded = encode(ids, lengths, alphabet) if len(lengths) else []
-    out = [_HEAD.pack(MAGIC, 1, alphabet, len(ids), len(docs), len(lengths))]
-    out += [_DOC.pack(0 if i is None else i, i is None, n) for i, n in docs]
-    at = 0
-    for data, n in zip(coded, lengths.tolist()):
-        out += [_BLOCK.pack(n, len(data), zlib.crc32(ids[at : at + n].astype("<u4").tobytes())), data]
-        at += n
+def write_segment(ids: np.ndarray, table: pa.RecordBatch, alphabet: int, block: int = BLOCK) -> bytes:
+    """A segment: header, table of documents (``doc_id`` of any type, ``n_tokens``) as an Arrow stream, then blocks, each
+    coded from an empty model with its checksum: the words of its lanes in 16 bits each, and the words."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_batch(table)
+    named = sink.getvalue().to_pybytes()
+    blocks = max(0, -(-len(ids) // block))
+    out = [_HEAD.pack(MAGIC, 2, alphabet, len(ids), len(named), zlib.crc32(named), blocks), named]
+    for at in range(0, len(ids), block):
+        own = ids[at : at + block]
+        used, words = encode_block(own, alphabet)
+        coded = used.astype("<u2").tobytes() + words.astype("<u4").tobytes()
+        out += [_BLOCK.pack(len(own), len(words), zlib.crc32(coded, zlib.crc32(own.astype("<u4").tobytes()))), coded]
     return b"".join(out)
 
 
-def read_segment(data: bytes) -> tuple[np.ndarray, list[tuple[int | None, int]]]:
-    """Ids and table of a segment; ValueError where it is cut short or a block's checksum does not fit."""
+def read_segment(data: bytes) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Ids and table of a segment; ValueError where it is cut short or a checksum does not fit."""
     try:
-        magic, version, alphabet, tokens, docs, blocks = _HEAD.unpack_from(data)
-        if magic != MAGIC or version != 1:
-            raise ValueError("not a segment of version 1")
+        magic, version, alphabet, tokens, size, crc, blocks = _HEAD.unpack_from(data)
+        if magic != MAGIC or version != 2:
+            raise ValueError("not a segment of version 2")
         at = _HEAD.size
-        table = []
-        for _ in range(docs):
-            i, null, n = _DOC.unpack_from(data, at)
-            table.append((None if null else i, n))
-            at += _DOC.size
-        lengths, sums, coded = [], [], []
+        named = data[at : at + size]
+        if zlib.crc32(named) != crc:
+            raise ValueError("the table's checksum differs")
+        at += size
+        table = pa.ipc.open_stream(named).read_next_batch()
+        parts = []
         for _ in range(blocks):
-            n, size, crc = _BLOCK.unpack_from(data, at)
+            n, many, crc = _BLOCK.unpack_from(data, at)
             at += _BLOCK.size
-            if at + size > len(data):
+            lanes = len(lane_lengths(n))
+            if at + 2 * lanes + 4 * many > len(data):
                 raise ValueError("segment cut short")
-            lengths.append(n)
-            sums.append(crc)
-            coded.append(data[at : at + size])
-            at += size
-        ids = decode(coded, np.array(lengths, np.int64), alphabet) if blocks else np.empty(0, np.int64)
-    except (struct.error, IndexError) as e:
+            used = np.frombuffer(data, "<u2", lanes, at).astype(np.int64)
+            if used.sum() != many:
+                raise ValueError("a block's lanes differ")
+            own = decode_block(used, np.frombuffer(data, "<u4", many, at + 2 * lanes), n, alphabet)
+            if zlib.crc32(data[at : at + 2 * lanes + 4 * many], zlib.crc32(own.astype("<u4").tobytes())) != crc:
+                raise ValueError("a block's checksum differs")
+            parts.append(own)
+            at += 2 * lanes + 4 * many
+    except (struct.error, IndexError, pa.ArrowException) as e:
         raise ValueError(f"damaged segment: {e}") from e
-    begin = 0
-    for n, crc in zip(lengths, sums):
-        if zlib.crc32(ids[begin : begin + n].astype("<u4").tobytes()) != crc:
-            raise ValueError("a block's checksum differs")
-        begin += n
-    if begin != tokens or sum(n for _, n in table) != tokens:
+    ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    if len(ids) != tokens or (pc.sum(table.column(1)).as_py() or 0) != tokens:
         raise ValueError("token counts differ")
     return ids, table
 
@@ -193,64 +240,68 @@ def write_tokens(
     """Writes the ids of all documents, each with ``end_id`` appended, into the folder ``path``.
 
     Documents are range-partitioned and sorted by id (null first), so partition after partition and segment after
-    segment ids ascend. A segment holds whole documents, about ``segment`` tokens of them, in one binary value whose
-    layout is that of write_segment; segments are rows ``shard, part, data`` of Parquet files, committed by Spark in
-    any store. A task holds one segment, or one document if that is longer. Null texts are empty; repeated rows are
-    written as often as they occur.
+    segment ids ascend; rows with one id follow each other by text. Ids may be of any type that can be sorted. A
+    segment holds whole documents, about ``segment`` tokens of them, in one binary value whose layout is that of
+    write_segment; segments are rows ``shard, part, data`` of Parquet files, committed by Spark in any store. A task
+    holds one segment, or one document if that is longer; there are as many tasks as the texts' bytes ask for. Null
+    texts are empty; repeated rows are written as often as they occur.
     """
     path_of = vocabulary or vocabulary_path()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = tasks_for(docs.sparkSession, size, TASK_BYTES)
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         encoder, shard = _encoder(path_of), TaskContext.get().partitionId()
-        held, table, size, part = [], [], 0, 0
+        held, keys, counts, size, part = [], [], [], 0, 0
 
         def emit():
-            data = write_segment(np.concatenate(held) if held else np.empty(0, np.int64), table, encoder.alphabet)
+            table = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(np.concatenate(counts), pa.int64())], ["doc_id", "n_tokens"])
+            data = write_segment(np.concatenate(held), table, encoder.alphabet)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["shard", "part", "data"]
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                own = batch.slice(at, 1000)
-                ids, counts = encoder.batch(own.column(1))
+            for at in range(0, batch.num_rows, 2000):
+                own = batch.slice(at, 2000)
+                ids, many = encoder.batch(own.column(1))
                 # the end id goes behind each document's own ids
-                ids = np.insert(ids, np.cumsum(counts), end_id)
+                ids = np.insert(ids, np.cumsum(many), end_id)
                 held.append(ids.astype(np.int32))
-                table += zip(own.column(0).to_pylist(), (counts + 1).tolist())
+                keys.append(own.column(0))
+                counts.append(many + 1)
                 size += len(ids)
                 if size >= segment:
                     yield emit()
-                    held, table, size, part = [], [], 0, part + 1
-        if table:
+                    held, keys, counts, size, part = [], [], [], 0, part + 1
+        if keys:
             yield emit()
 
     rows.mapInArrow(run, "shard int, part int, data binary").write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, *, id_type: str = "long", with_ids: bool = False) -> DataFrame:
     """The documents of ``path``, read from its segments: ``shard, part, pos, doc_id, n_tokens, ids_crc32, before``
-    (tokens of the segment's documents before it), and with ``with_ids`` the ids."""
+    (tokens of the segment's documents before it), and with ``with_ids`` the ids. ``id_type`` is that of the documents
+    written."""
     extra = ", ids array<int>" if with_ids else ""
 
     def run(batches):
         for batch in batches:
             for shard, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 ids, table = read_segment(data.as_buffer().to_pybytes())
-                raw = ids.astype("<u4")
-                counts = np.array([n for _, n in table], np.int64)
+                counts = table.column(1).to_numpy()
                 ends = np.cumsum(counts)
-                view = memoryview(raw).cast("B")
+                view = memoryview(ids.astype("<u4")).cast("B")
                 crcs = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]
-                n = len(table)
+                n = len(counts)
                 columns = [
                     pa.array(np.full(n, shard, np.int32)),
                     pa.array(np.full(n, part, np.int32)),
                     pa.array(np.arange(n)),
-                    pa.array([i for i, _ in table], pa.int64()),
+                    table.column(0),
                     pa.array(counts),
                     pa.array(crcs, pa.int64()),
                     pa.array(ends - counts),
@@ -262,8 +313,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     files = spark.read.schema("shard int, part int, data binary").parquet(path)
-    schema = f"shard int, part int, pos long, doc_id long, n_tokens long, ids_crc32 long, before long{extra}"
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, f"shard int, part int, pos long, doc_id {id_type}, n_tokens long, ids_crc32 long, before long{extra}")
 
 
 def token_output(docs: DataFrame, **how) -> DataFrame:
@@ -276,7 +326,8 @@ def token_output(docs: DataFrame, **how) -> DataFrame:
     spark = docs.sparkSession
     work = Workspace(spark, "tokens")
     write_tokens(docs, work.path("files"), **how)
-    rows = work.save(read_tokens(spark, work.path("files")), "read")
+    kind = docs.schema[how.get("id_col", "doc_id")].dataType.simpleString()
+    rows = work.save(read_tokens(spark, work.path("files"), id_type=kind), "read")
     parts = rows.groupBy("shard", "part").agg(F.sum("n_tokens").alias("n"))
     shards = parts.groupBy("shard").agg(F.sum("n").alias("n"))
     ahead = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shards_before"))

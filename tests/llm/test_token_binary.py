@@ -10,34 +10,51 @@ from attestor.llm import mixing_coder as C
 from attestor.llm import token_binary as T
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 2048, 2049, 9000])
+@pytest.mark.parametrize("n", [1, 2, 7, 255, 512, 9000, 70_000])
 @pytest.mark.parametrize("kind", ["uniform", "skewed", "same", "cycle"])
 def test_coder_round_trip(n, kind):
     rng = np.random.default_rng(n)
     ids = {
         "uniform": rng.integers(0, 49408, n), "skewed": rng.zipf(1.4, n) % 49408, "same": np.full(n, 49407), "cycle": np.arange(n) % 5 * 9000,
     }[kind].astype(np.int64)
-    lengths = C._cut(n, C.BLOCK)
-    coded = C.encode(ids, lengths, 49408)
-    assert (C.decode(coded, lengths, 49408) == ids).all()
-    if n > 2000 and kind in ("same", "cycle"):
-        assert sum(map(len, coded)) < n / 4
+    used, words = C.encode_block(ids, 49408)
+    assert used.sum() == len(words) and (C.decode_block(used, words, n, 49408) == ids).all()
+    if n > 8000 and kind in ("same", "cycle"):
+        assert 4 * len(words) < n / 2
+    if n > 60_000 and kind == "skewed":
+        share = np.unique(ids, return_counts=True)[1] / n
+        assert 32 * len(words) < 1.2 * n * -(share * np.log2(share)).sum()
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 300), min_size=1, max_size=400))
-def test_coder_round_trip_of_any_ids(ids):
-    ids = np.array(ids)
-    lengths = C._cut(len(ids), 64)
-    assert (C.decode(C.encode(ids, lengths, 301), lengths, 301) == ids).all()
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=400), st.sampled_from([301, 5_000_000]))
+def test_coder_round_trip_of_any_ids(ids, alphabet):
+    ids = np.array(ids) * (alphabet // 301)
+    used, words = C.encode_block(ids, alphabet)
+    assert (C.decode_block(used, words, len(ids), alphabet) == ids).all()
 
 
-def test_segments_round_trip_and_notice_damage():
+def test_carries():
+    """Ranges that end at a word's border send carries back into words already written."""
+    rng = np.random.default_rng(1)
+    for n in (300, 3000):
+        for _ in range(30):
+            ids = np.where(rng.random(n) < 0.97, 9, rng.integers(0, 12, n))
+            used, words = C.encode_block(ids, 12)
+            assert (C.decode_block(used, words, n, 12) == ids).all()
+
+
+def named(ids, counts):
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+
+
+@pytest.mark.parametrize("block", [700, 1 << 20])
+def test_segments_round_trip_and_notice_damage(block):
     ids = np.arange(5000) % 700
-    data = T.write_segment(ids, [(5, 3000), (None, 0), (7, 2000)], 1000)
+    data = T.write_segment(ids, named([5, None, 7], [3000, 0, 2000]), 1000, block)
     back, table = T.read_segment(data)
-    assert (back == ids).all() and table == [(5, 3000), (None, 0), (7, 2000)]
-    for at in (len(data) // 2, len(data) - 3):
+    assert (back == ids).all() and table.to_pydict() == {"doc_id": [5, None, 7], "n_tokens": [3000, 0, 2000]}
+    for at in (60, len(data) // 2, len(data) - 3):
         broken = bytearray(data)
         broken[at] ^= 0x40
         with pytest.raises(ValueError):
@@ -45,6 +62,8 @@ def test_segments_round_trip_and_notice_damage():
     for cut in (data[:10], data[:-5], b""):
         with pytest.raises(ValueError):
             T.read_segment(cut)
+    back, table = T.read_segment(T.write_segment(np.empty(0, np.int32), named(["a"], [0]), 1000))
+    assert not len(back) and table.column(0).to_pylist() == ["a"]
 
 
 TEXTS = [
@@ -53,10 +72,10 @@ TEXTS = [
 ]
 
 
-def direct(texts):
+def direct(texts, path=None):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(T.vocabulary_path())
+    t = Tokenizer.from_file(path or T.vocabulary_path())
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -100,3 +119,25 @@ def test_letters_that_normalise_to_marks_before_punctuation():
     texts = ["DİYARLİ. x", "DİYARLİ", "İ!? İ. a", "\u0958. b", "\ufb2a. c", "a\u0958, İ;"]
     ids, counts = T.Encoder(T.vocabulary_path()).batch(pa.array(texts, pa.string()))
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == direct(texts)
+
+
+def test_other_vocabularies_encode_whole_texts(corpus, tmp_path):
+    """A cased copy of the vocabulary and one of other steps."""
+    import json
+
+    spec = json.loads(open(T.vocabulary_path()).read())
+    spec["normalizer"]["normalizers"] = [n for n in spec["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(spec))
+    texts = TEXTS + [t for _, t, _ in corpus[:20]]
+    for path in (str(cased), T.vocabulary_path("byte_bpe_50k.json")):
+        ids, counts = T.Encoder(path).batch(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == direct(texts, path)
+    assert T.Encoder(str(cased)).by_piece
+
+
+def test_text_ids(spark):
+    rows = [("b", "two words"), ("a", "one"), (None, "none"), ("a", "again"), ("é", None)]
+    got = T.token_output(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, "a", "a", "b", "é"]
+    assert sorted(r.n_tokens for r in got) == [1, 2, 2, 2, 3]
