@@ -25,6 +25,8 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SEGMENT = 3_000_000
 #: Bytes of text that one task sorts and encodes.
 TASK_BYTES = 64 << 20
+#: Bytes of text that are encoded at a time.
+PIECE_BYTES = 16 << 20
 MAGIC = b"ATOK"
 _HEAD = struct.Struct("<4sHIQQII")  # magic, version, alphabet, tokens, bytes of the table, its crc32, blocks
 _BLOCK = struct.Struct("<III")  # tokens, 32-bit words, crc32 of the ids as 32-bit integers and the coded bytes
@@ -234,6 +236,16 @@ def read_segment(data: bytes) -> tuple[np.ndarray, pa.RecordBatch]:
     return ids, table
 
 
+def _slices(batch: pa.RecordBatch):
+    """Rows with about PIECE_BYTES of text each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_tokens(
     docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, segment: int = SEGMENT
 ) -> None:
@@ -264,8 +276,7 @@ def write_tokens(
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                own = batch.slice(at, 2000)
+            for own in _slices(batch):
                 ids, many = encoder.batch(own.column(1))
                 # the end id goes behind each document's own ids
                 ids = np.insert(ids, np.cumsum(many), end_id)
