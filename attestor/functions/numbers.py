@@ -35,17 +35,20 @@ def stance_numbers(col: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda n: F.translate(F.regexp_replace(n, r"\s+", ""), ",", ".")))
 
 
-def lexical_overlap(query: Column, text: Column, word: str) -> Column:
-    """Over the query's distinct tokens, the smaller of its counts in query and text, per distinct token, at most 1."""
-    q, t = words(F.lower(query), word), words(F.lower(text), word)
-    shared = F.array_intersect(q, t)
+def overlap_of(q: Column, t: Column) -> Column:
+    """Over the distinct words of ``q``, the smaller of their counts in ``q`` and ``t``, per distinct word, at most 1."""
     count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-    total = F.aggregate(shared, F.lit(0), lambda acc, x: acc + F.least(count(q, x), count(t, x)))
+    total = F.aggregate(F.array_intersect(q, t), F.lit(0), lambda acc, x: acc + F.least(count(q, x), count(t, x)))
     return F.when((F.size(q) == 0) | (F.size(t) == 0), F.lit(0.0)).otherwise(
         round_at(F.least(total / F.size(F.array_distinct(q)), F.lit(1.0)))
     )
 
 
+def lexical_overlap(query: Column, text: Column, word: str) -> Column:
+    """:func:`overlap_of` two texts' words in lower case."""
+    return overlap_of(words(F.lower(query), word), words(F.lower(text), word))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -653,15 +653,18 @@ def search_queries(spark, d):
 
 @query()
 def crawl_numbers(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(crawl.mentions("text")).alias("m"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(crawl.mentions(F.col("text"))).alias("m"))
     return rows.select("doc_id", "m.*")
 
 
+def _strong_claims(spark, d):
+    rows = _claims(spark, d).withColumn("entities", tx.entities(F.col("text")))
+    return rows.withColumn("strong", crawl.strong_entities(F.col("text"), F.col("entities"), tx.subject(F.col("text"), F.col("entities")), F.col("text")))
+
+
 @query()
 def crawl_queries(spark, d):
-    rows = _claims(spark, d).withColumn("entities", tx.entities(F.col("text")))
-    rows = rows.withColumn("strong", crawl.strong_entities(F.col("text"), F.col("entities"), tx.subject(F.col("text"), F.col("entities")), F.col("text")))
-    rows = rows.withColumn("numbers", crawl.required("text"))
+    rows = _strong_claims(spark, d).withColumn("numbers", crawl.required(F.col("text")))
     news = crawl.news_queries(F.col("text"), F.col("entities"), F.lit(""), F.lit(""))
     return rows.select("claim_id", crawl.crawl_query(F.col("text"), F.col("strong"), F.col("numbers")).alias("query"), F.array_join(news, " || ").alias("news"))
 
@@ -670,16 +673,9 @@ def crawl_queries(spark, d):
 def crawl_candidates(spark, d):
     """Claims against pages that share one of the claim's phrase tokens (claims of up to five) or two, which the strict
     filter asks for, by their best excerpt, with the filter's reason."""
-    page_rows = _articles(spark, d).select(F.col("page_id").alias("evidence_id"), "url", "title", F.array_join("blocks", "\n").alias("body"))
-    left = _claims(spark, d).withColumn("claim_tokens", tx.phrase_tokens(F.col("text")))
-    right = retrieve.prepared(page_rows, "body", "evidence")
-    least = F.when(F.size("claim_tokens") <= 5, 1).otherwise(2)
-    pairs = retrieve.token_pairs(left, right, least=1).join(left.select("claim_id", F.col("text").alias("claim_text"), least.alias("least")), "claim_id")
-    rows = pairs.where(F.col("overlap") >= F.col("least")).drop("least").join(page_rows, "evidence_id")
-    best = crawl.excerpts(rows, key=("claim_id", "evidence_id"))
-    rows = rows.drop("body").join(best, ["claim_id", "evidence_id"]).withColumnRenamed("excerpt", "evidence_text")
-    rows = rows.withColumn("claim_entities", tx.entities(F.col("claim_text"))).withColumn("context", F.lit(""))
-    return crawl.judge(rows).select("claim_id", "evidence_id", "reason", "similarity")
+    pages_ = _articles(spark, d).select(F.col("page_id").alias("evidence_id"), "url", "title", F.array_join("blocks", "\n").alias("body"))
+    left = _claims(spark, d).select("claim_id", F.col("text").alias("claim_text"), tx.entities(F.col("text")).alias("claim_entities"), F.lit("").alias("context"))
+    return crawl.judged_pairs(left, pages_).select("claim_id", "evidence_id", "reason", "similarity")
 
 
 # --- rerank, stance, score --------------------------------------------------------------------------------------------
