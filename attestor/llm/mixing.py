@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Workspace
+from .common import WORD_PATTERN, Workspace, free_names
 
 #: A document's seeded place is a number of 60 bits, refined 12 bits at a time.
 PLACE_BITS, STEP_BITS = 60, 12
@@ -80,8 +80,8 @@ def mix(
     long as their middle word is inside what is left, so a source ends within half a document of its target.
 
     Null text counts no words; a null source is a source of its own; a source without words gets target 0; a null id
-    is hashed as empty text; rows with one id share their place; an empty table gives no rows. Other columns are
-    ignored. Only the ids and sizes are shuffled, never the texts. A hot source is summed before the shuffle, its
+    is hashed as empty text; ids may be of any type that can be sorted; rows with one id share their place; an empty
+    table gives no rows. Very long texts are documents like others: none is cut. Other columns are ignored. Only the ids and sizes are shuffled, never the texts. A hot source is summed before the shuffle, its
     running sums are over at most 4096 buckets at each of two levels, and the join back may be split by AQE.
     """
     spark = docs.sparkSession
@@ -114,11 +114,12 @@ def mix(
     rows = base.withColumn("__b1", first).join(one, [*KEY, "__b1"]).withColumn("__b2", second)
     two = _crossing(rows, [*KEY, "__b1"], "__b2")
     # what is left in one of 2**24 buckets is a few documents of a source
-    place = F.struct(F.col("__u"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__i"))
+    kind = docs.schema[id_col].dataType
+    place = F.struct(F.col("__u"), F.col("doc_id").isNotNull().cast("int").alias("__k"), F.col("doc_id").alias("__i"))
     last = base.withColumn("__b1", first).withColumn("__b2", second).join(two, [*KEY, "__b1", "__b2"]).withColumn("__at", place)
     run = F.sum("size").over(Window.partitionBy(*KEY).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("__in", 2 * run - F.col("size") <= 2 * F.col("left"))
-    floor_at = F.struct((F.shiftleft("__b2", PLACE_BITS - 2 * STEP_BITS) - 1).alias("__u"), F.lit((1 << 63) - 1).alias("__i"))
+    floor_at = F.struct((F.shiftleft("__b2", PLACE_BITS - 2 * STEP_BITS) - 1).alias("__u"), F.lit(2).alias("__k"), F.lit(None).cast(kind).alias("__i"))
     cut = last.groupBy(*KEY).agg(F.coalesce(F.max(F.when(F.col("__in"), F.col("__at"))), F.min(floor_at)).alias("__cut"))
     plan = work.save(plan.join(cut, KEY, "left").select(*KEY, "source_size", "target", "whole", "__cut"), "plan")
 
@@ -131,9 +132,11 @@ def mix(
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row repeated as often as :func:`mix` takes its document; the columns stay the same.
 
-    Rows that share an id share a decision, so ids are assumed to name documents.
+    Rows that share an id share a decision, so ids are assumed to name documents. Columns keep their names and values,
+    whatever the names.
     """
     id_col = how.get("id_col", "doc_id")
-    keep = mix(docs, **how).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").cast("int").alias("__repeats"))
-    out = docs.join(keep.withColumnRenamed("doc_id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
+    i, n, turn = free_names(docs, "id", "repeats", "turn")
+    keep = mix(docs, **how).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").cast("int").alias(n))
+    out = docs.join(keep.withColumnRenamed("doc_id", i), F.col(id_col).eqNullSafe(F.col(i)))
+    return out.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

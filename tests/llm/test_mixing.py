@@ -62,3 +62,16 @@ def test_empty_tables(spark, empty, docs):
     assert M.mix(empty).collect() == [] and M.apply_mix(empty).collect() == []
     blank = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert {(r.doc_id, r.target, r.taken) for r in M.mix(blank).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
+
+
+def test_text_ids_and_clashing_columns(spark):
+    rows = [(f"d{k}", "w " * (k + 1), "ab"[k % 2], k, k) for k in range(12)] + [(None, "w w", "a", 1, 1), (None, None, None, 2, 2)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, __repeats long, __turn long")
+    found = M.mix(docs).collect()
+    assert len(found) == len(rows)
+    took = {}
+    for r in found:
+        took[r.doc_id] = max(took.get(r.doc_id, 0), r.repeats)
+    out = M.apply_mix(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted((r for r in rows for _ in range(took[r[0]])), key=str)
