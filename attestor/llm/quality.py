@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .training import held_out, labelled_sample
@@ -160,15 +160,9 @@ def _scorer(shared):
     return shared.value, _SCORERS["features"]
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` (0 to 1, higher: label 1 likelier), ``predicted`` and
-    ``held_out``; columns of these names are replaced.
-
-    The inputs are the whole text's different words, hashed, and the statistics of STATISTICS; null, empty and blank
-    texts have no words and statistics of zero. Rows are scored one by one in time linear in their words, so repeated
-    rows repeat their score, and an empty table gives no rows. No shuffle; the model of about 2 MB is broadcast.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(spark: SparkSession, model: Model, text) -> Column:
+    """The score of a text column."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def good(texts):
@@ -177,5 +171,17 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         model, features = _scorer(shared)
         return pd.Series(sigmoid(np.array([model.logit(*features.of(t)) for t in texts], np.float64)), index=texts.index)
 
-    out = docs.withColumn("held_out", held_out(F.col(id_col), FOLDS, HELD)).withColumn("score", good(F.col(text_col)))
+    return good(text.cast("string"))
+
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with ``score`` (0 to 1, higher: label 1 likelier), ``predicted`` and
+    ``held_out``; columns of these names are replaced.
+
+    The inputs are the whole text's different words, hashed, and the statistics of STATISTICS; null, empty and blank
+    texts have no words and statistics of zero. Rows are scored one by one in time linear in their words, so repeated
+    rows repeat their score, and an empty table gives no rows. No shuffle; the model of about 2 MB is broadcast.
+    """
+    value = score_column(docs.sparkSession, model, F.col(text_col))
+    out = docs.withColumns({"held_out": held_out(F.col(id_col), FOLDS, HELD), "score": value})
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .training import held_out, labelled_sample
@@ -167,6 +167,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, label
     return train(labelled_sample(docs, labels, label=label, folds=FOLDS, fold=HELD, per_class=per_class, **cols))
 
 
+def score_column(spark: SparkSession, model: Model, text) -> Column:
+    """The score of a text column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def toxic(texts):
+        import pandas as pd
+
+        scorer = _scorer(shared)
+        return pd.Series(sigmoid(np.array([scorer.logit(t) for t in texts], np.float64)), index=texts.index)
+
+    return toxic(text.cast("string"))
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``score`` (0 to 1), ``predicted`` and ``held_out``; columns of these
     names are replaced.
@@ -177,17 +191,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     repeated rows repeat their score, and an empty table gives no rows. Scoring needs no shuffle; the model of half
     a megabyte is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def toxic(texts):
-        import pandas as pd
+    value = score_column(docs.sparkSession, model, F.col(text_col))
+    out = docs.withColumns({"held_out": held_out(F.col(id_col), FOLDS, HELD), "score": value})
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-        scorer = _scorer(shared)
-        return pd.Series(sigmoid(np.array([scorer.logit(t) for t in texts], np.float64)), index=texts.index)
 
-    out = docs.withColumn("held_out", held_out(F.col(id_col), FOLDS, HELD)).withColumn("score", toxic(F.col(text_col)))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic; no column is added or changed."""
+    return docs.where(score_column(docs.sparkSession, model, F.col(text_col)) < 0.5)
 
 
 _SCORERS: dict = {}

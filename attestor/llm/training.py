@@ -19,18 +19,20 @@ def labelled_sample(
     """At most ``per_class`` texts of each class, those with the smallest hash of their id, held-out rows excluded.
 
     The ids are chosen from the narrow label table first, so only the chosen texts leave the scan. Rows with null id,
-    null text or another label than 0 and 1 are not used; of labels that disagree on an id, the largest counts.
+    null text or another label than 0 and 1 are not used; of labels that disagree on an id, the largest counts; of
+    texts that share an id, that with the smallest hash. Reruns agree.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).alias("y"))
-    known = known.where(~held_out(F.col(id_col), folds, fold)).withColumn("h", F.xxhash64(F.col(id_col).cast("string")))
+    known = labels.select(F.col(id_col).alias("i"), F.col(label).alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1))
+    known = known.groupBy("i").agg(F.max("y").alias("y")).where(~held_out(F.col("i"), folds, fold)).withColumn("h", F.xxhash64(F.col("i").cast("string")))
     chosen: list = []
     for y in (0, 1):
-        chosen += [(r[0], y) for r in known.where(F.col("y") == y).orderBy("h", id_col).limit(per_class).select(id_col).collect()]
+        chosen += [(r[0], y) for r in known.where(F.col("y") == y).orderBy("h", "i").limit(per_class).select("i").collect()]
     if not chosen:
         return []
     which = dict(chosen)
     kind = docs.schema[id_col].dataType.simpleString()
-    ids = docs.sparkSession.createDataFrame([(i,) for i in which], f"__id {kind}")
-    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = picked.join(F.broadcast(ids), "__id", "left_semi").dropDuplicates(["__id"]).collect()  # 2 * per_class rows at most
-    return [(r["text"], which[r["__id"]]) for r in sorted(rows, key=lambda r: r["__id"])]
+    ids = docs.sparkSession.createDataFrame([(i,) for i in which], f"i {kind}")
+    picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    picked = picked.join(F.broadcast(ids), "i", "left_semi")
+    rows = picked.groupBy("i").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).collect()  # 2 * per_class rows at most
+    return [(r["m"]["text"], which[r["i"]]) for r in sorted(rows, key=lambda r: r["i"])]
