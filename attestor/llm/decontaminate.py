@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, free_names
 
 #: Characters in a q-gram and edits allowed per character of an item (below 1 / Q, so that the lemma's bound holds).
 Q, EDIT_RATE = 12, 0.05
-#: Characters of items that one pass over the documents looks for; more items are looked for in several passes.
-PASS_CHARS = 20_000_000
+#: Characters of items that one pass over the documents looks for, at 20 bytes each in every worker; more items are
+#: looked for in several passes.
+PASS_CHARS = 3_000_000
 #: Hits of q-grams held at a time.
 AT_ONCE = 4_000_000
 _MIX = 0x9E3779B97F4A7C15
@@ -81,12 +84,18 @@ class Index:
     pos: np.ndarray
     table: np.ndarray
     q: int
+    short: dict[int, dict[bytes, int]]
+    short_ids: list
 
 
-def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Index:
-    """Items shorter than q characters after normalisation cannot be told from chance and are left out. The edit
+def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE, short_items: bool = False) -> Index:
+    """Items shorter than q characters after normalisation are left out or, with ``short_items``, kept apart. The edit
     budget is rate * length, lowered where the lemma would ask for no shared q-gram."""
     rows = [(i, normalise(t)[0]) for i, t in items]
+    few = [(i, c) for i, c in rows if 0 < len(c) < q] if short_items else []
+    short: dict[int, dict[bytes, int]] = {}
+    for k, (_, c) in enumerate(few):
+        short.setdefault(len(c), {})[c.tobytes()] = k
     rows = [(i, c) for i, c in rows if len(c) >= q]
     lengths = np.array([len(c) for _, c in rows], np.int64)
     edits = np.minimum((lengths * rate).astype(np.int64), (lengths - q) // q)
@@ -94,11 +103,11 @@ def build_index(items: list[tuple], q: int = Q, rate: float = EDIT_RATE) -> Inde
     hashes = [gram_hashes(c, q) for _, c in rows]
     flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
     order = np.argsort(flat, kind="stable")
-    item = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])[order] if rows else np.empty(0, np.int64)
-    pos = np.concatenate([np.arange(len(h)) for h in hashes])[order] if rows else np.empty(0, np.int64)
+    item = np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h in hashes])[order] if rows else np.empty(0, np.int32)
+    pos = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes])[order] if rows else np.empty(0, np.int32)
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[flat >> np.uint64(64 - _TABLE_BITS)] = True
-    return Index([i for i, _ in rows], [c for _, c in rows], edits, need, flat[order], item, pos, table, q)
+    return Index([i for i, _ in rows], [c for _, c in rows], edits, need, flat[order], item, pos, table, q, short, [i for i, _ in few])
 
 
 def align(item: np.ndarray, region: np.ndarray, budget: int, low: int, high: int) -> int | None:
@@ -230,6 +239,65 @@ def _verify(codes, at, reached, index, found) -> None:
             found[number] = (number, edits, int(at[first_char]), int(at[min(last_char, len(at)) - 1]) + 1)
 
 
+def find_short(text: str | None, short: dict[int, dict[bytes, int]]) -> list[tuple[int, int, int, int]]:
+    """Like find_items for items too short for q-grams (by length: code points and item number): whole words, verbatim."""
+    codes, at = normalise(text)
+    found = []
+    for size, items in short.items():
+        if len(codes) < size:
+            continue
+        # the text's windows of this length that begin and end with a word
+        border = np.concatenate(([True], codes == 32, [True]))
+        for k in np.flatnonzero(border[: len(codes) - size + 1] & border[size + 1 :]).tolist():
+            number = items.get(codes[k : k + size].tobytes())
+            if number is not None and number not in {f[0] for f in found}:
+                found.append((number, 0, int(at[k]), int(at[k + size - 1]) + 1))
+    return sorted(found)
+
+
+def _passes(items: DataFrame, pass_chars: int) -> Iterator[tuple[list[tuple], int]]:
+    """One pass after the other, as (ids, text) of each different normalised text, and how many passes there are."""
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    passes = max(1, -(-chars // pass_chars))
+    if passes > 1:
+        items = Workspace(items.sparkSession, "items").save(items.withColumn("pass", F.pmod(F.xxhash64("text"), F.lit(passes))), "items")
+    for k in range(passes):
+        rows = items if passes == 1 else items.where(F.col("pass") == k)
+        rows = sorted(((r["item_id"], r["text"]) for r in rows.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+        # each different text is searched once, for all its ids
+        texts: dict[bytes, tuple[list, str]] = {}
+        for i, t in rows:
+            texts.setdefault(normalise(t)[0].tobytes(), ([], t))[0].append(i)
+        yield list(texts.values()), passes
+
+
+def _found(
+    docs: DataFrame, items: DataFrame, name: str, *, text_col: str, item_id_col: str, item_text_col: str, q: int, rate: float, pass_chars: int, short_items: bool
+) -> DataFrame:
+    """``docs`` with the matches of all items in column ``name``."""
+    spark = docs.sparkSession
+    kind = items.schema[item_id_col].dataType
+    spans = f"array<struct<item_id:{kind.simpleString()},edits:int,start:int,end:int>>"
+    items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    work = rows = None
+    names, found = free_names(docs, "row", "found"), []
+    for k, (texts, passes) in enumerate(_passes(items, pass_chars)):
+        shared = spark.sparkContext.broadcast(build_index(texts, q, rate, short_items))
+        if passes == 1:
+            return docs.withColumn(name, F.array_sort(_search_udf(shared, spans, kind)(F.col(text_col).cast("string"))))
+        # each pass is a job of its own, so a worker holds one index at a time
+        if work is None:
+            work = Workspace(spark, "contamination")
+            rows = work.save(docs.withColumn(names[0], F.monotonically_increasing_id()), "rows")
+        one = rows.select(names[0], _search_udf(shared, spans, kind)(F.col(text_col).cast("string")).alias(names[1]))
+        found.append(work.save(one.where(F.size(names[1]) > 0), f"pass_{k}"))
+        shared.destroy()
+    both = reduce(DataFrame.unionByName, found).groupBy(F.col(names[0]).alias("row")).agg(F.array_sort(F.flatten(F.collect_list(names[1]))).alias("found"))
+    both = work.save(both, "found").withColumnsRenamed({"row": names[0], "found": names[1]})
+    out = rows.drop(*[c for c in [name] if c in rows.columns]).join(both, names[0], "left")
+    return out.withColumn(name, F.coalesce(names[1], F.array().cast(spans))).drop(*names)
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -241,41 +309,28 @@ def contamination(
     q: int = Q,
     rate: float = EDIT_RATE,
     pass_chars: int = PASS_CHARS,
+    short_items: bool = False,
 ) -> DataFrame:
-    """``docs`` with ``contaminated`` and ``matches``, an array of (item_id, edits, start, end) by item.
+    """``docs`` with ``contaminated`` and ``matches``, an array of (item_id, edits, start, end) by item; columns of these
+    names are replaced.
 
     A document holds an item where, after lower-casing and with runs of other characters than letters and digits as
-    one space, a piece of it is within the item's edit budget: rate * length edits. By the q-gram lemma such a piece
-    shares at least length - q + 1 - q * edits q-grams with the item inside one band of diagonals; bands that reach
-    the bound are aligned within the band. ``start`` and ``end`` are places in the lower-cased text, exact for
-    verbatim matches and those of the aligned region otherwise.
-
-    Null and empty texts and items match nothing, nor do items shorter than q characters; items of one text are all
+    one space, a piece of it is within the item's edit budget: rate * length edits, and for items of under 24
+    characters as many as the lemma has room for. By the q-gram lemma such a piece shares at least length - q + 1 - q *
+    edits q-grams with the item inside one band of diagonals; bands that reach the bound are aligned within the band.
+    ``start`` and ``end`` are places in the lower-cased text, exact for verbatim matches and those of the aligned region
+    otherwise.
+
+    Null and empty texts and items match nothing. Items shorter than q characters, which are a word or two, match
+    nothing either, or, with ``short_items``, wherever they stand verbatim as whole words. Items of one text are all
     reported; null item ids are reported as null. Rows are searched one by one over their whole text, so repeated
-    rows repeat their result; an empty table gives no rows. Documents are not shuffled. Items are collected and
-    broadcast in passes of ``pass_chars`` characters, measured first; more items mean more passes over the documents,
-    with whatever was found so far carried along.
+    rows repeat their result; an empty table gives no rows. Items are collected and broadcast in passes of
+    ``pass_chars`` characters, measured first. One pass needs no shuffle; more are jobs of their own over numbered
+    rows, whose matches are joined.
     """
-    spark = docs.sparkSession
-    kind = items.schema[item_id_col].dataType.simpleString()
-    spans = f"array<struct<item_id:{kind},edits:int,start:int,end:int>>"
-    items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    passes = max(1, -(-chars // pass_chars))
-    out = docs.withColumn("__found", F.array().cast(spans))
-    if passes > 1:
-        items = Workspace(spark, "items").save(items.withColumn("__pass", F.pmod(F.xxhash64("text"), F.lit(passes))), "items")
-    for k in range(passes):
-        rows = items if passes == 1 else items.where(F.col("__pass") == k)
-        rows = sorted(((r["item_id"], r["text"]) for r in rows.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        # each different text is searched once, for all its ids
-        texts: dict[bytes, tuple[list, str]] = {}
-        for i, t in rows:
-            texts.setdefault(normalise(t)[0].tobytes(), ([], t))[0].append(i)
-        shared = spark.sparkContext.broadcast(build_index(list(texts.values()), q, rate))
-        out = out.withColumn("__found", F.concat("__found", _search_udf(shared, spans, items.schema["item_id"].dataType)(F.col(text_col))))
-    out = out.withColumn("matches", F.array_sort("__found")).withColumn("contaminated", F.size("matches") > 0)
-    return out.drop("__found")
+    how = dict(text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, q=q, rate=rate, pass_chars=pass_chars, short_items=short_items)
+    out = _found(docs, items, "matches", **how)
+    return out.withColumn("contaminated", F.size("matches") > 0)
 
 
 def _search_udf(shared, spans: str, id_type):
@@ -288,12 +343,18 @@ def _search_udf(shared, spans: str, id_type):
         index = shared.value
         rows = []
         for t in texts:
-            rows.append([{"item_id": i, "edits": e, "start": a, "end": b} for n, e, a, b in find_items(t.as_py(), index) for i in index.ids[n]])
+            t = t.as_py()
+            found = [(index.ids[n], e, a, b) for n, e, a, b in find_items(t, index)]
+            found += [(index.short_ids[n], e, a, b) for n, e, a, b in find_short(t, index.short)] if index.short else []
+            rows.append([{"item_id": i, "edits": e, "start": a, "end": b} for ids, e, a, b in found for i in ids])
         return pa.array(rows, pa.list_(inner))
 
     return search
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that hold no item; the columns stay the same."""
-    return contamination(docs, items, **how).where(~F.col("contaminated")).select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` that hold no item (see contamination); columns keep their names and values, whatever the
+    names."""
+    how = dict(text_col="text", item_id_col="item_id", item_text_col="text", q=Q, rate=EDIT_RATE, pass_chars=PASS_CHARS, short_items=False) | how
+    (name,) = free_names(docs, "matches")
+    return _found(docs, items, name, **how).where(F.size(name) == 0).select(*docs.columns)

@@ -105,3 +105,22 @@ def test_items_of_one_text_are_searched_once_and_all_reported(spark):
     items = spark.createDataFrame([(1, text), (2, text.upper()), (None, text), (3, "quite another benchmark item here")], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"before {text} behind")], "doc_id long, text string")
     assert sorted((m.item_id for m in D.contamination(docs, items).first().matches), key=str) == [1, 2, None]
+
+
+def test_short_items_match_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Yes, no"), (2, "ok"), (3, "OK!"), (4, ""), (5, None), (6, "a much longer benchmark item")], "item_id long, text string")
+    rows = [(1, "well: yes  NO?"), (2, "yes nope, oklahoma"), (3, "it is ok"), (4, "ok"), (5, None), (6, "A much longer benchmark item")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for pass_chars in (10**6, 10):
+        found = {r.doc_id: [m.item_id for m in r.matches] for r in D.contamination(docs, items, short_items=True, pass_chars=pass_chars).collect()}
+        assert found == {1: [1], 2: [], 3: [2, 3], 4: [2, 3], 5: [], 6: [6]}
+    assert {r.doc_id for r in D.contamination(docs, items).where("contaminated").collect()} == {6}
+
+
+@pytest.mark.parametrize("pass_chars", [10**9, 60])
+def test_clashing_columns_stay(spark, pass_chars):
+    items = spark.createDataFrame([(1, "a sentence that stands in the benchmark"), (2, "one more sentence of the benchmark")], "item_id long, text string")
+    rows = [(1, "quite clean", "yes", "m", "f", 4), (1, "ONE more sentence, of the benchmark", "no", "m", "f", 5), (None, None, "no", "n", "g", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, contaminated string, matches string, __found string, __row long")
+    kept = D.decontaminate(docs, items, pass_chars=pass_chars)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
