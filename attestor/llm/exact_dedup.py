@@ -83,16 +83,17 @@ def name_texts(docs: DataFrame, work: Workspace, block: int = BLOCK, prints=bloc
     named by integers; names of neighbours are paired and each different pair is named anew, level by level, until
     each text has one name. A text of one block is done at once and only longer ones go on, so the work of all
     levels is a small part of the first. A block's bytes are shuffled once, after copies in one task were merged.
-    They return to their places by their prints; the bytes decide for prints that different blocks share.
+    They return to their places by their prints; the bytes decide for prints that different blocks share. Places are
+    written once, so a row keeps its number whatever is read again.
     """
-    stand = _block_rows(docs, block, prints, content=False)
+    stand = work.save(_block_rows(docs, block, prints, content=False), "places")
     different = _block_rows(docs, block, prints, content=True).groupBy("h", "block").agg(F.count(F.lit(1)).alias("c"))
     names = _named(different, ["block"], work, "names", ["h"])
     sure = work.save(names.groupBy("h").agg(F.min("name").alias("name"), F.max("name").alias("last")), "prints")
     clash = work.save(sure.where("name <> last").select("h"), "clash")
     found = stand.join(sure.where("name = last").select("h", "name"), "h")
     if not clash.isEmpty():
-        found = found.unionByName(_by_content(docs, block, prints, clash, work))
+        found = found.unionByName(_by_content(docs, stand, block, prints, clash, work))
     found = work.save(found.select("id", "row", "n", "pos", "name", "sha"), "level_0")
     work.drop("names")
 
@@ -118,30 +119,25 @@ def name_texts(docs: DataFrame, work: Workspace, block: int = BLOCK, prints=bloc
     return out.unionByName(done.join(shas, "row").select("id", "row", "level", "name", "sha"))
 
 
-def _by_content(docs: DataFrame, block: int, prints, clash: DataFrame, work: Workspace) -> DataFrame:
+def _by_content(docs: DataFrame, stand: DataFrame, block: int, prints, clash: DataFrame, work: Workspace) -> DataFrame:
     """Places of the blocks whose print several blocks share, named by bytes. Their names are below -1, so they meet
-    no other name."""
-    kind = docs.schema["id"].dataType.simpleString()
+    no other name. A text's digest and the place say which block it is."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, r, t in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text"))):
-                data = normalised(t)
+            rows = set()
+            for t in batch.column("text"):
+                data = normalised(t.as_py())
                 own = _blocks(data, block)
-                rows += [(i, r, len(own), p, prints(b), hashlib.sha256(data).hexdigest() if p == 0 else None, b) for p, b in enumerate(own)]
-            names = ["id", "row", "n", "pos", "h", "sha", "block"]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(names, r)) for r in rows],
-                pa.schema(
-                    [("id", batch.column("id").type), ("row", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())]
-                    + [("h", pa.int64()), ("sha", pa.string()), ("block", pa.binary())]
-                ),
-            )
+                rows |= {(hashlib.sha256(data).hexdigest(), p, prints(b), b) for p, b in enumerate(own)}
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["text_sha", "pos", "h", "block"])
 
-    rows = docs.mapInArrow(run, f"id {kind}, row long, n long, pos long, h long, sha string, block binary").join(clash, "h", "left_semi")
+    rows = docs.select("text").mapInArrow(run, "text_sha string, pos long, h long, block binary").join(clash, "h", "left_semi").distinct()
     named = _named(rows.select("block").distinct(), ["block"], work, "clash_names", ["block"])
-    return rows.join(named, "block").select("h", "id", "row", "n", "pos", "sha", (-F.col("name") - 2).alias("name"))
+    named = work.save(rows.join(named, "block").select("text_sha", "pos", (-F.col("name") - 2).alias("name")), "clash_places")
+    texts = stand.where("pos = 0").select("row", F.col("sha").alias("text_sha"))
+    return stand.join(clash, "h", "left_semi").join(texts, "row").join(named, ["text_sha", "pos"]).select("h", "id", "row", "n", "pos", "sha", "name")
 
 
 def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, prints=block_print) -> DataFrame:
@@ -149,8 +145,9 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Texts are equal when they are identical after lower-casing A-Z only; null counts as empty. Of equal texts the row
     with the largest doc_id stays; of rows that share that id too, one is marked as kept. A null id is smaller than
-    any other: a group of null ids keeps one of them and has ``keep_id`` null. ``group_size`` counts rows. An empty
-    table gives no rows; other columns are ignored.
+    any other: a group of null ids keeps one of them and has ``keep_id`` null. ``group_size`` counts rows. A very long
+    text is many blocks, which are shuffled and named apart, so no task holds more than it read. An empty table gives no
+    rows; other columns are ignored.
 
     Groups are formed by partial aggregation and joined back, so a group that holds a third of all rows is neither
     gathered nor sorted in one task.
