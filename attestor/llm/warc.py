@@ -27,6 +27,8 @@ ARC_LEGEND = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_URN = "urn:page:"
+#: Bytes of payload in an archive, before compression and on average.
+ARCHIVE_BYTES = 256 << 20
 
 
 @dataclass
@@ -138,24 +140,16 @@ def warc_bytes(record: WarcRecord) -> bytes:
 
 
 class _Stream:
-    """Bytes of a plain or gzipped archive, inflated piece by piece."""
+    """Bytes of an archive that come piece by piece."""
 
-    def __init__(self, data: bytes, step: int = 1 << 20):
-        self.data, self.step, self.at, self.ready, self.pos = memoryview(data), step, 0, b"", 0
-        self.inflate = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.ready, self.pos = iter(pieces), b"", 0
 
     def more(self) -> bool:
-        if self.at >= len(self.data):
+        piece = next(self.pieces, None)
+        if piece is None:
             return False
-        piece = bytes(self.data[self.at : self.at + self.step])
-        self.at += len(piece)
-        parts, self.pos = [self.ready[self.pos :]], 0
-        while self.inflate and piece:
-            parts.append(self.inflate.decompress(piece))
-            piece = self.inflate.unused_data
-            if self.inflate.eof and (piece or self.at < len(self.data)):
-                self.inflate = zlib.decompressobj(31)
-        self.ready = b"".join(parts if self.inflate else [*parts, piece])
+        self.ready, self.pos = self.ready[self.pos :] + piece, 0
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -168,18 +162,37 @@ class _Stream:
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.ready) - self.pos < n:
-            if not self.more():
+        parts, missing = [], n
+        while len(self.ready) - self.pos < missing:
+            parts.append(self.ready[self.pos :])
+            missing -= len(parts[-1])
+            self.ready, self.pos = next(self.pieces, None), 0
+            if self.ready is None:
                 raise ValueError("record cut short")
-        out = self.ready[self.pos : self.pos + n]
-        self.pos += n
-        return out
-
-
-def parse_warc(data: bytes) -> Iterator[WarcRecord]:
-    """The records of a WARC file, plain or gzipped as a whole or by record. Content-Length says where a record
+        parts.append(self.ready[self.pos : self.pos + missing])
+        self.pos += missing
+        return b"".join(parts)
+
+
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of an archive, plain or gzipped as a whole or by record."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    inflate = zlib.decompressobj(31)
+    for at in range(0, len(data), step):
+        piece = data[at : at + step]
+        while piece:
+            yield inflate.decompress(piece)
+            piece = inflate.unused_data
+            if inflate.eof and (piece or at + step < len(data)):
+                inflate = zlib.decompressobj(31)
+
+
+def parse_warc(pieces: bytes | Iterable[bytes]) -> Iterator[WarcRecord]:
+    """The records of an archive, given whole (plain or gzipped) or as plain pieces. Content-Length says where a record
     ends; a payload whose digest differs from its header raises ValueError."""
-    stream = _Stream(data)
+    stream = _Stream(inflated(pieces) if isinstance(pieces, bytes) else pieces)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         first, *lines = head.decode("utf-8").lstrip("\r\n").split("\r\n")
         if not first.startswith("WARC/1."):
@@ -212,22 +225,25 @@ def write_archives(
     min_bytes: int = 0,
     version: int = 1,
     date: str = "20240101000000",
-    max_records: int = 20_000,
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Writes one WARC record for each row of ``pages`` as gzipped archives in the folder ``path``.
 
     Rows become ARC records of ``version``, which the converter turns into WARC. Of rows with one payload of at
     least ``min_bytes`` bytes the one with the largest id is a response and the others revisit it; smaller payloads
     are all responses. A null payload is empty, a null url ``-``; rows that share the largest id, and payloads of
-    null ids only, are all responses. Digests are grouped with partial aggregation and joined back, so copies of one
-    payload are never gathered. Files are written by Spark's own committer, in any store that Spark can write, and
-    the text of one record at a time is in memory besides its batch.
+    null ids only, are all responses. SHA-256 digests are grouped with partial aggregation and joined back, so copies of
+    one payload are never gathered. Files are written by Spark's own committer, in any store that Spark can write, and
+    the text of one record at a time is in memory besides its batch. A new archive begins after so many records as hold
+    ``archive_bytes`` on average.
     """
     body = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html").cast("long"))
-    best = work.save(rows.groupBy("digest", "n").agg(F.max("page_id").alias("best")), "best")
-    best = best.withColumn("best", F.when(F.col("n") >= min_bytes, F.col("best")))
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("html").cast("binary"), 256))).withColumn("n", F.octet_length("html").cast("long"))
+    best = work.save(rows.groupBy("digest", "n").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("copies")), "best")
+    size = best.agg(F.sum(F.col("n") * F.col("copies")).alias("bytes"), F.sum("copies").alias("records")).first()
+    max_records = max(1, archive_bytes * (size["records"] or 0) // (size["bytes"] or 1))
+    best = best.select("digest", "n", F.when(F.col("n") >= min_bytes, F.col("best")).alias("best"))
     rows = rows.join(best, ["digest", "n"]).select("page_id", "url", "html", "best")
 
     def run(batches):
@@ -247,7 +263,8 @@ def write_archives(
 
 def read_archives(spark, path: str) -> DataFrame:
     """One row for each record of the archives in ``path``: ``page_id, payload_bytes, payload_digest, record_type,
-    refers_to, target_uri, record_id, warc_date, payload`` (null for revisits)."""
+    refers_to, target_uri, record_id, warc_date, payload`` (null for revisits). Archives are read line by line and put
+    together again record by record, so a task holds one record and a batch, however large the archive."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "warc_date", "payload"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
@@ -268,25 +285,29 @@ def read_archives(spark, path: str) -> DataFrame:
             record.payload if kind == "response" else None,
         )
 
-    def run(batches):
+    def lines(batches):
+        # an archive is not split, so its lines come in their order, and each archive ends with a record
         for batch in batches:
-            for content in batch.column(0):
+            column = batch.column(0).cast(pa.large_binary())
+            for at in range(0, batch.num_rows, 1000):
+                yield b"\n".join([*column.slice(at, 1000).to_pylist(), b""])
+
+    def run(batches):
+        rows, size = [], 0
+        for record in parse_warc(lines(batches)):
+            rows.append(row(record))
+            size += len(record.payload)
+            if size > 16 << 20 or len(rows) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                 rows, size = [], 0
-                for record in parse_warc(content.as_buffer().to_pybytes()):
-                    rows.append(row(record))
-                    size += len(record.payload)
-                    if size > 16 << 20 or len(rows) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = (
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, "
         "record_id string, warc_date string, payload binary"
     )
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    return spark.read.option("lineSep", "\n").text(path).mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, **how) -> DataFrame:

@@ -73,3 +73,18 @@ def test_reads_plain_and_gzipped_records():
         list(W.parse_warc(plain[0].replace(b"one", b"eno")))
     with pytest.raises(ValueError):
         list(W.parse_warc(plain[0][:-9]))
+
+
+def test_archives_roll_by_bytes_and_are_read_in_lines(spark):
+    from attestor.llm.common import Workspace
+
+    rows = [(k, f"http://a/{k}", ("x" * 300 + "\n\r\n") * (k + 1)) for k in range(20)]
+    work = Workspace(spark, "t")
+    W.write_archives(pages(spark, rows).coalesce(1), work.path("a"), work, archive_bytes=4000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.page_id: bytes(r.payload).decode() for r in W.read_archives(spark, work.path("a")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: h for i, _, h in rows}
+    assert len(spark.read.text(work.path("a")).inputFiles()) > 4
