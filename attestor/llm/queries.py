@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, mixing, quality, simhash, token_binary, token_counts, toxicity, url_filter, warc
 from .common import table
@@ -30,6 +31,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator where each page redirects to the front page of its site, the last two labels of its host: pages
+    without a rule take their verdict from the pages of their site."""
+    pages = table(spark, sf_dir, "pages")
+    rows = url_filter.split_url(pages.select("url"), F.col("url")).where("host <> ''")
+    front = F.concat(F.lit("http://"), F.substring_index("host", ".", -2), F.lit("/"))
+    return url_filter.filter_urls(pages, redirects=rows.select(F.col("url").alias("from_url"), front.alias("to_url")))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_output(table(spark, sf_dir, "documents"))
 
@@ -58,7 +68,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_exact_dedup, op4_url_filter, op5_token_binary, op6_mixing, op7_simhash, op8_quality, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (url_aliases, op1_toxicity, op2_decontaminate, op3_exact_dedup, op4_url_filter, op5_token_binary, op6_mixing, op7_simhash, op8_quality, op9_warc, op10_token_counts)}
 
 ORACLES: dict[str, str] = {}
 
@@ -142,6 +152,30 @@ SELECT f.page_id, f.host, f.path, f.rule,
 FROM fit f LEFT JOIN voted v ON v.node = f.node
 """
 
+#: All pages of a site and its front page are one component, so no links need to be followed.
+ORACLES["url_aliases"] = r"""
+WITH rules(verdict, rule, own, prefix) AS (
+  VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+         ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+), page AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), own AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(regexp_replace(coalesce(rest, ''), '^[^/?#]*', ''), '^[^?#]*') AS path FROM page
+), sited AS (SELECT *, regexp_extract(host, '([^.]*\.)?[^.]*$') AS site FROM own
+), node AS (
+  SELECT page_id, host, path, site FROM sited UNION ALL SELECT NULL, site, '/', site FROM (SELECT DISTINCT site FROM sited WHERE host <> '')
+), fit AS (
+  SELECT n.*, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM node n LEFT JOIN rules r ON (n.host = r.own OR ends_with(n.host, '.' || r.own)) AND starts_with(n.path, r.prefix)
+  GROUP BY ALL
+), vote AS (SELECT site, max(CASE verdict WHEN 'allow' THEN 2 WHEN 'block' THEN 1 END) AS vote FROM fit WHERE host <> '' GROUP BY site
+)
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.verdict, CASE vote WHEN 2 THEN 'allow' WHEN 1 THEN 'block' END, 'allow') AS verdict,
+       CASE WHEN f.rule IS NOT NULL THEN 'rule' WHEN vote IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
+FROM fit f LEFT JOIN vote USING (site) WHERE f.page_id IS NOT NULL
+"""
+
 ORACLES["op3_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256

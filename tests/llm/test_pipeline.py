@@ -59,5 +59,5 @@ def test_run_equals_the_operators_one_by_one(spark, folder):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
