@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from . import lexicons
@@ -73,12 +74,32 @@ class EngineConfig:
                         chosen[key] = kind(options[key])
                     except ValueError:
                         pass
-        for key in ("blocked_domains", "trusted_domains"):
-            if options.get(key):
-                chosen[key] = tuple(sorted({d.strip().lower().replace("www.", "") for d in options[key].split(",") if d.strip()}))
+        if options.get("blocked_domains"):  # these are blocked besides the fixed ones
+            chosen["blocked_domains"] = tuple(sorted(set(lexicons.BLOCKED_DOMAINS) | domain_list(options["blocked_domains"])))
+        if options.get("trusted_domains"):
+            chosen["trusted_domains"] = tuple(sorted(domain_list(options["trusted_domains"])))
         if "early_stop" in options:
-            chosen["early_stop"] = options["early_stop"].strip().lower() in {"1", "true", "yes", "y", "on", "sim", "s"}
+            chosen["early_stop"] = truth(options["early_stop"])
         return cls(**chosen)
 
 
+def text_list(text: str | None) -> list[str]:
+    """The parts of a comma-separated text, trimmed, empty ones dropped, each once in its order."""
+    return list(dict.fromkeys(p.strip() for p in (text or "").split(",") if p.strip()))
+
+
+def domain_list(text: str | None) -> set[str]:
+    """The domains of a comma-separated text, in lower case, without a leading ``www.``."""
+    return {d.lower().removeprefix("www.") for d in text_list(text)}
+
+
+def label_set(text: str | None) -> set[str]:
+    """Class labels of a comma-separated text as the classifier normalises them."""
+    return {re.sub(r"[\s-]+", "_", p.lower()) for p in text_list(text)}
+
+
+def truth(text: str) -> bool:
+    return text.strip().lower() in {"1", "true", "yes", "y", "on", "sim", "s"}
+
+
 DEFAULT = EngineConfig()

@@ -158,7 +158,7 @@ def _scaled(col: Column, unit: str, zeros: int) -> Column:
     number = F.regexp_extract(col, pattern, 1)
     value = (F.replace(number, F.lit(","), F.lit(".")).cast("decimal(20,9)") * F.lit(10**zeros)).cast("decimal(38,0)").cast("string")
     # one number of a unit at a time: texts hold few, and each turn settles the first that is left
-    return F.when(number != "", F.regexp_replace(col, "^(.*?)" + pattern, F.concat(F.lit("$1"), value))).otherwise(col)
+    return F.when(number != "", F.regexp_replace(col, "(?s)^(.*?)" + pattern, F.concat(F.lit("$1"), value))).otherwise(col)
 
 
 def _scaler(unit: str, zeros: int):

@@ -83,45 +83,57 @@ CONTRADICTION_PHRASES = [
     "informacao enganosa", "informacao falsa", "nao e verdade", "nao encontrou evidencia", "nao ha evidencia",
     "nao ha provas", "nao procede", "sem evidencia", "sem provas",
 ]
-STANCE_STOPWORDS = (
-    "a o os as um uma uns umas de da do das dos em no na nos nas por para com sem sobre entre ate apos durante que se ao "
-    "aos e ou mas foi ser sao esta estao estar ter tem teve tambem segundo este esse essa isso aquele aquela como mais "
-    "menos muito muita muitos muitas pela pelo pelos pelas sua seu suas seus"
-).split()
-FEATURE_STOPWORDS = (
-    "a o os as um uma uns umas de da do das dos em no na nos nas por para com sem sob sobre entre que se ao aos e ou mas "
-    "como mais menos muito muita muitos muitas foi ser sao esta estao ter tem teve tambem ja ainda esse essa isso este "
-    "ele ela eles elas sua seu suas seus"
-).split()
-RETRIEVAL_STOPWORDS = (
-    "a o as os um uma uns umas de do da dos das em no na nos nas por para com sem sob sobre entre ate até e ou mas que se "
-    "ao aos sua seu suas seus foi ser ter tem tinha havia disse tambem também nesta neste desta deste essa esse isso como "
-    "apos após pelo pela pelos pelas mais menos"
-).split()
-QUERY_STOPWORDS = (
-    "o a os as um uma uns umas de do da dos das em no na nos nas por para com sem sob que se não mas e ou já ainda mais "
-    "menos muito pouco todo toda segundo afirmou disse declarou informou também além disso isso aquilo este esta esse "
-    "essa esses essas eles elas"
-).split()
-LIGHT_STOPWORDS = (
-    "a o as os um uma uns umas de da do das dos em na no nas nos por para com que se ao à às aos e ou mas também já ainda "
-    "muito mais isso este esta esse essa aquele aquela sobre entre quando onde como ser ter foi são está estão era eram"
-).split()
-JOURNAL_STOPWORDS = (
-    "afirmou disse declarou informou relatou explicou destacou ressaltou apontou acrescentou afirma diz declara informa "
-    "relata aponta segundo conforme portal redação agência correspondente g1 uol folha globo estadão veja r7 record sbt "
-    "band hoje ontem semana mês ano passado próximo anterior recente recentemente"
-).split()
-WEAK_TOKENS = (
-    "acordo afirma aponta brasil dados desta deste disse divulgada divulgado estudo fonte informa jornal levantamento "
-    "mostra nesta neste noticia numero pesquisa portal publicada publicado relatorio resultado resultados segundo site "
-    "tambem valores"
-).split()
-NUMERIC_CONTEXT = (
-    "aumento bilhao bilhoes casos confianca crescimento entrevistados erro habitantes intencao intencoes margem milhao "
-    "milhoes mortes municipios nivel percentuais percentual pessoas pontos porcentagem preco queda reducao valor valores "
-    "voto votos"
-).split()
+STANCE_STOPWORDS = [
+    "a", "o", "os", "as", "um", "uma", "uns", "umas", "de", "da", "do", "das", "dos", "em", "no", "na", "nos", "nas",
+    "por", "para", "com", "sem", "sobre", "entre", "ate", "apos", "durante", "que", "se", "ao", "aos", "e", "ou",
+    "mas", "foi", "ser", "sao", "esta", "estao", "estar", "ter", "tem", "teve", "tambem", "segundo", "este", "esse",
+    "essa", "isso", "aquele", "aquela", "como", "mais", "menos", "muito", "muita", "muitos", "muitas", "pela", "pelo",
+    "pelos", "pelas", "sua", "seu", "suas", "seus",
+]
+FEATURE_STOPWORDS = [
+    "a", "o", "os", "as", "um", "uma", "uns", "umas", "de", "da", "do", "das", "dos", "em", "no", "na", "nos", "nas",
+    "por", "para", "com", "sem", "sob", "sobre", "entre", "que", "se", "ao", "aos", "e", "ou", "mas", "como", "mais",
+    "menos", "muito", "muita", "muitos", "muitas", "foi", "ser", "sao", "esta", "estao", "ter", "tem", "teve",
+    "tambem", "ja", "ainda", "esse", "essa", "isso", "este", "ele", "ela", "eles", "elas", "sua", "seu", "suas",
+    "seus",
+]
+RETRIEVAL_STOPWORDS = [
+    "a", "o", "as", "os", "um", "uma", "uns", "umas", "de", "do", "da", "dos", "das", "em", "no", "na", "nos", "nas",
+    "por", "para", "com", "sem", "sob", "sobre", "entre", "ate", "até", "e", "ou", "mas", "que", "se", "ao", "aos",
+    "sua", "seu", "suas", "seus", "foi", "ser", "ter", "tem", "tinha", "havia", "disse", "tambem", "também", "nesta",
+    "neste", "desta", "deste", "essa", "esse", "isso", "como", "apos", "após", "pelo", "pela", "pelos", "pelas",
+    "mais", "menos",
+]
+QUERY_STOPWORDS = [
+    "o", "a", "os", "as", "um", "uma", "uns", "umas", "de", "do", "da", "dos", "das", "em", "no", "na", "nos", "nas",
+    "por", "para", "com", "sem", "sob", "que", "se", "não", "mas", "e", "ou", "já", "ainda", "mais", "menos", "muito",
+    "pouco", "todo", "toda", "segundo", "afirmou", "disse", "declarou", "informou", "também", "além", "disso", "isso",
+    "aquilo", "este", "esta", "esse", "essa", "esses", "essas", "eles", "elas",
+]
+LIGHT_STOPWORDS = [
+    "a", "o", "as", "os", "um", "uma", "uns", "umas", "de", "da", "do", "das", "dos", "em", "na", "no", "nas", "nos",
+    "por", "para", "com", "que", "se", "ao", "à", "às", "aos", "e", "ou", "mas", "também", "já", "ainda", "muito",
+    "mais", "isso", "este", "esta", "esse", "essa", "aquele", "aquela", "sobre", "entre", "quando", "onde", "como",
+    "ser", "ter", "foi", "são", "está", "estão", "era", "eram",
+]
+JOURNAL_STOPWORDS = [
+    "afirmou", "disse", "declarou", "informou", "relatou", "explicou", "destacou", "ressaltou", "apontou",
+    "acrescentou", "afirma", "diz", "declara", "informa", "relata", "aponta", "segundo", "conforme", "portal",
+    "redação", "agência", "correspondente", "g1", "uol", "folha", "globo", "estadão", "veja", "r7", "record", "sbt",
+    "band", "hoje", "ontem", "semana", "mês", "ano", "passado", "próximo", "anterior", "recente", "recentemente",
+]
+WEAK_TOKENS = [
+    "acordo", "afirma", "aponta", "brasil", "dados", "desta", "deste", "disse", "divulgada", "divulgado", "estudo",
+    "fonte", "informa", "jornal", "levantamento", "mostra", "nesta", "neste", "noticia", "numero", "pesquisa",
+    "portal", "publicada", "publicado", "relatorio", "resultado", "resultados", "segundo", "site", "tambem",
+    "valores",
+]
+NUMERIC_CONTEXT = [
+    "aumento", "bilhao", "bilhoes", "casos", "confianca", "crescimento", "entrevistados", "erro", "habitantes",
+    "intencao", "intencoes", "margem", "milhao", "milhoes", "mortes", "municipios", "nivel", "percentuais",
+    "percentual", "pessoas", "pontos", "porcentagem", "preco", "queda", "reducao", "valor", "valores", "voto",
+    "votos",
+]
 SPECIFIC_TERMS = {
     "rejeicao": ["rejeicao", "nao votaria", "rejeita", "rejeitam"],
     "registro": ["registrada", "registrado", "registro", "protocolo", "identificada", "identificado"],
@@ -185,12 +197,13 @@ EMPTY_ADJECTIVES = [
     "grande", "pequeno", "importante", "relevante", "significativo", "notável", "especial", "específico", "determinado", "certo",
     "possível", "necessário",
 ]
-DOMAIN_KEYWORDS = (
-    "inflação pib desemprego economia saúde educação segurança crime violência eleição governo presidente ministro congresso "
-    "senado câmara lei decreto reforma orçamento dívida juros pandemia vacina covid clima ambiente energia petróleo exportação "
-    "importação comércio dólar real bolsa mercado emprego salário renda pobreza desigualdade mortalidade natalidade população "
-    "censo pesquisa estudo relatório"
-).split()
+DOMAIN_KEYWORDS = [
+    "inflação", "pib", "desemprego", "economia", "saúde", "educação", "segurança", "crime", "violência", "eleição",
+    "governo", "presidente", "ministro", "congresso", "senado", "câmara", "lei", "decreto", "reforma", "orçamento",
+    "dívida", "juros", "pandemia", "vacina", "covid", "clima", "ambiente", "energia", "petróleo", "exportação",
+    "importação", "comércio", "dólar", "real", "bolsa", "mercado", "emprego", "salário", "renda", "pobreza",
+    "desigualdade", "mortalidade", "natalidade", "população", "censo", "pesquisa", "estudo", "relatório",
+]
 
 # --- fixed values: sentence signals of the engine detector ---------------------------------------------------------
 QUESTION_WORDS = ["quem", "o que", "quando", "onde", "como", "por que", "qual", "será", "poderia", "deveria", "pode", "existe", "há", "tem"]

@@ -14,8 +14,8 @@ from ..functions import text as tx
 
 def char_windows(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
     """(start, piece): pieces of at most ``size`` characters that end at a space where there is one, the next starting
-    ``overlap`` before that end. A text that fits is one piece. Each start is behind the one before, even where the
-    last space lies within ``overlap`` of it."""
+    ``overlap`` before that end. A text that fits is one piece. Where the last space lies within ``overlap`` of the
+    start, so that the next piece would not get on, the piece is cut at ``size``."""
     if len(text) <= size:
         return [(0, text)]
     out, start = [], 0
@@ -23,11 +23,11 @@ def char_windows(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
         end = start + size
         if end < len(text):
             space = text.rfind(" ", start, end)
-            end = space if space > start else end
+            end = space if space > start + overlap else end
         piece = text[start:end].strip()
         if piece:
             out.append((start, piece))
-        start = max(start + 1, end - overlap)
+        start = end - overlap
     return out
 
 

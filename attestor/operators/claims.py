@@ -176,6 +176,30 @@ def detect(sentences: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return kept.withColumn("query", tx.query_text(F.col("text"), F.col("entities"))).withColumn("keywords", keywords(F.col("text")))
 
 
+def detector_stats(sentences: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """What the detector saw of each document (rows of :func:`checkability`): sentences up to the one that fills
+    ``max_claims``, claims, what was discarded and why, the share of claims and their mean confidence (3 digits), and how
+    many have entities and numbers. A document whose sentences were all discarded has zeros."""
+    order = Window.partitionBy("doc_id").orderBy("block_index", "sent_index").rowsBetween(Window.unboundedPreceding, -1)
+    sure = (F.col("label") == "checkable") & (F.col("label_confidence") >= cfg.claim_min_confidence)
+    rows = sentences.withColumn("__c", sure).withColumn("__n", F.coalesce(F.sum(F.col("__c").cast("int")).over(order), F.lit(0)))
+    rows = rows.where(F.col("__n") < cfg.max_claims)
+    n = lambda test: F.count_if(test)
+    claims = n(F.col("__c"))
+    points = F.sum(F.when(F.col("__c"), F.floor(F.col("label_confidence") * 10000 + 0.5)).otherwise(0).cast("long"))
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("sentences_processed"),
+        claims.alias("claims_found"),
+        n(F.col("label") == "opinion").alias("discarded_opinion"),
+        n(F.col("label") == "rhetorical").alias("discarded_rhetorical"),
+        n((F.col("label") == "noise") | ((F.col("label") == "checkable") & ~F.col("__c"))).alias("discarded_noise"),
+        (F.floor(claims / F.count(F.lit(1)) * 1000 + 0.5) / 1000).alias("checkability_rate"),
+        F.when(claims > 0, F.floor(points / claims / 10 + 0.5) / 1000).otherwise(F.lit(0.0)).alias("avg_confidence"),
+        n(F.col("__c") & (F.size("entities") > 0)).alias("claims_with_entities"),
+        n(F.col("__c") & F.trim("text").rlike(ANY_NUMBER)).alias("claims_with_numbers"),
+    )
+
+
 def keywords(col: Column, n: int = 8) -> Column:
     """The first ``n`` distinct words of four letters or more that are no query stopwords."""
     found = tx.without(tx.words(F.lower(col), r"[\p{L}]{4,}"), lx.QUERY_STOPWORDS)

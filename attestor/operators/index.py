@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +18,16 @@ SCHEMA = (
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The index at ``path``, or an empty one where there is none."""
+    """The index at ``path``, or an empty one where there is none or none that can be read. Files of it that are damaged
+    are left out, with a warning in Spark's log, so that an index can be filled again."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    empty = spark.createDataFrame([], SCHEMA)
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(path)
+        return empty
+    try:
+        return spark.read.schema(SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
+    except AnalysisException:
+        return empty
 
 
 def rows_of(docs: DataFrame, cfg: EngineConfig = DEFAULT, embedder=hashed_embedding, start: int = 0) -> DataFrame:
@@ -80,19 +86,26 @@ def new_only(results: DataFrame, index: DataFrame, url_col: str = "url") -> Data
 
 
 def vector_layer(index: DataFrame, *, labelled: str = "labelled_corpus"):
-    """A retrieval layer over the index: hits of at least the layer's similarity, without labelled-corpus rows and
-    without the claim's own article (its ``article_url``)."""
+    """A retrieval layer over the index: for each of a claim's ``queries`` in their order (or its one ``query``) the best
+    2 * top_k chunks of at least the layer's similarity, without labelled-corpus rows and without the claim's own article
+    (its ``article_url``); a chunk counts where it is met first, and the first top_k make the claim's candidates."""
     from .vectors import top_hits
 
     def search(claims: DataFrame, cfg: EngineConfig) -> DataFrame:
-        numbered_claims = claims.withColumn("query_id", F.xxhash64("claim_id"))
+        asked = F.col("queries") if "queries" in claims.columns else F.array("query")
+        rows = claims.select("claim_id", "article_url", F.posexplode(asked).alias("q", "query"))
+        rows = rows.withColumn("query_id", F.xxhash64("claim_id", "q"))
         base = index.withColumn("base_id", F.xxhash64("base_doc_id"))
-        queries = numbered_claims.select("query_id", hashed_embedding(F.col("query")).alias("embedding"))
+        queries = rows.select("query_id", hashed_embedding(F.col("query")).alias("embedding"))
         hits = top_hits(base, queries, 2 * cfg.top_k, cfg.vector_min_similarity).drop("base_id")
-        rows = hits.join(index.drop("embedding"), "vec_id").join(numbered_claims.select("query_id", "claim_id", "article_url"), "query_id")
-        rows = rows.where((F.coalesce("source_type", F.lit("")) != labelled) & ~urls.same_article(F.col("article_url"), F.col("url")))
-        return rows.select(
-            "claim_id", F.col("n").alias("pos"), "url", F.lit(None).cast("string").alias("title"), "text", F.col("score").alias("similarity"), "source",
+        hits = hits.join(index.drop("embedding"), "vec_id").join(rows.select("query_id", "claim_id", "article_url", "q"), "query_id")
+        hits = hits.where((F.coalesce("source_type", F.lit("")) != labelled) & ~F.coalesce(urls.same_article(F.col("article_url"), F.col("url")), F.lit(False)))
+        met = Window.partitionBy("claim_id", "vec_id").orderBy("q", "n")
+        hits = hits.withColumn("__m", F.row_number().over(met)).where("__m = 1")
+        first = Window.partitionBy("claim_id").orderBy("q", "n", "vec_id")
+        hits = hits.withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= cfg.top_k)
+        return hits.select(
+            "claim_id", "pos", "url", F.lit(None).cast("string").alias("title"), "text", F.col("score").alias("similarity"), "source",
             "source_type", F.lit(False).alias("trusted"), "published_at", "metadata",
         )
 

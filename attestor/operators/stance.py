@@ -72,14 +72,34 @@ def for_claims(claims: DataFrame, reranked: DataFrame, cfg: EngineConfig = DEFAU
     return claims.join(top.drop("__n"), "claim_id")
 
 
-def with_orphans(claims: DataFrame, judged: DataFrame) -> DataFrame:
-    """``claim_id, evidence_id, stance, confidence, reason``; a claim without judged evidence has one insufficient row."""
+def for_raw_evidence(claims: DataFrame, evidence: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Pairs to judge where nothing was reranked: each claim's ``stance_top_k`` pieces of evidence by similarity, ties by
+    id. Their own similarity counts."""
+    best = Window.partitionBy("claim_id").orderBy(F.desc(F.coalesce("similarity", F.lit(0.0))), "evidence_id")
+    top = evidence.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= cfg.stance_top_k)
+    return claims.join(top.drop("__n"), "claim_id")
+
+
+def similarity_of(pairs: DataFrame, override: Column | None = None) -> Column:
+    """The similarity that a pair is judged by: an override, else the final one, the retrieval's, the semantic one."""
+    held = [F.col(c) for c in ("final", "similarity", "semantic") if c in pairs.columns]
+    return clamp(F.coalesce(*([override] if override is not None else []), *held, F.lit(0.0)))
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first that is neither null nor blank, trimmed; else empty."""
+    return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns], F.lit(""))
+
+
+def with_orphans(claims: DataFrame, judged: DataFrame, confidence: float = 0.9) -> DataFrame:
+    """``claim_id, evidence_id, stance, confidence, reason``; a claim without judged evidence has one insufficient row of
+    ``confidence`` (1 where the evidence was not reranked)."""
     rows = claims.select("claim_id").join(judged.select("claim_id", "evidence_id", "stance", "confidence", "reason"), "claim_id", "left")
     return rows.select(
         "claim_id",
         F.coalesce("evidence_id", F.lit("")).alias("evidence_id"),
         F.coalesce("stance", F.lit("insufficient")).alias("stance"),
-        F.coalesce("confidence", F.lit(0.9)).alias("confidence"),
+        F.coalesce("confidence", F.lit(confidence)).alias("confidence"),
         F.coalesce("reason", F.lit("none")).alias("reason"),
     )
 

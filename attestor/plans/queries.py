@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as lx
+from ..config import DEFAULT, EngineConfig
 from ..functions import text as tx
 from ..functions import urls
 from ..functions.numbers import number_tokens, round_at
-from ..operators import chunks, claims, classify, clean, crawl, features, index, pages, retrieve, score, segment, stance, vectors
+from ..operators import chunks, claims, classify, clean, crawl, features, index, pages, resolver, retrieve, score, segment, stance, vectors
+from ..sources import layers, seeds, sinks
 from . import sql as q
 
 QUERIES: dict = {}
@@ -204,6 +206,60 @@ def claim_top50(spark, d):
     return claims.detect(_checked(spark, d)).select("doc_id", "block_index", "sent_index", "label_confidence", "rank")
 
 
+@query(
+    f"""WITH {_ANALYSED}, marked AS (SELECT *, label = 'checkable' AND label_confidence >= {DEFAULT.claim_min_confidence} AS sure FROM checked),
+upto AS (SELECT *, coalesce(count_if(sure) OVER (PARTITION BY doc_id ORDER BY block_index, sent_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM marked)
+SELECT doc_id, count(*) AS sentences_processed, count_if(sure) AS claims_found, count_if(label = 'opinion') AS discarded_opinion, count_if(label = 'rhetorical') AS discarded_rhetorical,
+  count_if(label = 'noise' OR (label = 'checkable' AND NOT sure)) AS discarded_noise, floor(count_if(sure) / count(*) * 1000 + 0.5) / 1000 AS checkability_rate,
+  CASE WHEN count_if(sure) > 0 THEN floor(sum(CASE WHEN sure THEN floor(label_confidence * 10000 + 0.5) ELSE 0 END)::BIGINT / count_if(sure) / 10 + 0.5) / 1000 ELSE 0.0 END AS avg_confidence,
+  count_if(sure AND len(entities) > 0) AS claims_with_entities, count_if(sure AND regexp_matches(t, {q.pattern(claims.ANY_NUMBER)})) AS claims_with_numbers
+FROM upto WHERE before < {DEFAULT.max_claims} GROUP BY doc_id"""
+)
+def detector_stats(spark, d):
+    return claims.detector_stats(_checked(spark, d))
+
+
+_BATCHED = f"""{_DECIDED}, batched AS (SELECT *, (n // 8)::INT AS batch, n % 8 + 1 AS index FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, sent_index) - 1 AS n FROM decided WHERE decision = 'ambiguous'))"""
+
+
+def _batched(spark, d):
+    return claims.batches(_decided(spark, d).where("decision = 'ambiguous'")).select("doc_id", "block_index", "sent_index", "batch", "text")
+
+
+@query(
+    f"""WITH {_BATCHED} SELECT doc_id, batch, count(*)::INT AS n, 'Sentenças: ' || count(*)::VARCHAR || chr(10) || chr(10) || string_agg(index::VARCHAR || '. ' || text, chr(10) ORDER BY index) AS message
+FROM batched GROUP BY doc_id, batch"""
+)
+def resolver_requests(spark, d):
+    return resolver.requests(_batched(spark, d))
+
+
+def _attempts(spark, d):
+    """Replies made of the sentences: every third document's first two tries fail, every seventh's reply is no list,
+    every fifth document is not asked about. Sentences of an odd number of characters are claims; of each batch the
+    second sentence is left out."""
+    rows = _batched(spark, d).where("doc_id % 5 <> 0")
+    place = F.row_number().over(Window.partitionBy("doc_id", "batch").orderBy("block_index", "sent_index"))
+    item = F.struct(F.col("index"), (F.length("text") % 2 == 1).alias("is_claim"), (F.length("text") % 100 / 100.0).alias("confidence"))
+    lists = rows.withColumn("index", place).groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.when(F.col("index") != 2, item))).alias("l"))
+    reply = F.when(F.col("doc_id") % 7 == 0, "I cannot say").otherwise(F.concat(F.lit("```json\n"), F.to_json("l"), F.lit("\n```")))
+    tries = lists.select("doc_id", "batch", reply.alias("reply"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"))
+    failed = (F.col("doc_id") % 3 == 0) & (F.col("attempt") <= 2) | (F.col("doc_id") % 11 == 0) & (F.col("attempt") <= 3)
+    return tries.withColumn("reply", F.when(~failed, F.col("reply")))
+
+
+@query(
+    f"""WITH {_BATCHED}, told AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'unasked' WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 7 = 0 THEN 'unreadable' END AS why,
+  max(index) OVER (PARTITION BY doc_id, batch) AS size FROM batched)
+SELECT doc_id, block_index, sent_index, why IS NULL AND index <> 2 AND length(text) % 2 = 1 AS is_claim,
+  CASE WHEN why = 'unasked' THEN 0.5 WHEN why = 'failed' THEN 0.4 WHEN why = 'unreadable' THEN 0.35 WHEN index = 2 THEN 0.5 ELSE length(text) % 100 / 100.0::DOUBLE END::DOUBLE AS confidence, why AS reason FROM told"""
+)
+def resolver_results(spark, d):
+    rows = resolver.resolved(_batched(spark, d), _attempts(spark, d))
+    return rows.select("doc_id", "block_index", "sent_index", "is_claim", F.col("resolver_confidence").alias("confidence"), F.col("reject_reason").alias("reason"))
+
+
 _LOWER4 = q.words("lower(text)", r"[\p{L}]{4,}")
 _LOWER2 = q.words("lower(text)", tx.WORD2)
 
@@ -228,7 +284,14 @@ def claim_entities(spark, d):
     return rows.select("doc_id", "block_index", "sent_index", F.array_join("entities", "|").alias("entities"))
 
 
-@query()
+_KEYWORD = f"lower(regexp_extract(text, {q.pattern(tx.whole(lx.DOMAIN_KEYWORDS))}, 2))"
+
+
+@query(
+    f"""WITH {q.SENTENCES}, named AS (SELECT *, {_ENTITIES}[1] AS name FROM sentences), {q.rag('named', 'text', 1)}
+SELECT doc_id, block_index, sent_index, coalesce(nullif({_KEYWORD}, ''), lower(name),
+  nullif(array_to_string(list_filter(string_split(rag, ' ')[1:6], lambda t: length(t) > 3)[1:3], ' '), ''), 'geral') AS subject FROM rag_rows"""
+)
 def claim_subjects(spark, d):
     rows = _sentences(spark, d).withColumn("entities", tx.entities(F.col("text")))
     return rows.select("doc_id", "block_index", "sent_index", tx.subject(F.col("text"), F.col("entities")).alias("subject"))
@@ -237,7 +300,7 @@ def claim_subjects(spark, d):
 # --- text -----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {q.rag('conversations', 'text', 3)} SELECT conv_id, turn, rag AS query FROM rag_rows")
 def rag_normalize(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.rag_text(F.col("text")).alias("query"))
 
@@ -296,18 +359,27 @@ def top_terms(spark, d):
 
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter({q.words(f'translate(lower(text), {q.quoted(tx.ACCENTED)}, {q.quoted(tx.BARE)})', tx.WORD2)}, lambda t: NOT regexp_matches(t, '^[0-9_]+$')), ' ') AS words FROM documents WHERE NOT regexp_matches(text, {q.pattern(tx.whole(lx.ABBREVIATIONS))})")
+_EXPANDED = q.expanded("text")
+_BARE = f"translate(lower({_EXPANDED}), {q.quoted(tx.ACCENTED)}, {q.quoted(tx.BARE)})"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({q.words(_BARE, tx.WORD2)}, lambda t: NOT regexp_matches(t, '^[0-9_]+$')), ' ') AS words FROM documents")
 def normalise_similarity(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(tx.whole(lx.ABBREVIATIONS)))
-    return docs.select("doc_id", tx.normalise_similarity(F.col("text")).alias("words"))
+    return table(spark, d, "documents").select("doc_id", tx.normalise_similarity(F.col("text")).alias("words"))
 
 
-@query()
+_TFIDF_STOP = sorted({tx.strip(w) for w in lx.JOURNAL_STOPWORDS + lx.LIGHT_STOPWORDS})
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(list_filter({q.words(_BARE, tx.WORD3)}, lambda t: NOT regexp_matches(t, '^[0-9_]+$') AND NOT list_contains({q.values(_TFIDF_STOP)}, t)), ' ') AS words
+FROM documents"""
+)
 def normalise_tfidf(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.normalise_tfidf(F.col("text")).alias("words"))
 
 
-@query()
+@query(f"SELECT doc_id, trim(regexp_replace({_EXPANDED}, {q.quoted(tx.SPACE)}, ' ', 'g')) AS text FROM documents")
 def normalise_bert(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.normalise_bert(F.col("text")).alias("text"))
 
@@ -418,7 +490,8 @@ def page_domain(spark, d):
     return table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"), urls.canonical(F.col("url")).alias("canonical"))
 
 
-_BLOCK_LIST = ("example.org", "spam-farm.example.com", "x.com")
+_BLOCK_OPTION = "example.org, www.spam-farm.example.com,x.com"
+_BLOCK_LIST = ["example.org", "spam-farm.example.com", *lx.BLOCKED_DOMAINS]
 
 
 @query(
@@ -429,12 +502,12 @@ SELECT page_id, len(list_filter({q.values(_BLOCK_LIST)}, lambda b: domain = b OR
     AND NOT regexp_matches(lower(path), '\\.(pdf|jpg|jpeg|png|gif|webp|svg|mp4|mp3|zip|css|js|xml)$') AS allowed FROM p"""
 )
 def domain_filter(spark, d):
-    u = F.col("url")
+    u, own = F.col("url"), EngineConfig.from_options({"blocked_domains": _BLOCK_OPTION}).blocked_domains
     return table(spark, d, "pages").select(
         "page_id",
-        urls.blocked(u, _BLOCK_LIST).alias("blocked"),
+        urls.blocked(u, own).alias("blocked"),
         urls.unsupported(u, ["ample.net", "x.com"]).alias("unsupported"),
-        urls.candidate_allowed(u, _BLOCK_LIST).alias("allowed"),
+        urls.candidate_allowed(u, own).alias("allowed"),
     )
 
 
@@ -444,8 +517,6 @@ reputed AS (SELECT *, CASE reputation_level WHEN 'trusted' THEN 0.9 WHEN 'other'
 
 
 def _reputed(spark, d):
-    from ..config import EngineConfig
-
     return score.reputation(table(spark, d, "pages"), cfg=EngineConfig(trusted_domains=FIXTURE_TRUSTED))
 
 
@@ -454,6 +525,22 @@ def domain_reputation(spark, d):
     return _reputed(spark, d).select("page_id", "domain", "reputation", "reputation_level")
 
 
+@query(f"SELECT page_id, {_DOMAIN} AS domain FROM pages WHERE list_contains({q.values(FIXTURE_TRUSTED)}, {_DOMAIN})")
+def trusted_pages(spark, d):
+    domains = spark.createDataFrame([(t,) for t in FIXTURE_TRUSTED], "domain string")
+    return seeds.trusted_only(table(spark, d, "pages"), domains).select("page_id", "domain")
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT 'https://search.example.com/?q=' || url_encode(substr(text, 1, 40)) AS address, 0 AS seed, substr(text, 1, 40) AS query FROM benchmark
+  UNION SELECT 'https://news.example.org/rss/' || url_encode(substr(text, 1, 40)) || '?x=1', 1, substr(text, 1, 40) FROM benchmark)
+SELECT query, seed, replace(address, '%20', '+') AS address FROM a"""
+)
+def seed_addresses(spark, d):
+    templates = ["https://search.example.com/?q={query}", "https://news.example.org/rss/{query}?x=1", "https://search.example.com/?q={query}"]
+    return seeds.seed_addresses(table(spark, d, "benchmark").select(F.substring("text", 1, 40).alias("query")).distinct(), templates)
+
+
 _SLUG_PARTS = f"list_filter(string_split(regexp_replace(regexp_replace(replace(replace(replace(lower({_PATH}), '/google/amp/', '/'), '/amp/', '/'), '.amp', ''), '\\.(ghtml|html|htm)$', ''), '[^a-z0-9]+', '-', 'g'), '-'), lambda x: length(x) >= 3)"
 
 
@@ -462,22 +549,21 @@ def article_key(spark, d):
     return table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"), urls.article_slug(F.col("url")).alias("slug"))
 
 
+_COPIES = """pages_and_copies AS (SELECT page_id, url FROM pages
+  UNION ALL SELECT page_id + 1000000, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/*$', '') || '/amp/?from=feed' FROM pages WHERE url IS NOT NULL)"""
+
+
 @query(
-    f"""WITH k AS (SELECT page_id, url, {_DOMAIN} AS domain, {_SLUG_PARTS}[-18:] AS parts, regexp_replace(trim(url), '/+$', '') AS clean FROM pages)
+    f"""WITH {_COPIES}, k AS (SELECT page_id, url, {_DOMAIN} AS domain, {_SLUG_PARTS}[-18:] AS parts, regexp_replace(trim(url), '/+$', '') AS clean FROM pages_and_copies)
 SELECT a.page_id, b.page_id AS other_id FROM k a JOIN k b ON a.domain = b.domain AND a.page_id < b.page_id
 WHERE a.clean = b.clean OR (len(a.parts) > 0 AND len(b.parts) > 0 AND len(list_intersect(a.parts, b.parts)) / least(len(list_distinct(a.parts)), len(list_distinct(b.parts))) >= 0.65)"""
 )
 def same_article_pairs(spark, d):
-    rows = table(spark, d, "pages").withColumn("domain", urls.domain(F.col("url")))
-    parts = F.filter(F.array_distinct(F.split(urls.article_slug(F.col("url")), "-")), lambda x: x != "")
-    rows = rows.withColumn("parts", parts).withColumn("clean", F.regexp_replace(F.trim("url"), "/+$", ""))
-    # pages of one article share an address or a slug part: an equi-join on these, not on the domain alone
-    keyed = rows.withColumn("key", F.explode(F.concat(F.array("clean"), "parts")))
-    a, b = (keyed.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("page_id", "domain", "parts", "clean")]) for s in "ab")
-    both = a.join(b, "key").where("a_page_id < b_page_id and a_domain = b_domain")
-    share = F.size(F.array_intersect("a_parts", "b_parts")) / F.least(F.size("a_parts"), F.size("b_parts"))
-    both = both.where((F.col("a_clean") == F.col("b_clean")) | ((F.size("a_parts") > 0) & (F.size("b_parts") > 0) & (share >= 0.65)))
-    return both.select(F.col("a_page_id").alias("page_id"), F.col("b_page_id").alias("other_id")).distinct()
+    """Pages and an AMP copy of each, by the pairs that are one article."""
+    rows = table(spark, d, "pages").select("page_id", "url")
+    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/*$", "")
+    copies = rows.where("url is not null").select((F.col("page_id") + 1_000_000).alias("page_id"), F.concat(bare, F.lit("/amp/?from=feed")).alias("url"))
+    return retrieve.same_article_pairs(rows.unionByName(copies), "page_id")
 
 
 def _articles(spark, d):
@@ -527,21 +613,6 @@ def exact_copies(spark, d):
 # --- candidate evidence -----------------------------------------------------------------------------------------------
 
 
-def lexical_pairs(claims_: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``claim_id, evidence_id, shared, lexical``: significant tokens in common and the lexical overlap score of pairs
-    that share a word. Words meet in an equi-join of (text, word, count) rows with partial sums, never as pairs of
-    texts; the join's hot words may be split by AQE."""
-
-    def counted(df: DataFrame, key: str, n: str) -> DataFrame:
-        rows = df.select(key, F.explode(tx.words(F.lower("text"), tx.WORD3)).alias("word"))
-        return rows.groupBy(key, "word").agg(F.count(F.lit(1)).alias(n))
-
-    left, right = counted(claims_, "claim_id", "q"), counted(evidence, "evidence_id", "t")
-    sums = left.join(right, "word").groupBy("claim_id", "evidence_id").agg(F.sum(F.least("q", "t")).alias("overlap"))
-    size = left.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"))
-    return sums.join(size, "claim_id").select("claim_id", "evidence_id", round_at(F.least(F.col("overlap") / F.col("n"), F.lit(1.0))).alias("lexical"))
-
-
 def _claims(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
 
@@ -557,9 +628,23 @@ ps AS (SELECT claim_id, evidence_id, sum(least(q, t)) AS overlap FROM cq JOIN eq
 lexical AS (SELECT claim_id, evidence_id, {q.rounded('least(overlap / n, 1.0::DOUBLE)')} AS lexical FROM ps JOIN cn USING (claim_id))"""
 
 
-@query(f"WITH {_LEXICAL} SELECT claim_id, evidence_id, lexical FROM lexical")
+@query(f"WITH {_LEXICAL} SELECT claim_id, evidence_id, lexical FROM lexical WHERE lexical >= {DEFAULT.evidence_min_similarity}")
 def lexical_overlap(spark, d):
-    return lexical_pairs(_claims(spark, d), _evidence(spark, d))
+    return retrieve.lexical_pairs(_claims(spark, d), _evidence(spark, d), DEFAULT.evidence_min_similarity)
+
+
+_PHRASE = lambda x: q.set_without(q.words(q.plain(f"coalesce({x}, '')"), "[a-z0-9][a-z0-9-]{2,}"), [*lx.RETRIEVAL_STOPWORDS, *lx.WEAK_TOKENS])
+
+
+@query(
+    f"""WITH c AS (SELECT item_id AS claim_id, unnest({_PHRASE('text')}) AS token FROM benchmark), e AS (SELECT doc_id AS evidence_id, unnest({_PHRASE('text')}) AS token FROM documents)
+SELECT claim_id, evidence_id, count(*)::INT AS overlap FROM c JOIN e USING (token) GROUP BY ALL HAVING count(*) >= 4"""
+)
+def token_overlap(spark, d):
+    """Claims and documents with four phrase tokens in common."""
+    left = _claims(spark, d).select("claim_id", tx.phrase_tokens(F.col("text")).alias("claim_tokens"))
+    right = _evidence(spark, d).select("evidence_id", tx.phrase_tokens(F.col("text")).alias("evidence_tokens"))
+    return retrieve.token_pairs(left, right, least=4)
 
 
 _LAYERS = ("vector_store", "factcheck", "gdelt", "crawlee_search", "wikipedia")
@@ -568,7 +653,7 @@ _LAYER_SQL = f"{q.values(_LAYERS)}[(evidence_id % {len(_LAYERS)} + 1)::INT]"
 
 def _candidates(spark, d):
     """Evidence of at least a quarter of a claim's words, dealt to layers by id."""
-    pairs = lexical_pairs(_claims(spark, d), _evidence(spark, d)).where("lexical >= 0.25")
+    pairs = retrieve.lexical_pairs(_claims(spark, d), _evidence(spark, d), 0.25)
     layer = F.element_at(F.array(*[F.lit(x) for x in _LAYERS]), (F.col("evidence_id") % len(_LAYERS) + 1).cast("int"))
     rows = pairs.join(_evidence(spark, d).select("evidence_id", F.col("text"), "source"), "evidence_id").withColumn("layer", layer)
     return rows.select(
@@ -602,45 +687,58 @@ def retrieval_ranked(spark, d):
   array_to_string(list_sort(list_distinct(list(layer))), ',') AS layers FROM ranked GROUP BY claim_id"""
 )
 def retrieval_summary(spark, d):
-    ranked = retrieve.rank_evidence(_candidates(spark, d))
-    return ranked.groupBy("claim_id").agg(
-        F.max("similarity").alias("rag_score"),
-        F.count(F.lit(1)).alias("n_evidence"),
-        F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("layers"),
-    )
+    ranked = sinks.retrieval_payload(retrieve.rank_evidence(_candidates(spark, d)))
+    return ranked.select("claim_id", "rag_score", "n_evidence", F.array_join("layers_used", ",").alias("layers"))
+
+
+@query(
+    f"""WITH {_CANDIDATES} SELECT sha256(claim_id::VARCHAR || evidence_id::VARCHAR)[1:8] AS id, claim_id, layer AS retrieval_layer, url AS source_url, {q.rounded('similarity')} AS similarity_score,
+  trusted AS is_trusted, length(text) AS chars FROM ranked"""
+)
+def evidence_rows(spark, d):
+    """Ranked evidence as rows for a database."""
+    ranked = retrieve.rank_evidence(_candidates(spark, d)).withColumn("published_at", F.lit(None).cast("string"))
+    named = ranked.withColumn("evidence_id", F.substring(F.sha2(F.concat(F.col("claim_id").cast("string"), F.col("evidence_id").cast("string")), 256), 1, 8))
+    rows = sinks.evidence_payload(named)
+    return rows.select("id", "claim_id", "retrieval_layer", "source_url", "similarity_score", "is_trusted", F.length("content").cast("long").alias("chars"))
+
+
+@query(
+    f"""WITH {_CANDIDATES} SELECT claim_id FROM ranked WHERE similarity >= {DEFAULT.sufficient_score} AND layer <> 'wikipedia'
+GROUP BY claim_id HAVING count(*) >= {DEFAULT.min_sufficient}"""
+)
+def claims_filled(spark, d):
+    return retrieve.filled_claims(retrieve.rank_evidence(_candidates(spark, d)))
 
 
 _SIG = lambda x: q.set_without(q.words(q.plain(f"coalesce({x}, '')"), "[a-z0-9][a-z0-9-]{2,}"), lx.RETRIEVAL_STOPWORDS)
 _NUM = lambda x: f"list_distinct(list_filter(list_transform(regexp_extract_all({x}, '\\d+(?:[.,]\\d+)?%?'), lambda n: regexp_replace(n, '[^0-9]', '', 'g')), lambda n: n <> ''))"
-_CHECKED_PAIRS = f"""{_CANDIDATES}, ct AS (SELECT item_id AS claim_id, {_SIG('text')} AS ctok, {_NUM('text')} AS cnum FROM benchmark),
+_CHECKED_PAIRS = f"""{_CANDIDATES}, ct AS (SELECT item_id AS claim_id, {_SIG('text')} AS ctok, {_NUM('text')} AS cnum, list_distinct({_ENTITIES}) AS ents FROM benchmark),
 et AS (SELECT doc_id AS evidence_id, {_SIG('text')} AS etok, {_NUM('text')} AS enum FROM documents),
-tested AS (SELECT c.claim_id, c.evidence_id, c.similarity, text, len(ctok) AS nc, len(list_intersect(ctok, etok)) AS shared, len(cnum) = 0 OR len(list_intersect(cnum, enum)) > 0 AS numbers
+tested AS (SELECT c.claim_id, c.evidence_id, c.similarity, text, ents, etok, len(ctok) AS nc, len(list_intersect(ctok, etok)) AS shared, len(cnum) = 0 OR len(list_intersect(cnum, enum)) > 0 AS numbers
   FROM cand c JOIN ct USING (claim_id) JOIN et USING (evidence_id))"""
 
 
+_NAMED = f"""(len(ents) = 0 OR len(list_filter(ents, lambda e: len({_SIG('e')}) > 0 AND 2 * len(list_intersect({_SIG('e')}, etok)) >= len({_SIG('e')}))) > 0)"""
+
+
 def _prepared_pairs(spark, d):
-    left = retrieve.prepared(_claims(spark, d), "text", "claim").withColumnRenamed("text", "claim_text")
+    left = retrieve.prepared(_claims(spark, d), "text", "claim").withColumn("entities", tx.entities(F.col("text"))).withColumnRenamed("text", "claim_text")
     right = retrieve.prepared(_evidence(spark, d), "text", "evidence").select("evidence_id", "evidence_tokens", "evidence_numbers")
     rows = _candidates(spark, d).withColumnRenamed("text", "evidence_text")
     return rows.join(left, "claim_id").join(right, "evidence_id")
 
 
 @query(
-    f"""WITH {_CHECKED_PAIRS} SELECT claim_id, evidence_id, length(trim(text)) >= 50 AND numbers AND shared >= CASE WHEN nc <= 8 THEN 2 ELSE 3 END AS relevant,
-  CASE WHEN nc = 0 THEN 0.0 ELSE {q.rounded(q.clamp('greatest(similarity, shared / greatest(1, least(nc, 14))) + 0.08::DOUBLE + CASE WHEN numbers THEN 0.07::DOUBLE ELSE 0.0 END'))} END AS candidate_score
-FROM tested"""
+    f"""WITH {_CHECKED_PAIRS}, named AS (SELECT *, {_NAMED} AS named FROM tested)
+SELECT claim_id, evidence_id, length(trim(text)) >= 50 AND numbers AND named AND shared >= CASE WHEN nc <= 8 THEN 2 ELSE 3 END AS relevant,
+  CASE WHEN nc = 0 OR len(etok) = 0 THEN 0.0 ELSE {q.rounded(q.clamp('greatest(similarity, shared / greatest(1, least(nc, 14))) + CASE WHEN named THEN 0.08::DOUBLE ELSE 0.0 END + CASE WHEN numbers THEN 0.07::DOUBLE ELSE 0.0 END'))} END AS candidate_score
+FROM named"""
 )
 def candidate_scores(spark, d):
     rows = _prepared_pairs(spark, d)
-    shared = F.size(F.array_intersect("claim_tokens", "evidence_tokens"))
-    ratio = shared / F.greatest(F.lit(1), F.least(F.size("claim_tokens"), F.lit(14)))
-    number = F.when(retrieve.number_match(F.col("claim_numbers"), F.col("evidence_numbers")), 0.07).otherwise(0.0)
-    from ..functions.numbers import clamp
-
-    value = round_at(clamp(F.greatest("similarity", ratio) + F.lit(0.08) + number))
-    return rows.select(
-        "claim_id", "evidence_id", retrieve.relevant(rows).alias("relevant"), F.when(F.size("claim_tokens") == 0, F.lit(0.0)).otherwise(value).alias("candidate_score")
-    )
+    value = retrieve.candidate_similarity(F.col("claim_text"), F.col("evidence_text"), entities="entities", lexical=F.col("similarity"))
+    return rows.select("claim_id", "evidence_id", retrieve.relevant(rows, url="url", entities="entities").alias("relevant"), value.alias("candidate_score"))
 
 
 @query()
@@ -651,12 +749,46 @@ def search_queries(spark, d):
     return rows.select("claim_id", retrieve.search_query(F.col("text"), F.col("entities"), F.col("subject")).alias("web"), F.array_join(listed, " || ").alias("vector"))
 
 
-@query()
+_CODE_MARKED = r"regexp_replace(t, '((?i)(\b[A-Z]{1,5}[- ]?\d{2,}[A-Z0-9/-]*\b))', chr(1) || '\2' || chr(1), 'g')"
+#: RE2 cannot look behind: the character before a numeral is matched and put back; then come those behind another.
+_NUMERAL_MARKED = "t"
+for _before in (r"(^|[^\w/\p{L}\p{N}])", r"(\x02)"):
+    _NUMERAL_MARKED = (
+        rf"regexp_replace({_NUMERAL_MARKED}, '{_before}((\d{{1,3}}(\.\d{{3}})+(,\d+)?|\d+([.,]\d+)?)\s*%?)', '\1' || chr(1) || '\2' || chr(2), 'g')"
+    )
+_NUMERAL_MARKED = f"replace({_NUMERAL_MARKED}, chr(2), chr(1))"
+
+
+def _marked_sql(name: str, marked: str, code: bool) -> str:
+    percent = "false" if code else "contains(raw, '%')"
+    return f"""{name}_p AS (SELECT doc_id, string_split({marked}, chr(1)) AS p FROM txt),
+{name} AS (SELECT doc_id, trim(raw) AS raw, regexp_replace(raw, '[^0-9]', '', 'g') AS digits, start::INT AS "start", (start + length(raw))::INT AS "end", {percent} AS percent, {str(code).lower()} AS identifier
+  FROM (SELECT doc_id, unnest([p[2 * k] FOR k IN range(1, len(p) // 2 + 1)]) AS raw, unnest([list_sum([length(x) FOR x IN p[1:2 * k - 1]]) FOR k IN range(1, len(p) // 2 + 1)]) AS start FROM {name}_p))"""
+
+
+@query(
+    f"""WITH txt AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), ' ') AS t FROM documents), {_marked_sql('codes', _CODE_MARKED, True)}, {_marked_sql('nums', _NUMERAL_MARKED, False)}
+SELECT * FROM codes UNION ALL SELECT n.* FROM nums n ANTI JOIN codes c ON c.doc_id = n.doc_id AND c."start" = n."start" AND c."end" = n."end" WHERE n.digits <> ''"""
+)
 def crawl_numbers(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.explode(crawl.mentions(F.col("text"))).alias("m"))
     return rows.select("doc_id", "m.*")
 
 
+@query(
+    f"""WITH w AS (SELECT item_id AS claim_id, {_PHRASE('text')} AS wanted FROM benchmark), c AS (SELECT page_id, url, {_SIG("coalesce(url, '') || ' ' || substr(html, 1, 2000)")} AS own FROM pages)
+SELECT claim_id, page_id, {q.rounded('len(list_intersect(wanted, own)) / greatest(1, least(len(wanted), 24))')} AS light FROM w, c
+QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY {q.rounded('len(list_intersect(wanted, own)) / greatest(1, least(len(wanted), 24))')} DESC, url) <= 10"""
+)
+def light_scores(spark, d):
+    """For each claim the ten pages to open, by the share of its phrase tokens in a page's address and beginning. Each
+    claim's search gives its own candidates; here it gives all pages."""
+    found = table(spark, d, "pages").select("page_id", F.col("url"), F.lit(None).cast("string").alias("title"), F.substring("html", 1, 2000).alias("summary"))
+    wanted = _claims(spark, d).select("claim_id", tx.phrase_tokens(F.col("text")).alias("wanted"))
+    scored = crawl.light_scores(found.withColumn("k", F.lit(1)).join(wanted.withColumn("k", F.lit(1)), "k"), F.col("wanted"))
+    return crawl.to_open(scored, "claim_id").select("claim_id", "page_id", "light")
+
+
 def _strong_claims(spark, d):
     rows = _claims(spark, d).withColumn("entities", tx.entities(F.col("text")))
     return rows.withColumn("strong", crawl.strong_entities(F.col("text"), F.col("entities"), tx.subject(F.col("text"), F.col("entities")), F.col("text")))
@@ -678,6 +810,57 @@ def crawl_candidates(spark, d):
     return crawl.judged_pairs(left, pages_).select("claim_id", "evidence_id", "reason", "similarity")
 
 
+_DEALT = f"""dealt AS (SELECT b.item_id AS claim_id, b.text AS claim, {_ENTITIES.replace('text', 'b.text')} AS ents, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) - 1 AS pos,
+  'https://' || d.source || '.example.org/' || d.doc_id::VARCHAR AS url, substr(d.text, 1, 60) AS title, substr(d.text, 61, 400) AS more, d.text AS whole
+  FROM benchmark b JOIN documents d ON d.doc_id % 20 = b.item_id % 20)"""
+_SQ = lambda x: f"trim(regexp_replace({x}, {q.quoted(tx.SPACE)}, ' ', 'g'))"
+_LEX = lambda c, t: f"(SELECT {q.rounded('least(sum(least(a.n, coalesce(b.n, 0))) / count(*), 1.0::DOUBLE)')} FROM (SELECT w, count(*) AS n FROM (SELECT unnest({q.words(f'lower({c})', tx.WORD3)}) AS w) GROUP BY w) a LEFT JOIN (SELECT w, count(*) AS n FROM (SELECT unnest({q.words(f'lower({t})', tx.WORD3)}) AS w) GROUP BY w) b USING (w))"
+
+
+def _responses(spark, d, layer: str, item, wrap):
+    """A response of ``layer`` for each claim, its items made of the documents dealt to it."""
+    own = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("k"), "doc_id", "source", "text")
+    rows = _claims(spark, d).select("claim_id", (F.col("claim_id") % 20).alias("k")).join(own, "k")
+    url = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string"))
+    rows = rows.select("claim_id", "doc_id", item(url, F.substring("text", 1, 60), F.substring("text", 61, 400), F.col("text")).alias("x"))
+    lists = rows.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "x"))), lambda s: s["x"]).alias("l"))
+    return lists.select(
+        F.col("claim_id"), F.lit(layer).alias("layer"), F.lit("q").alias("query"), F.lit(200).alias("status"), F.lit("application/json").alias("content_type"), F.to_json(wrap(F.col("l"))).alias("body")
+    )
+
+
+def _asking(spark, d):
+    return _claims(spark, d).select("claim_id", "text", tx.entities(F.col("text")).alias("entities"), F.lit("").alias("article_url"))
+
+
+@query(
+    f"""WITH {_DEALT}, said AS (SELECT *, array_to_string(list_filter([{_SQ('title')}, {_SQ('more')}], lambda p: p <> ''), '. ') AS text FROM dealt WHERE url <> ''),
+sides AS (SELECT *, {_SIG('claim')} AS ctok, {_NUM('claim')} AS cnum, {_SIG('text')} AS etok, {_NUM('text')} AS enum FROM said WHERE text <> ''),
+told AS (SELECT *, len(ctok) AS nc, len(list_intersect(ctok, etok)) AS shared, len(cnum) = 0 OR len(list_intersect(cnum, enum)) > 0 AS numbers, {_NAMED} AS named FROM sides),
+kept AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY pos) AS n FROM told WHERE length(trim(text)) >= 50 AND numbers AND named AND shared >= CASE WHEN nc <= 8 THEN 2 ELSE 3 END)
+SELECT claim_id, pos::INT AS pos, url, text, 'news' AS source_type, {q.rounded(q.clamp(f"greatest({_LEX('claim', 'text')}, shared / greatest(1, least(nc, 14))) + 0.08::DOUBLE + 0.07::DOUBLE"))} AS similarity
+FROM kept WHERE n <= {DEFAULT.top_k}"""
+)
+def layer_news(spark, d):
+    """A news service's stored answers as candidate evidence."""
+    item = lambda url, title, more, _: F.struct(title.alias("title"), more.alias("description"), F.lit("").alias("content"), url.alias("url"))
+    found = _responses(spark, d, "newsapi", item, lambda l: F.struct(l.alias("articles")))
+    return layers.candidates("newsapi", found, _asking(spark, d)).select("claim_id", "pos", "url", "text", "source_type", "similarity")
+
+
+@query(
+    f"""WITH {_DEALT}, said AS (SELECT *, {_SQ('whole')} AS full_text FROM dealt WHERE pos = 0),
+kept AS (SELECT *, CASE WHEN length(full_text) > {layers.SUMMARY_CHARS} THEN substr(full_text, 1, {layers.SUMMARY_CHARS}) || '...' ELSE full_text END AS text FROM said WHERE length(full_text) >= 50)
+SELECT claim_id, url, text, 'encyclopedia' AS source_type, {q.rounded(q.clamp(_LEX('claim', 'text')))} AS similarity FROM kept"""
+)
+def layer_encyclopedia(spark, d):
+    """An encyclopedia's stored summaries as candidate evidence."""
+    page = lambda url: F.struct(F.struct(url.alias("page")).alias("desktop")).alias("content_urls")
+    item = lambda url, title, more, whole: F.struct(title.alias("title"), whole.alias("extract"), more.alias("description"), page(url))
+    found = _responses(spark, d, "wikipedia", item, lambda l: F.get(l, F.lit(0)))
+    return layers.candidates("wikipedia", found, _asking(spark, d)).select("claim_id", "url", "text", "source_type", "similarity")
+
+
 # --- rerank, stance, score --------------------------------------------------------------------------------------------
 
 _ST = lambda x: q.set_without(q.words(x, "[a-z0-9][a-z0-9-]{2,}"), lx.STANCE_STOPWORDS)
@@ -729,16 +912,19 @@ def claim_similarity(spark, d):
 
 
 _KIND = lambda side, mark: f"len(list_filter({side}_fig, lambda n: contains(n, '{mark}'))) > 0"
-_STANCES = f"""{_CLAIM_SIM}, top AS (SELECT *, final AS sim FROM reranked WHERE is_sufficient QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY rank) <= 3),
-ruled AS (SELECT *, CASE WHEN claim_f = '' OR evidence_f = '' THEN 'empty' WHEN sim < 0.55 THEN 'similarity' WHEN layer = 'wikipedia' THEN 'context'
+_RULED = f"""CASE WHEN claim_f = '' OR evidence_f = '' THEN 'empty' WHEN sim < 0.55 THEN 'similarity' WHEN layer = 'wikipedia' THEN 'context'
   WHEN overlap >= 0.60 AND len(claim_fig) > 0 AND len(evidence_fig) > 0 AND len(list_intersect(claim_fig, evidence_fig)) = 0
     AND (({_KIND('claim', '%')} AND {_KIND('evidence', '%')}) OR ({_KIND('claim', 'r$')} AND {_KIND('evidence', 'r$')})) THEN 'numbers'
   WHEN evidence_con AND overlap >= 0.18 THEN 'marker' WHEN claim_neg <> evidence_neg AND overlap >= 0.42 THEN 'polarity' WHEN overlap >= 0.42 THEN 'overlap'
-  WHEN sim >= 0.72 AND overlap >= 0.18 THEN 'similar' WHEN overlap >= 0.18 THEN 'topic' ELSE 'weak' END AS reason FROM top),
-stances AS (SELECT claim_id, evidence_id, reason, CASE WHEN reason IN ('empty', 'similarity', 'weak') THEN 'insufficient' WHEN reason IN ('context', 'topic') THEN 'neutral'
-  WHEN reason IN ('numbers', 'marker', 'polarity') THEN 'contradict' ELSE 'support' END AS stance,
-  CASE reason WHEN 'empty' THEN 1.0 WHEN 'similarity' THEN 0.85 WHEN 'context' THEN 0.60 WHEN 'numbers' THEN 0.78 WHEN 'marker' THEN 0.70 WHEN 'polarity' THEN 0.64
-    WHEN 'overlap' THEN {q.rounded('least(greatest(0.55::DOUBLE + sim * 0.25::DOUBLE + overlap * 0.20::DOUBLE, 0.60::DOUBLE), 0.88::DOUBLE)')} WHEN 'similar' THEN 0.66 WHEN 'topic' THEN 0.58 ELSE 0.75 END::DOUBLE AS confidence FROM ruled),
+  WHEN sim >= 0.72 AND overlap >= 0.18 THEN 'similar' WHEN overlap >= 0.18 THEN 'topic' ELSE 'weak' END"""
+_STANCE_OF = """CASE WHEN reason IN ('empty', 'similarity', 'weak') THEN 'insufficient' WHEN reason IN ('context', 'topic') THEN 'neutral'
+  WHEN reason IN ('numbers', 'marker', 'polarity') THEN 'contradict' WHEN reason IS NOT NULL THEN 'support' END"""
+_CONFIDENCE_OF = f"""CASE reason WHEN 'empty' THEN 1.0 WHEN 'similarity' THEN 0.85 WHEN 'context' THEN 0.60 WHEN 'numbers' THEN 0.78 WHEN 'marker' THEN 0.70 WHEN 'polarity' THEN 0.64
+    WHEN 'overlap' THEN {q.rounded('least(greatest(0.55::DOUBLE + sim * 0.25::DOUBLE + overlap * 0.20::DOUBLE, 0.60::DOUBLE), 0.88::DOUBLE)')} WHEN 'similar' THEN 0.66 WHEN 'topic' THEN 0.58
+    WHEN 'weak' THEN 0.75 END::DOUBLE"""
+_STANCES = f"""{_CLAIM_SIM}, top AS (SELECT *, final AS sim FROM reranked WHERE is_sufficient QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY rank) <= 3),
+ruled AS (SELECT *, {_RULED} AS reason FROM top),
+stances AS (SELECT claim_id, evidence_id, reason, {_STANCE_OF} AS stance, {_CONFIDENCE_OF} AS confidence FROM ruled),
 all_stances AS (SELECT b.item_id AS claim_id, coalesce(evidence_id::VARCHAR, '') AS evidence_id, coalesce(stance, 'insufficient') AS stance,
   coalesce(confidence, 0.9) AS confidence, coalesce(reason, 'none') AS reason FROM benchmark b LEFT JOIN stances s ON s.claim_id = b.item_id)"""
 
@@ -809,8 +995,31 @@ def final_score(spark, d):
 
 @query()
 def result_json(spark, d):
-    nested = F.struct("evidence_score", "coverage", "support_rate", "contradiction_rate", "reputation", "classifier")
-    return _final(spark, d).select("article", F.to_json(F.struct(F.col("score"), F.col("label"), nested.alias("score_breakdown"))).alias("document"))
+    """One document for each article: its claims, their evidence with stance, its score and breakdown."""
+    claims_ = _claims(spark, d).withColumn("doc_id", F.col("claim_id") % 8)
+    told = _stances(spark, d).select("claim_id", F.col("evidence_id").alias("__e"), "stance")
+    texts = _evidence(spark, d).select("evidence_id", "text")
+    ranked = _reranked(spark, d).join(texts, "evidence_id").withColumn("__e", F.col("evidence_id").cast("string")).join(told, ["claim_id", "__e"], "left").drop("__e")
+    parts = F.struct("evidence_score", "coverage", "support_rate", "contradiction_rate", "reputation", "classifier")
+    scores = _final(spark, d).select(F.col("article").alias("doc_id"), "score", "label", parts.alias("score_breakdown"))
+    return sinks.nested_documents(claims_.select("doc_id").distinct(), claims_, ranked, scores).withColumnRenamed("doc_id", "article")
+
+
+@query(
+    f"""WITH {_CANDIDATES}, {_side('benchmark', 'item_id', 'claim')}, {_side('documents', 'doc_id', 'evidence')},
+tops AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY similarity DESC, evidence_id) <= 3),
+raw AS (SELECT r.claim_id, r.evidence_id, r.similarity AS sim, r.layer, c.*, e.*, CASE WHEN len(claim_terms) > 0 AND len(evidence_terms) > 0
+  THEN {q.rounded('len(list_intersect(claim_terms, evidence_terms)) / len(claim_terms)')} ELSE 0.0 END AS overlap
+  FROM tops r JOIN claim_ c ON c.claim_key = r.claim_id JOIN evidence_ e ON e.evidence_key = r.evidence_id),
+told AS (SELECT *, {_RULED} AS reason FROM raw)
+SELECT b.item_id AS claim_id, coalesce(evidence_id::VARCHAR, '') AS evidence_id, coalesce({_STANCE_OF}, 'insufficient') AS stance, coalesce({_CONFIDENCE_OF}, 1.0) AS confidence,
+  coalesce(reason, 'none') AS reason FROM benchmark b LEFT JOIN told ON claim_id = b.item_id"""
+)
+def stance_raw(spark, d):
+    """Stances where nothing was reranked: each claim's three best pieces of evidence as retrieved."""
+    rows = stance.for_raw_evidence(_claims(spark, d).drop("text"), _judgeable(spark, d))
+    judged = stance.pair_stance(rows.withColumn("similarity", stance.similarity_of(rows))).withColumn("evidence_id", F.col("evidence_id").cast("string"))
+    return stance.with_orphans(_claims(spark, d), judged, 1.0)
 
 
 # --- vectors and the index --------------------------------------------------------------------------------------------
@@ -856,9 +1065,20 @@ def cosine_matrix(spark, d):
     means = parts.groupBy("label", "i").agg((F.sum(micro) / F.count(F.lit(1)) / 1e6).alias("m"))
     means = means.withColumn("m", F.floor(F.col("m") * 1e6 + 0.5) / 1e6)
     lists = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("l")).select("label", F.col("l.m").alias("v"))
-    left, right = lists.withColumnRenamed("v", "a"), lists.select(F.col("label").alias("other"), F.col("v").alias("b"))
-    both = vectors.cosine_pairs(left, right, F.col("label") < F.col("other"))
-    return both.select("label", "other", round_at(F.col("cosine"), 3).alias("cosine"))
+    return vectors.cosine_matrix(lists, "label", "v").select("label", "other", round_at(F.col("cosine"), 3).alias("cosine"))
+
+
+@query(
+    """WITH k AS (SELECT substr(sha256('hashed::' || trim(coalesce(text, ''))), 1, 16) AS key, count(*) AS n FROM documents GROUP BY key),
+h AS (SELECT DISTINCT substr(sha256('hashed::' || trim(coalesce(text, ''))), 1, 16) AS key FROM documents WHERE lang = 'en')
+SELECT sum(n)::BIGINT AS asked, count(*) AS different, (sum(n) - count_if(key NOT IN (SELECT key FROM h)))::BIGINT AS hits, count_if(key NOT IN (SELECT key FROM h)) AS misses,
+  floor((sum(n) - count_if(key NOT IN (SELECT key FROM h))) / sum(n) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS hit_rate FROM k"""
+)
+def embedding_memo(spark, d):
+    """What a memo of the English documents' embeddings saves over all documents."""
+    docs = table(spark, d, "documents")
+    held = docs.where("lang = 'en'").select(vectors.embedding_key(F.trim(F.coalesce("text", F.lit(""))), "hashed").alias("key"))
+    return vectors.memo_stats(docs, "text", held)
 
 
 @query("SELECT label % 3 AS source, count(*) AS chunks, count(DISTINCT label) AS documents FROM embeddings GROUP BY ALL")
@@ -874,7 +1094,19 @@ def index_delete(spark, d):
     return index.numbered(rows).select("vec_id", F.col("base_doc_id").alias("label"), "position")
 
 
-@query()
+_SIZE, _OVERLAP = DEFAULT.vector_chunk_chars, DEFAULT.vector_chunk_overlap
+
+
+@query(
+    f"""WITH RECURSIVE w(doc_id, text, start, stop) AS (SELECT doc_id, text, NULL::BIGINT, {_OVERLAP}::BIGINT FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, text, s, CASE WHEN length(text) <= {_SIZE} THEN length(text) + {_OVERLAP}
+      WHEN s + {_SIZE} < length(text) AND sp > {_OVERLAP} THEN s + sp ELSE s + {_SIZE} END
+    FROM (SELECT *, stop - {_OVERLAP} AS s, {_SIZE} - strpos(reverse(substr(text, (stop - {_OVERLAP} + 1)::BIGINT, {_SIZE})), ' ') AS sp0,
+      CASE WHEN contains(substr(text, (stop - {_OVERLAP} + 1)::BIGINT, {_SIZE}), ' ') THEN {_SIZE} - strpos(reverse(substr(text, (stop - {_OVERLAP} + 1)::BIGINT, {_SIZE})), ' ') ELSE -1 END AS sp FROM w)
+    WHERE s < length(text) OR (start IS NULL AND text = '')),
+piece AS (SELECT doc_id, start, CASE WHEN length(text) <= {_SIZE} THEN text ELSE regexp_replace(substr(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '^\\s+|\\s+$', '', 'g') END AS text FROM w WHERE start IS NOT NULL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk_id, start::INT AS start, text FROM piece WHERE text <> '' OR start = 0"""
+)
 def chunk_windows(spark, d):
     return chunks.char_chunks(table(spark, d, "documents"))
 
@@ -962,8 +1194,11 @@ def quota_daily(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT event_id, event_type AS layer, ts FROM events), bad AS (SELECT layer, ts, max(ts) OVER (PARTITION BY layer ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e WHERE event_id % 13 = 0)
-SELECT layer, count(*) AS failures, count_if(before IS NULL OR ts >= before + INTERVAL 10 MINUTE) AS pauses FROM bad GROUP BY layer"""
+    """WITH RECURSIVE bad AS (SELECT event_type AS layer, ts::TIMESTAMP AS ts FROM events WHERE event_id % 13 = 0),
+pause(layer, since) AS (SELECT layer, min(ts) FROM bad GROUP BY layer
+  UNION ALL SELECT p.layer, (SELECT min(b.ts) FROM bad b WHERE b.layer = p.layer AND b.ts >= p.since + INTERVAL 10 MINUTE) FROM pause p WHERE p.since IS NOT NULL),
+n AS (SELECT layer, count(since) AS pauses FROM pause GROUP BY layer), f AS (SELECT layer, count(*) AS failures FROM bad GROUP BY layer)
+SELECT layer, failures, failures - pauses AS refused, pauses FROM f JOIN n USING (layer)"""
 )
 def breaker_pauses(spark, d):
     from ..streaming import state

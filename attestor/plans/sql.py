@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from .. import lexicons as lx
 from ..functions import text as tx
 
 
@@ -28,6 +29,34 @@ def plain(x: str) -> str:
     return f"lower(translate({x}, {quoted(tx.ACCENTED)}, {quoted(tx.BARE)}))"
 
 
+def expanded(x: str) -> str:
+    """Abbreviations expanded; each twice, as neighbours share the character between them."""
+    for short, long in lx.ABBREVIATIONS.items():
+        for _ in range(2):
+            x = f"regexp_replace({x}, {quoted('(?i)(^|[^\\p{L}\\p{N}_])' + short + '($|[^\\p{L}\\p{N}_])')}, {quoted('\\1' + long + '\\2')}, 'g')"
+    return x
+
+
+def rag(source: str, column: str, turns: int) -> str:
+    """CTEs that end in ``rag_rows``: the rows of ``source`` with ``rag``, the retrieval text of ``column``."""
+    steps = [f"regexp_replace(lower(trim({column})), '^(isso|este|esta|esse|essa|aquilo|aquele|aquela)\\s+', '')"]
+    for unit, zeros, behind in (("bilhões?", 9, ""), ("milhões?", 6, ""), ("mil", 3, "($|[^\\p{L}\\p{N}_])")):
+        number = f"(\\d+(?:[.,]\\d+)?)\\s*{unit}{behind}"
+        value = f"((replace(regexp_extract(rag, '{number}', 1), ',', '.')::DECIMAL(20,9) * {10**zeros}::DECIMAL(18,0))::DECIMAL(38,0))::VARCHAR"
+        again = " || '\\2'" if behind else ""
+        for _ in range(turns):
+            steps.append(f"CASE WHEN regexp_matches(rag, '{number}') THEN regexp_replace(rag, '{number}', {value}{again}) ELSE rag END")
+    steps += ["regexp_replace(rag, 'r\\$\\s*', '', 'g')", "regexp_replace(rag, '(\\d+(?:[.,]\\d+)?)\\s*%', '\\1 por cento', 'g')"]
+    adjective = quoted("(^|[^\\p{L}\\p{N}_])" + tx.alternatives(lx.EMPTY_ADJECTIVES) + "($|[^\\p{L}\\p{N}_])")
+    steps += [f"regexp_replace(rag, {adjective}, '\\1\\3', 'g')"] * 2
+    kept = f"list_filter(string_split_regex(rag, {quoted(tx.SPACE)}), lambda t: length(t) > 1 AND NOT list_contains({values(lx.LIGHT_STOPWORDS)}, t))"
+    steps.append(f"array_to_string({kept}, ' ')")
+    names = [f"rag_{k}" for k in range(len(steps) - 1)] + ["rag_rows"]
+    first = f"{names[0]} AS (SELECT *, {steps[0]} AS rag FROM {source})"
+    rest = [f"{name} AS (SELECT * EXCLUDE (rag), {step} AS rag FROM {before})" for name, before, step in zip(names[1:], names, steps[1:])]
+    return ", ".join([first, *rest])
+
+
 def stance_fold(x: str) -> str:
     inner = f"translate(lower(replace(replace(regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g'), '&quot;', ' '), '&amp;', ' ')), {quoted(tx.ACCENTED)}, {quoted(tx.BARE)})"
     return f"trim(regexp_replace(regexp_replace({inner}, '[^a-z0-9%$., ]+', ' ', 'g'), {quoted(tx.SPACE)}, ' ', 'g'))"

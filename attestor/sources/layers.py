@@ -107,6 +107,47 @@ def _mapped(layer: str, responses: DataFrame) -> DataFrame:
     return rows.select("claim_id", "query", pos.cast("int").alias("pos"), *[(F.lit(c) if isinstance(c, str) else c).alias(n) for n, c in zip(names, made)])
 
 
+#: Search services of one layer in the order in which they are preferred, and where their items are.
+SERP_PROVIDERS = {"serper": "organic", "serpapi": "organic_results", "searchapi": "organic_results"}
+
+
+def serp_provider(settings: DataFrame) -> DataFrame:
+    """``provider``: the first service of SERP_PROVIDERS that is enabled and has a key (``provider, enabled, key``), else
+    the last; one row."""
+    order = F.array(*[F.lit(p) for p in SERP_PROVIDERS])
+    fit = F.col("enabled") & ~F.lower(F.trim(F.coalesce("key", F.lit("")))).isin("", *PLACEHOLDERS)
+    place = F.when(fit, F.array_position(order, F.col("provider")))
+    return settings.agg(F.coalesce(F.min(F.when(place > 0, place)), F.lit(len(SERP_PROVIDERS))).alias("k")).select(F.element_at(order, F.col("k").cast("int")).alias("provider"))
+
+
+#: Texts that stand for a key that was never set.
+PLACEHOLDERS = ("sua_chave_aqui", "your_key_here")
+
+
+def serp_requests(queries: DataFrame, provider: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``claim_id, provider, method, params``: each query (``claim_id, query``) as the chosen service takes it; keys are
+    added by whoever sends it."""
+    common = [F.lit("q"), F.col("query"), F.lit("gl"), F.lit("br"), F.lit("hl"), F.lit("pt-br"), F.lit("num"), F.lit(str(min(cfg.top_k, 10)))]
+    posted = F.col("provider") == "serper"
+    params = F.when(posted, F.create_map(*common)).otherwise(F.create_map(*common, F.lit("engine"), F.lit("google")))
+    return queries.crossJoin(F.broadcast(provider)).select("claim_id", "provider", F.when(posted, "POST").otherwise("GET").alias("method"), params.alias("params"))
+
+
+def title_requests(claims: DataFrame, names: int = 3, limit: int = 2) -> DataFrame:
+    """``claim_id, pos, query, limit``: an encyclopedia's title search for up to ``names`` entities of a claim, then for
+    the claim itself; each spelling once."""
+    asked = tx.distinct_by(F.filter(F.concat(F.slice("entities", 1, names), F.array("text")), lambda q: F.trim(q) != ""), F.lower)
+    return claims.select("claim_id", F.posexplode(asked).alias("pos", "query"), F.lit(limit).alias("limit"))
+
+
+def titles(responses: DataFrame, limit: int = 2) -> DataFrame:
+    """``claim_id, query, pos, title``: the first ``limit`` titles that a title search (``claim_id, query, status, body``)
+    suggests, each once for a claim; their summaries are what the layer reads."""
+    own = usable(responses).select("claim_id", "query", F.from_json(F.get_json_object("body", "$[1]"), "array<string>").alias("t"))
+    rows = own.select("claim_id", "query", F.posexplode(F.slice("t", 1, limit)).alias("pos", "title")).where("trim(title) <> ''")
+    return rows.groupBy("claim_id", "title").agg(F.min(F.struct("query", "pos")).alias("m")).select("claim_id", "m.query", "m.pos", "title")
+
+
 def json_text(said: Column) -> Column:
     """A model's reply as JSON text: without code fences, else its first braced part, else not found."""
     bare = F.trim(F.regexp_replace(said, r"^\s*```(?:json)?|```\s*$", ""))
@@ -114,11 +155,14 @@ def json_text(said: Column) -> Column:
     return F.when(F.get_json_object(bare, "$.found").isNotNull(), bare).when(inner != "", inner).otherwise(F.lit('{"found": false}'))
 
 
-def candidates(layer: str, responses: DataFrame, claims: DataFrame, cfg: EngineConfig = DEFAULT, *, trusted: tuple[str, ...] = ()) -> DataFrame:
+def candidates(
+    layer: str, responses: DataFrame, claims: DataFrame, cfg: EngineConfig = DEFAULT, *, trusted: tuple[str, ...] = (), statuses: DataFrame | None = None
+) -> DataFrame:
     """A layer's candidate evidence for ``claims`` (``claim_id, text, entities``, ``article_url``): items with address and
     text, each address once, not the claim's own article, relevant, scored, ``top_k`` of a claim in the service's order.
     Fact checks have a fixed similarity and need no relevance test; an encyclopedia is scored by lexical overlap only;
-    web search takes trusted domains only."""
+    web search takes trusted domains only; a source that a model proposed must have answered below status 400 when it was
+    tried (``statuses``: ``url, status``, of all proposed sources)."""
     from pyspark.sql import Window
 
     own = retrieve.prepared(claims.select("claim_id", F.col("text").alias("claim_text"), "entities", "article_url"), "claim_text", "claim")
@@ -129,6 +173,10 @@ def candidates(layer: str, responses: DataFrame, claims: DataFrame, cfg: EngineC
     rows = rows.withColumn("trusted", F.lit(layer == "factcheck") | urls.domain(F.col("url")).isin(*(trusted or ("",))))
     if layer == "web_search":
         rows = rows.where("trusted")
+    if layer == "ai_fallback":
+        rows = rows.where(F.col("url").rlike(r"(?i)^https?://[^/?#]+"))
+        if statuses is not None:
+            rows = rows.join(statuses.where("status < 400").select("url").distinct(), "url", "left_semi")
     rows = retrieve.prepared(rows.withColumn("evidence_text", F.col("text")), "evidence_text", "evidence")
     if layer == "factcheck":
         rows = rows.withColumn("similarity", F.lit(FACT_CHECK_SIMILARITY))
@@ -145,6 +193,6 @@ def candidates(layer: str, responses: DataFrame, claims: DataFrame, cfg: EngineC
     )
 
 
-def layer(name: str, responses: DataFrame, trusted: tuple[str, ...] = ()):
+def layer(name: str, responses: DataFrame, trusted: tuple[str, ...] = (), statuses: DataFrame | None = None):
     """The layer ``name`` over stored responses, as operators.retrieve.retrieve takes it."""
-    return lambda claims, cfg: candidates(name, responses, claims, cfg, trusted=trusted)
+    return lambda claims, cfg: candidates(name, responses, claims, cfg, trusted=trusted, statuses=statuses)

@@ -6,6 +6,7 @@ import html
 import xml.etree.ElementTree as ET
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,9 +116,11 @@ def feed_rows(responses: DataFrame, blocked: tuple[str, ...], per_seed: int = SE
     """``query, seed, pos, url, title, summary``: of each stored response (``query, seed, body``) the first ``per_seed``
     allowed addresses, redirects unwrapped; of a query each address once, in the order of seeds."""
 
-    @F.udf(ITEM)
-    def items(body):
-        return feed_items(body)
+    @F.arrow_udf(ITEM)
+    def items(bodies: pa.Array) -> pa.Array:
+        names = ("url", "title", "summary")
+        kind = pa.list_(pa.struct([(n, pa.string()) for n in names]))
+        return pa.array([[dict(zip(names, x)) for x in feed_items(b.as_py())] for b in bodies], kind)
 
     rows = responses.select("query", "seed", F.posexplode(items("body")).alias("pos", "x")).select("query", "seed", "pos", "x.*")
     rows = rows.withColumn("url", urls.unwrap(F.col("url"))).where(urls.candidate_allowed(F.col("url"), blocked))
@@ -128,6 +131,21 @@ def feed_rows(responses: DataFrame, blocked: tuple[str, ...], per_seed: int = SE
     return rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_seed).drop("__n", "__k")
 
 
+def feed_articles(entries: DataFrame, page_rows: DataFrame, per_feed: int = FEED_ENTRIES) -> DataFrame:
+    """Articles of the first ``per_feed`` entries of each feed (``feed, pos, url, title``), whose pages (``page_id, url,
+    html``) have enough clean text, as documents for the index. An address that several feeds list is taken once, from the
+    first feed by name."""
+    first = Window.partitionBy("feed").orderBy("pos")
+    rows = entries.where("trim(url) <> ''").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_feed)
+    once = Window.partitionBy("url").orderBy("feed", "pos")
+    rows = rows.withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    held = page_rows.dropDuplicates(["url"]).join(rows.select("url", F.col("title").alias("entry_title")), "url")
+    found = pages.articles(held.select("page_id", "url", "html"))
+    found = found.withColumn("text", F.array_join(clean.clean_blocks(F.col("blocks")), "\n\n"))
+    found = found.drop("title").join(held.select("page_id", F.col("entry_title").alias("title")), "page_id")
+    return _documents(found.where(F.length("text") >= MIN_FEED_CHARS), "rss_news", F.col("page_id").cast("string"))
+
+
 def seed_addresses(queries: DataFrame, templates: list[str]) -> DataFrame:
     """``query, seed, address``: each query (``query``) with each search template, ``{query}`` url-encoded. Templates are
     a configured list, so this is an explode."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round_at
+
 SNIPPET = 200
 
 
@@ -43,3 +45,26 @@ def retrieval_payload(evidence: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("layer")).alias("layers_used"),
         F.array_sort(F.collect_list(item)).alias("evidence"),
     )
+
+
+def _document(*fields) -> F.Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def stance_documents(judged: DataFrame) -> DataFrame:
+    """``claim_id, evidence_id, document``: one JSON document for each judged pair, numbers to four digits."""
+    four = lambda c: round_at(F.col(c)).alias(c)
+    return judged.select(
+        "claim_id", "evidence_id",
+        _document("claim_id", "evidence_id", "stance", four("confidence"), "reason", four("similarity"), four("overlap"), "source", "url", "layer", "source_type", "trusted").alias("document"),
+    )
+
+
+def similarity_documents(claims: DataFrame, reranked: DataFrame) -> DataFrame:
+    """``claim_id, document``: each claim with its evidence by rank, as one JSON document; a claim without any has an
+    empty list and scores of zero."""
+    item = F.struct("rank", "evidence_id", "similarity", "semantic", "final", "is_sufficient")
+    lists = reranked.groupBy("claim_id").agg(F.array_sort(F.collect_list(item)).alias("evidence"), F.max("final").alias("score"), F.bool_or("is_sufficient").alias("sufficient"))
+    rows = claims.select("claim_id").join(lists, "claim_id", "left")
+    score, sufficient = F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("sufficient", F.lit(False)).alias("has_sufficient")
+    return rows.select("claim_id", _document("claim_id", score, sufficient, F.coalesce("evidence", F.array()).alias("evidence")).alias("document"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -53,13 +55,39 @@ def quota_windows(requests: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def pauses_batch(results: DataFrame, minutes: int = 10) -> DataFrame:
-    """Failures of each layer (``layer, ts, event_id, failed``) and the pauses they start: one begins with a failure
-    that no failure precedes within ``minutes``."""
-    bad = results.where("failed")
-    before = F.max("ts").over(Window.partitionBy("layer").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    bad = bad.withColumn("before", before)
-    starts = F.col("before").isNull() | (F.col("ts") >= F.col("before") + F.expr(f"INTERVAL {minutes} MINUTES"))
-    return bad.groupBy("layer").agg(F.count(F.lit(1)).alias("failures"), F.count_if(starts).alias("pauses"))
+    """What :func:`breaker_stream` does, over a whole table (``layer, ts, event_id, failed``): ``layer, failures, refused,
+    pauses``. A failure pauses its layer; what falls into a pause is not sent, so it neither fails nor prolongs it.
+    ``failures`` counts the rows marked as failed, ``refused`` those of them inside a pause.
+
+    Rows of a layer come sorted and are read batch by batch with the end of the pause as the only state; each pause is
+    found by a binary search, so a layer is never held whole."""
+    bad = results.where("failed").select("layer", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    bad = bad.repartition("layer").sortWithinPartitions("layer", "at")
+    reach = minutes * 60_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        until: dict[str | None, int] = {}
+        for batch in batches:
+            layers = batch.column(0).dictionary_encode()
+            at, code = batch.column(1).to_numpy(), layers.indices.fill_null(-1).to_numpy()
+            out = []
+            for k in np.unique(code).tolist():
+                own, name = at[code == k], layers.dictionary[k].as_py() if k >= 0 else None
+                end, i, pauses, refused = until.get(name), 0, 0, 0
+                while True:
+                    free = int(np.searchsorted(own, end, "left")) if end is not None else i
+                    refused += max(0, free - i)
+                    if free >= len(own):
+                        break
+                    pauses, end, i = pauses + 1, int(own[free]) + reach, free + 1
+                until = {name: end}  # layers come one after the other
+                out.append((name, len(own), refused, pauses))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+            if out:
+                yield pa.RecordBatch.from_arrays(columns, ["layer", "failures", "refused", "pauses"])
+
+    parts = bad.mapInArrow(run, "layer string, failures long, refused long, pauses long")
+    return parts.groupBy("layer").agg(*[F.sum(c).alias(c) for c in ("failures", "refused", "pauses")])
 
 
 BREAKER_OUT = "layer string, event_id long, ts timestamp, allowed boolean"
