@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable
 from functools import reduce
@@ -43,6 +44,11 @@ def whole(terms: Iterable[str]) -> str:
     return "(?iu)" + START + alternatives(terms) + END
 
 
+def first_words(terms: Iterable[str]) -> list[str]:
+    """The first word of each term, in lower case: a text without any of them holds none of the terms as whole words."""
+    return sorted({re.findall(r"\w+", t)[0].lower() for t in terms})
+
+
 def bind(col: Column, f) -> Column:
     """``f`` of a column that is worked out once, however often ``f`` uses it."""
     return F.get(F.transform(F.array(col), f), F.lit(0))
@@ -179,11 +185,13 @@ def rag_text(col: Column, turns: int = 3) -> Column:
     return F.array_join(F.filter(F.split(out, SPACE), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)), " ")
 
 
-def marker_hits(folded: Column, tokens: Column, terms: Iterable[str]) -> Column:
-    """Occurrences of single-word terms as whole words and of longer ones as text."""
+def marker_hits(folded: Column, tokens: Column, terms: Iterable[str], held: Column | None = None) -> Column:
+    """Occurrences of single-word terms as whole words and of longer ones as text. ``held`` may give the different tokens
+    that are markers at all, so that only those that a text holds are counted."""
     terms = list(terms)
-    single = F.array(*[F.lit(t) for t in terms if " " not in t])
-    hits = F.size(F.filter(tokens, lambda t: F.array_contains(single, t)))
+    single = F.array(*[F.lit(t) for t in terms if " " not in t]).cast("array<string>")
+    own = F.array_intersect(tokens if held is None else held, single)
+    hits = F.aggregate(own, F.lit(0), lambda n, t: n + F.size(F.filter(tokens, lambda x: x == t)))
     for term in (t for t in terms if " " in t):
         hits = hits + ((F.length(folded) - F.length(F.replace(folded, F.lit(term), F.lit("")))) / len(term)).cast("int")
     return hits

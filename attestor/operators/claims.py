@@ -36,16 +36,45 @@ TYPES = [
 ]
 
 
+#: Terms of which the first word must be in a sentence for the signal's pattern to match; others need a digit.
+_TERMS = {
+    "attribution": lx.ATTRIBUTION_VERBS, "causal": lx.CAUSAL, "comparative": lx.COMPARATIVE, "definition": lx.DEFINITION, "prediction": lx.PREDICTION,
+    "factual_verb": lx.FACTUAL_VERBS, "negation": lx.NEGATED_FACTS, "date": lx.MONTHS,
+}
+_DIGIT = ("numeric", "quantity", "prediction")
+
+
+def _held(text: Column, terms: dict[str, list[str]]) -> Column:
+    """(words, digit): which of the terms' first words a sentence holds, and whether it holds a digit."""
+    known = F.array(*[F.lit(w) for w in tx.first_words(t for own in terms.values() for t in own)])
+    return F.struct(F.array_intersect(tx.words(F.lower(text), tx.LETTER + "+"), known).alias("words"), text.rlike("[0-9]").alias("digit"))
+
+
+def _holds(column: str, terms: list[str]) -> Column:
+    return F.arrays_overlap(f"{column}.words", F.array(*[F.lit(w) for w in tx.first_words(terms)]))
+
+
 def with_signals(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``signals`` (those present, in the order of SIGNALS) and ``points``, their weights in hundredths. Each
-    pattern is matched once, into a struct that both columns read. A quantity counts only without a numeric signal."""
+    pattern is matched once, into a struct that both columns read, and only where the sentence holds a word or digit that
+    it cannot do without. A quantity counts only without a numeric signal."""
     text = F.trim(F.col(text_col))
-    rows = sentences.withColumn("__s", F.struct(*[text.rlike(pattern).alias(name) for name, pattern in SIGNALS.items()]))
+    rows = sentences.withColumn("__h", _held(text, _TERMS))
+
+    def matched(name: str, pattern: str) -> Column:
+        need = F.lit(True)
+        if name in _TERMS:
+            need = _holds("__h", _TERMS[name]) | (F.col("__h.digit") if name == "date" else F.lit(False))
+        if name in _DIGIT:
+            need = need & F.col("__h.digit")
+        return F.when(need, text.rlike(pattern)).otherwise(F.lit(False))
+
+    rows = rows.withColumn("__s", F.struct(*[matched(name, pattern).alias(name) for name, pattern in SIGNALS.items()]))
     found = {name: F.col(f"__s.{name}") for name in SIGNALS}
     found["quantity"] = found["quantity"] & ~found["numeric"]
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))
     points = sum((F.when(c, F.lit(lx.SIGNAL_WEIGHTS[n])).otherwise(F.lit(0)) for n, c in found.items()), F.lit(0))
-    return rows.withColumn("signals", names).withColumn("points", points).drop("__s")
+    return rows.withColumn("signals", names).withColumn("points", points).drop("__s", "__h")
 
 
 def decide(sentences: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,6 +150,13 @@ ANY_NUMBER = r"(^|[^\p{L}\p{N}_])[0-9]+([.,][0-9]+)?(%|mil|milhão|milhões|bilh
 #: Rule stand-ins for a parser's verb moods: endings of the commonest tenses.
 INDICATIVE = r"(?iu)(^|[^\p{L}])(\p{L}{2,}(ou|eu|iu|aram|eram|iram|ará|erá|irá)|foi|é|são|está|estão|tem|têm|há)([^\p{L}]|$)"
 MODAL = r"(?iu)(^|[^\p{L}])(pode|podem|poderia|poderiam|deve|devem|deveria|deveriam)([^\p{L}]|$)"
+#: The same as tests of lower-cased text that need no back-tracking; the two above are what SQL is held against.
+_INDICATIVE = r"\p{L}{2}(?:ou|eu|iu|[aei]ram|[aei]rá)(?!\p{L})|(?<!\p{L})(?:foi|é|são|está|estão|t[eê]m|há)(?!\p{L})"
+_MODAL = r"(?<!\p{L})(?:pode|deve)(?:m|ria|riam)?(?!\p{L})"
+
+
+#: Terms of which the first word must be in a sentence for the pattern to match, but for factual numbers.
+_FACTS = {"opinion": lx.OPINION_MARKERS, "cited": lx.CITATION_VERBS, "factual": ["segundo", "de acordo com", "com base em", "lei", *lx.FACTUAL_WORDS]}
 
 
 def rule_analysis(sentences: DataFrame, text_col: str = "text") -> DataFrame:
@@ -128,8 +164,8 @@ def rule_analysis(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.col(text_col)
     return (
         sentences.withColumn("entities", tx.entities(t))
-        .withColumn("indicative", t.rlike(INDICATIVE))
-        .withColumn("modal", t.rlike(MODAL))
+        .withColumn("indicative", F.lower(t).rlike(_INDICATIVE))
+        .withColumn("modal", F.lower(t).rlike(_MODAL))
         .withColumn("has_subject", t.rlike(r"^\s*\p{Lu}"))
     )
 
@@ -144,12 +180,18 @@ def checkability(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     flag = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0))
     names = F.size("entities")
     # each pattern that several columns read is matched once
-    patterns = {"opinion": OPINION, "factual": FACTUAL, "question": QUESTION, "call": CALL}
-    sentences = sentences.withColumn("__m", F.struct(*[t.rlike(p).alias(n) for n, p in patterns.items()]))
-    opinion, factual, question, call = (F.col(f"__m.{n}") for n in patterns)
+    sentences = sentences.withColumn("__h", _held(t, _FACTS))
+    digit, holds = F.col("__h.digit"), lambda name: _holds("__h", _FACTS[name])
+    tests = {
+        "opinion": F.when(holds("opinion"), t.rlike(OPINION)), "factual": F.when(digit | holds("factual"), t.rlike(FACTUAL)),
+        "cited": F.when(holds("cited"), t.rlike(CITATION)), "number": F.when(digit, t.rlike(ANY_NUMBER)),
+        "question": F.when(F.contains(t, F.lit("?")), t.rlike(QUESTION)), "call": t.rlike(CALL),
+    }
+    sentences = sentences.withColumn("__m", F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in tests.items()]))
+    opinion, factual, cited, number, question, call = (F.col(f"__m.{n}") for n in tests)
     points = (
-        F.least(F.lit(30), 10 * names) + flag(t.rlike(ANY_NUMBER), 20) + flag(F.col("indicative"), 20) + flag(factual, 20)
-        + flag(t.rlike(CITATION), 15) + flag(F.col("has_subject"), 10) - flag(F.col("modal"), 15) - flag(opinion, 20)
+        F.least(F.lit(30), 10 * names) + flag(number, 20) + flag(F.col("indicative"), 20) + flag(factual, 20)
+        + flag(cited, 15) + flag(F.col("has_subject"), 10) - flag(F.col("modal"), 15) - flag(opinion, 20)
     )
     out = sentences.withColumn("__p", F.greatest(F.lit(0), F.least(F.lit(100), points)))
     p = F.col("__p")
@@ -162,7 +204,7 @@ def checkability(sentences: DataFrame, text_col: str = "text") -> DataFrame:
     for test, name, points_ in rules[1:]:
         label, value = label.when(test, name), value.when(test, points_)
     out = out.withColumn("label", label.otherwise("noise")).withColumn("label_confidence", value.otherwise(80) / 100.0)
-    return out.withColumn("score", p / 100.0).drop("__p", "__m")
+    return out.withColumn("score", p / 100.0).drop("__p", "__m", "__h")
 
 
 def detect(sentences: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:

@@ -33,7 +33,8 @@ def text_stats(docs: DataFrame, text_col: str = "text", title_col: str | None =
     out = docs.withColumn("__text", text).withColumn("__folded", tx.fold(F.col("__text")))
     out = out.withColumn("__words", tx.words(F.col("__folded"), tx.FEATURE_WORD)).withColumn("__content", tx.content_tokens(F.col("__text")))
     out = out.withColumn("__sentences", F.filter(tx.sentences(F.col("__text")), lambda s: F.length(s) >= 3))
-    lengths = F.filter(F.transform("__sentences", lambda s: F.size(tx.feature_tokens(s))), lambda n: n > 0)
+    # accents and white space do not change how many words there are
+    lengths = F.filter(F.transform("__sentences", lambda s: F.regexp_count(F.lower(s), F.lit(tx.FEATURE_WORD))), lambda n: n > 0)
     out = out.withColumn("__lengths", lengths)
     t, words = F.col("__text"), F.size("__words")
     total = F.aggregate("__lengths", F.lit(0), lambda a, x: a + x)
@@ -48,10 +49,10 @@ def text_stats(docs: DataFrame, text_col: str = "text", title_col: str | None =
         .withColumn("avg_sentence_words", round_at(safe_div(total, F.size("__lengths")), 2))
         .withColumn("max_sentence_words", F.coalesce(F.array_max("__lengths"), F.lit(0)))
         .withColumn("title_word_count", title)
-        .withColumn("uppercase_ratio", round_at(safe_div(_count(t, r"\p{Lu}"), _count(t, r"\p{L}"))))
+        .withColumn("uppercase_ratio", round_at(safe_div(_count(t, r"\p{Lu}"), F.length(F.regexp_replace(t, r"\P{L}+", "")))))
         .withColumn("punctuation_density", round_at(_count(t, "[.,;:!?…]") / F.greatest(words, F.lit(1))))
-        .withColumn("exclamation_count", _count(t, "!"))
-        .withColumn("question_count", _count(t, r"\?"))
+        .withColumn("exclamation_count", F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))))
+        .withColumn("question_count", F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit(""))))
         .withColumn("numbers_count", _count(t, NUMBER))
         .withColumn("dates_count", _count(F.col("__folded"), DATE))
         .withColumn("quote_marks_count", _count(t, QUOTE))
@@ -78,7 +79,11 @@ def with_features(stats: DataFrame, title_col: str | None = None, markers: dict[
     if title_col:
         title = tx.fold(F.coalesce(F.col(title_col), F.lit("")))
         folded, words = F.concat_ws(" ", title, folded), F.concat(tx.words(title, tx.FEATURE_WORD), words)
-    out = stats.select("*", *[tx.marker_hits(folded, words, terms).alias(f"n_{name}") for name, terms in use.items()])
+    # which markers a text holds at all is found once for all lists
+    every = sorted({t for terms in use.values() for t in terms if " " not in t})
+    stats = stats.withColumn("__held", F.array_intersect(words, F.array(*[F.lit(t) for t in every])))
+    counts = [tx.marker_hits(folded, words, terms, F.col("__held")).alias(f"n_{name}") for name, terms in use.items()]
+    out = stats.select("*", *counts).drop("__held")
     in_title = F.lit(0)
     if title_col:
         title_words = tx.words(title, tx.FEATURE_WORD)
@@ -125,6 +130,8 @@ def top_terms(docs: DataFrame, *by: str, n: int = 12, text_col: str = "text") ->
     """The ``n`` commonest content words of each group, ties by word: ``by, term, count, rank``."""
     from pyspark.sql import Window
 
-    terms = docs.select(*by, F.explode(tx.content_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy(*by, "term").count()
+    terms = docs.select(*by, F.explode(tx.feature_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy(*by, "term").count()
+    # each different word is looked at once
+    terms = terms.where((F.length("term") >= 3) & ~F.col("term").isin(*dict.fromkeys(lx.FEATURE_STOPWORDS)) & ~F.col("term").rlike("^[0-9]+$"))
     order = Window.partitionBy(*by).orderBy(F.desc("count"), "term")
     return terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
