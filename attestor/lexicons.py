@@ -21,6 +21,8 @@ REMOVED_ATTRIBUTES = [
     ("class", "newsletter"), ("class", "paywall"), ("class", "subscription"), ("class", "related-"), ("class", "recommended"),
     ("class", "share-"), ("class", "social-share"), ("class", "comment"), ("class", "sidebar"),
 ]
+CRAWL_REMOVED_TAGS = ["script", "style", "noscript", "nav", "footer", "header", "aside", "form", "button", "iframe", "svg"]
+CRAWL_TEXT_TAGS = ["h1", "h2", "h3", "p", "li"]
 BLOCK_TAGS = ["p", "h2", "h3", "h4", "blockquote", "li"]
 #: Ancestors' class parts and paragraph classes of portals, tried in this order when semantic roots give too little.
 PORTAL_PARAGRAPHS = [

@@ -159,9 +159,13 @@ _MODAL = r"(?<!\p{L})(?:pode|deve)(?:m|ria|riam)?(?!\p{L})"
 _FACTS = {"opinion": lx.OPINION_MARKERS, "cited": lx.CITATION_VERBS, "factual": ["segundo", "de acordo com", "com base em", "lei", *lx.FACTUAL_WORDS]}
 
 
-def rule_analysis(sentences: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds what a language model would supply, found by rules: ``entities``, ``indicative``, ``modal``, ``has_subject``."""
+def rule_analysis(sentences: DataFrame, text_col: str = "text", parser=None) -> DataFrame:
+    """Adds ``entities``, ``indicative``, ``modal`` and ``has_subject``, found by rules or by ``parser``, a function from a
+    text column to a struct of them (see models.LanguageModel)."""
     t = F.col(text_col)
+    if parser is not None:
+        rows = sentences.withColumn("__a", parser(t))
+        return rows.select("*", *[F.col(f"__a.{n}") for n in ("entities", "indicative", "modal", "has_subject")]).drop("__a")
     return (
         sentences.withColumn("entities", tx.entities(t))
         .withColumn("indicative", F.lower(t).rlike(_INDICATIVE))

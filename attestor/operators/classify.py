@@ -37,6 +37,14 @@ def classify(chunks: DataFrame, model: PipelineModel, cfg: EngineConfig = DEFAUL
     return weighted_probability(both.select("doc_id", "weight", "x.label", "x.score"), "doc_id", cfg=cfg, first=F.col("label") == "real")
 
 
+def classify_with(chunks: DataFrame, model, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """:func:`classify` by a models.SequenceModel, whose labels are normalised; labels other than real and fake do not
+    count."""
+    scored = chunks.select("doc_id", "weight", F.posexplode(model(F.col("text"))).alias("k", "x"))
+    rows = scored.select("doc_id", "weight", "k", normalise_label(F.col("x.label")).alias("label"), F.col("x.score").alias("score"))
+    return weighted_probability(rows, "doc_id", cfg=cfg, first=F.col("k") == 0)
+
+
 def normalise_label(col):
     """Lower case, hyphens and spaces as underscores, other characters than letters, digits and underscores dropped."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col)), "[- ]+", "_"), "[^a-z0-9_]", "")

@@ -16,7 +16,7 @@ from ..functions import urls
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SEMANTIC = ("articlebody", "article", "main")
-MIN_BLOCK, MIN_TOTAL = 40, 300
+MIN_BLOCK, MIN_TOTAL, CRAWL_LEAST = 40, 300, 35
 
 
 class _Reader(HTMLParser):
@@ -152,6 +152,87 @@ def articles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     return out.withColumn("warnings", warnings)
 
 
+class _Plain(HTMLParser):
+    """Headings, paragraphs and list items of a page, each with the article and main elements around it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, int | None]] = []
+        self.gone, self.rooms, self.parts, self.title, self.all = 0, 0, [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        self.gone += tag in lx.CRAWL_REMOVED_TAGS
+        room = None
+        if tag in ("article", "main") and not self.gone:
+            room, self.rooms = self.rooms, self.rooms + 1
+        self.stack.append((tag, room))
+        if tag in lx.CRAWL_TEXT_TAGS and not self.gone:
+            self.parts.append({"rooms": {r for _, r in self.stack if r is not None}, "depth": len(self.stack), "text": [], "open": True})
+
+    def handle_endtag(self, tag):
+        if tag not in (t for t, _ in self.stack):
+            return
+        while self.stack:
+            name, _ = self.stack.pop()
+            self.gone -= name in lx.CRAWL_REMOVED_TAGS
+            for part in self.parts:
+                part["open"] &= part["depth"] <= len(self.stack)
+            if name == tag:
+                break
+
+    def handle_data(self, data):
+        text = data.strip()
+        if not text:
+            return
+        if any(t == "title" for t, _ in self.stack):
+            self.title.append(text)
+        if self.gone:
+            return
+        self.all.append(text)
+        for part in self.parts:
+            if part["open"]:
+                part["text"].append(text)
+
+
+def crawl_text(source: str | None) -> tuple[str, str]:
+    """(title, text) of a crawled page: what its articles or main parts, else the whole of it, say in headings, paragraphs
+    and list items of CRAWL_LEAST characters or more; all its text where there are none."""
+    reader = _Plain()
+    reader.feed(source or "")
+    reader.close()
+    rooms = range(reader.rooms) if reader.rooms else [None]
+    squeezed = lambda parts: " ".join(" ".join(parts).split())
+    texts = [squeezed(p["text"]) for r in rooms for p in reader.parts if r is None or r in p["rooms"]]
+    kept = [t for t in texts if len(t) >= CRAWL_LEAST]
+    return squeezed(reader.title), " ".join(kept) if kept else squeezed(reader.all)
+
+
+def crawled_pages(found: DataFrame, fetched: DataFrame, blocked: tuple[str, ...] = tuple(lx.BLOCKED_DOMAINS)) -> DataFrame:
+    """``url, final_url, title, body`` of the addresses that discovery gave (``url, title, summary``), each once: the text
+    of the page that was fetched (``url, final_url, status, content_type, body``), where it answered below status 400 with
+    text and neither address is barred; else the summary. Addresses without either are left out."""
+    names = "title string, body string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = pd.DataFrame([crawl_text(h) for h in batch["html"]], columns=["page_title", "page_body"])
+            yield pd.concat([batch[["url", "final_url"]].reset_index(drop=True), out], axis=1)
+
+    asked = found.where(urls.candidate_allowed(F.col("url"), blocked)).groupBy("url").agg(F.min(F.struct("title", "summary")).alias("a"))
+    final = F.coalesce("final_url", "url")
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    answered = fetched.where((F.col("status") < 400) & urls.candidate_allowed(final, blocked)).dropDuplicates(["url"])
+    barred = fetched.where((F.col("status") < 400) & ~urls.candidate_allowed(final, blocked)).select("url").distinct()
+    texts = answered.where((kind == "") | kind.contains("text") | kind.contains("html")).select("url", final.alias("final_url"), F.col("body").alias("html"))
+    parsed = texts.mapInPandas(run, f"url string, final_url string, page_{names.replace(', ', ', page_')}")
+    rows = asked.join(barred, "url", "left_anti").join(parsed, "url", "left")
+    filled = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.trim(F.coalesce(F.col(b), F.lit(""))))
+    out = rows.select("url", F.coalesce("final_url", "url").alias("final_url"), filled("page_title", "a.title").alias("title"), filled("page_body", "a.summary").alias("body"))
+    return out.where("body <> ''")
+
+
 def better(static: DataFrame, rendered: DataFrame) -> DataFrame:
     """Of two extractions of a page the one with more text, the static one if equal, with ``render_method``. The
     rendered one counts where the static one is scripted or short (under 1200 characters)."""

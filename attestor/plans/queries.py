@@ -741,7 +741,26 @@ def candidate_scores(spark, d):
     return rows.select("claim_id", "evidence_id", retrieve.relevant(rows, url="url", entities="entities").alias("relevant"), value.alias("candidate_score"))
 
 
-@query()
+_SQ = lambda x: f"trim(regexp_replace({x}, {q.quoted(tx.SPACE)}, ' ', 'g'))"
+_MARKS = q.quoted("[“”\"'’‘()\\[\\]{}:;|/\\\\]")
+_KEPT_ENTITIES = f"list_filter({_ENTITIES}, lambda e, i: list_position({_ENTITIES}, e) = i)"
+
+
+@query(
+    f"""WITH asked AS (SELECT item_id AS claim_id, text, {_KEPT_ENTITIES} AS ents, {_ENTITIES}[1] AS name FROM benchmark), {q.rag('asked', 'text', 1)},
+topics AS (SELECT *, coalesce(nullif({_KEYWORD}, ''), lower(name), nullif(array_to_string(list_filter(string_split(rag, ' ')[1:6], lambda t: length(t) > 3)[1:3], ' '), ''), 'geral') AS subject,
+  {_LOWER2} AS tokens, list_transform(flatten(list_transform(ents, lambda e: string_split(lower(e), ' '))), lambda w: w) AS own FROM rag_rows),
+kept AS (SELECT *, list_filter(tokens, lambda t: NOT list_contains({q.values(lx.QUERY_STOPWORDS)}, t) OR list_contains(own, t)) AS k,
+  array_to_string(string_split({_SQ(f"regexp_replace(text, {_MARKS}, ' ', 'g')")}, ' ')[1:18], ' ') AS head,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?%?'))), ' ') AS numbers FROM topics),
+parts AS (SELECT *, list_filter(list_concat(list_concat(list_filter(list_transform(ents[1:4], lambda e: {_SQ('e')}), lambda e: length(e) >= 4), CASE WHEN length(subject) >= 4 THEN [subject] ELSE [] END),
+  [numbers, head]), lambda p: p <> '') AS parts, array_to_string(CASE WHEN len(k) < 3 THEN list_filter(tokens, lambda t: length(t) > 2) ELSE k END, ' ') AS normalised,
+  concat_ws(' ', subject, array_to_string(ents[1:3], ' ')) AS topic FROM kept),
+options AS (SELECT *, list_filter([CASE WHEN trim(normalised) <> '' THEN trim(normalised) END, CASE WHEN length(text) >= 25 AND len(string_split_regex(text, {q.quoted(tx.SPACE)})) >= 5 THEN trim(text) END,
+  CASE WHEN length(topic) >= 20 AND len(string_split_regex(topic, {q.quoted(tx.SPACE)})) >= 3 THEN trim(topic) END], lambda o: o IS NOT NULL) AS opts FROM parts)
+SELECT claim_id, substr(array_to_string(list_filter(parts, lambda p, i: list_position(list_transform(parts, lambda x: {q.plain('x')}), {q.plain('p')}) = i), ' '), 1, 220) AS web,
+  CASE WHEN len(opts) = 0 THEN text ELSE array_to_string(list_filter(opts, lambda o, i: list_position(list_transform(opts, lambda x: lower(x)), lower(o)) = i), ' || ') END AS vector FROM options"""
+)
 def search_queries(spark, d):
     rows = _claims(spark, d).withColumn("entities", tx.entities(F.col("text")))
     rows = rows.withColumn("subject", tx.subject(F.col("text"), F.col("entities")))
@@ -813,7 +832,6 @@ def crawl_candidates(spark, d):
 _DEALT = f"""dealt AS (SELECT b.item_id AS claim_id, b.text AS claim, {_ENTITIES.replace('text', 'b.text')} AS ents, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) - 1 AS pos,
   'https://' || d.source || '.example.org/' || d.doc_id::VARCHAR AS url, substr(d.text, 1, 60) AS title, substr(d.text, 61, 400) AS more, d.text AS whole
   FROM benchmark b JOIN documents d ON d.doc_id % 20 = b.item_id % 20)"""
-_SQ = lambda x: f"trim(regexp_replace({x}, {q.quoted(tx.SPACE)}, ' ', 'g'))"
 _LEX = lambda c, t: f"(SELECT {q.rounded('least(sum(least(a.n, coalesce(b.n, 0))) / count(*), 1.0::DOUBLE)')} FROM (SELECT w, count(*) AS n FROM (SELECT unnest({q.words(f'lower({c})', tx.WORD3)}) AS w) GROUP BY w) a LEFT JOIN (SELECT w, count(*) AS n FROM (SELECT unnest({q.words(f'lower({t})', tx.WORD3)}) AS w) GROUP BY w) b USING (w))"
 
 

@@ -80,3 +80,8 @@ def fetch_table(urls, url_col: str = "url", timeout: float = 15.0, tries: int =
             yield pd.DataFrame([fetch(u, timeout, tries) for u in batch["url"]], columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     return urls.selectExpr(f"{url_col} as url").where("url is not null").distinct().mapInPandas(run, SCHEMA)
+
+
+def resolved(fetched):
+    """``url, final_url`` of fetched rows: where each address led, where that is an http address."""
+    return fetched.where("final_url rlike '(?i)^https?://'").select("url", "final_url").dropDuplicates(["url"])

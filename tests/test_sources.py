@@ -134,3 +134,47 @@ def test_sinks(spark, tmp_path):
 def test_config():
     cfg = EngineConfig.from_options({"top_k": "5", "semantic_weight": "bad", "trusted_domains": "www.A.com, b.com", "early_stop": "Sim"})
     assert (cfg.top_k, cfg.semantic_weight, cfg.trusted_domains, cfg.early_stop) == (5, 0.7, ("a.com", "b.com"), True)
+
+
+def test_feed_articles(spark):
+    from attestor.sources import seeds
+
+    para = "<p>Um parágrafo comprido o bastante para ser um bloco de texto inteiro, com assunto.</p>"
+    html = lambda n: "<article>" + "".join(para.replace("assunto", f"assunto {k}") for k in range(n)) + "</article>"
+    pages = spark.createDataFrame([(k, f"http://f.com/{k}", html(6 if k != 2 else 1)) for k in range(5)], "page_id long, url string, html string")
+    entries = spark.createDataFrame([("f1", k, f"http://f.com/{k}", f"T{k}") for k in range(4)] + [("f2", 0, "http://f.com/0", "again"), ("f2", 1, "http://f.com/4", "T4"), ("f2", 2, " ", "")], "feed string, pos int, url string, title string")
+    got = {r.base_doc_id: (r.metadata["title"], r.source_type) for r in seeds.feed_articles(entries, pages, per_feed=3).collect()}
+    assert got == {"0": ("T0", "rss_news"), "1": ("T1", "rss_news"), "4": ("T4", "rss_news")}
+
+
+def test_search_providers_and_titles(spark):
+    from attestor.sources import layers
+
+    settings = lambda rows: spark.createDataFrame(rows, "provider string, enabled boolean, key string")
+    assert layers.serp_provider(settings([("serper", True, "YOUR_KEY_HERE"), ("serpapi", True, "k"), ("searchapi", True, "k")])).first().provider == "serpapi"
+    assert layers.serp_provider(settings([("serper", False, "k")])).first().provider == "searchapi"
+    queries = spark.createDataFrame([("c", "q")], "claim_id string, query string")
+    made = layers.serp_requests(queries, layers.serp_provider(settings([("serper", True, "k")]))).first()
+    assert made.method == "POST" and made.params["q"] == "q" and "engine" not in made.params
+    claims = spark.createDataFrame([("c", "texto", ["A", "B", "C", "D"]), ("d", "a", ["A"])], "claim_id string, text string, entities array<string>")
+    asked = {(r.claim_id, r.pos): r["query"] for r in layers.title_requests(claims).collect()}
+    assert asked == {("c", 0): "A", ("c", 1): "B", ("c", 2): "C", ("c", 3): "texto", ("d", 0): "A"}
+    body = '["A", ["T1", "T2", "T3"], [], []]'
+    rows = [("c", "wikipedia", "A", 200, "application/json", body), ("c", "wikipedia", "B", 200, "application/json", '["B", ["T1"]]'), ("c", "wikipedia", "C", 429, "application/json", body)]
+    got = layers.titles(spark.createDataFrame(rows, "claim_id string, layer string, query string, status int, content_type string, body string")).collect()
+    assert {(r["query"], r.title) for r in got} == {("A", "T1"), ("A", "T2")}
+
+
+def test_proposed_sources_must_answer(spark):
+    import json
+
+    from attestor.sources import layers
+
+    text = "O Banco Central elevou a taxa básica de juros na reunião de ontem, segundo nota"
+    said = lambda url: json.dumps({"candidates": [{"content": {"parts": [{"text": json.dumps({"found": True, "url": url, "text": text, "title": "t", "source": "s", "relation": "support", "confidence": 0.9})}]}}]})
+    rows = [(c, "ai_fallback", "q", 200, "application/json", said(u)) for c, u in (("a", "http://ok.com/1"), ("b", "http://gone.com/2"), ("c", "ftp://x.com/3"))]
+    found = spark.createDataFrame(rows, "claim_id string, layer string, query string, status int, content_type string, body string")
+    claims = spark.createDataFrame([(c, "Banco Central elevou a taxa básica de juros", [], "http://own.com") for c in "abc"], "claim_id string, text string, entities array<string>, article_url string")
+    statuses = spark.createDataFrame([("http://ok.com/1", 200), ("http://gone.com/2", 404)], "url string, status int")
+    assert [r.claim_id for r in layers.candidates("ai_fallback", found, claims, statuses=statuses).collect()] == ["a"]
+    assert {r.claim_id for r in layers.candidates("ai_fallback", found, claims).collect()} == {"a", "b"}
