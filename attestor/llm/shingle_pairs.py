@@ -16,7 +16,7 @@ WORDS = 5
 #: Documents whose shingles are counted to find common ones, and the most of these that are kept.
 SAMPLE, COMMON = 5_000, 200_000
 #: Holders of a shingle are sorted by size; each meets so many before it, and those powers of two before it.
-LAGS = 32
+LAGS = 4
 #: Ids up to this many are broadcast when texts are read again.
 BROADCAST = 1_000_000
 #: Shingles that one task holds.
@@ -134,9 +134,9 @@ def shingle_prints(rows: DataFrame, common, bits_of) -> DataFrame:
 
 
 def by_shingle(rows: DataFrame, settle, many: int) -> DataFrame:
-    """``settle`` over whole groups of one ``tok``, the first column, sorted by the others;
-    there are about ``many`` rows."""
-    rows = rows.repartition(tasks_for(rows.sparkSession, many, TASK_ROWS), "tok").sortWithinPartitions(*rows.columns)
+    """``settle`` over whole groups of one ``tok``, the first column, sorted by ``n`` and ``node``; there are about ``many``
+    rows."""
+    rows = rows.repartition(tasks_for(rows.sparkSession, many, TASK_ROWS), "tok").sortWithinPartitions("tok", "n", "node")
 
     def run(batches):
         kept = None
@@ -187,27 +187,60 @@ def meet(lags: int):
     return settle
 
 
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of ``size`` bytes, or of more, folded to it, as rows of 64-bit words."""
+    out = np.empty((len(sketches), size), np.uint8)
+    for k, one in enumerate(sketches):
+        x = np.frombuffer(one, np.uint8)
+        while len(x) > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out.view(np.uint64)
+
+
 def meet_rest(rows):
-    """All pairs of a group that are not joined yet."""
-    tok, n, node, part = rows
+    """The pairs of a group that are not joined yet and whose sketches differ in few enough bits to be similar."""
+    tok, n, node, part, sketch = rows
     starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
     for a, b in zip(starts.tolist(), np.append(starts[1:], len(tok)).tolist()):
-        size, own, of = n[a:b].astype(np.int64), node[a:b], part[a:b]
+        size, own, of, drawn = n[a:b].astype(np.int64), node[a:b], part[a:b], sketch[a:b].tolist()
         if (of == of[0]).all():
             continue
-        for at in range(0, b - a, 256):
-            x = np.arange(at, min(at + 256, b - a))
-            i, j = np.nonzero((of[x][:, None] != of[None, :]) & (x[:, None] < np.arange(b - a)) & (5 * size[x][:, None] >= 4 * size[None, :]))
-            if len(i):
-                yield _pair_batch(own[x[i]], own[j], size[x[i]] + size[j])
-
-
-def verified(rows: DataFrame, prints: DataFrame, sketches: DataFrame, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b, n) that are similar: sketches discard, shingles decide."""
+        width = np.array([len(x) for x in drawn])
+        # similar sets are of sizes that differ by a quarter, so their sketches are of one length or one is twice the other
+        at_width = {}
+        for w in np.unique(width).tolist():
+            held = np.flatnonzero((width == w) | (width == 2 * w))
+            place = np.full(b - a, -1)
+            place[held] = np.arange(len(held))
+            at_width[w] = (place, _folded([drawn[k] for k in held.tolist()], w))
+        last = np.searchsorted(4 * size, 5 * size, "right")  # partners behind each row
+        for at in range(0, b - a, 64):
+            x = np.arange(at, min(at + 64, b - a))
+            y = np.arange(at, int(last[x].max()))
+            i, j = np.nonzero((of[x][:, None] != of[y][None, :]) & (x[:, None] < y[None, :]) & (y[None, :] < last[x][:, None]))
+            i, j = x[i], y[j]
+            low = np.minimum(width[i], width[j])
+            for w in np.unique(low).tolist():
+                place, words = at_width[w]
+                p, q = i[low == w], j[low == w]
+                step = max(1, (8 << 20) // w)
+                for k in range(0, len(p), step):
+                    s, t = p[k : k + step], q[k : k + step]
+                    different = np.bitwise_count(words[place[s]] ^ words[place[t]]).sum(axis=1, dtype=np.int64)
+                    near = 9 * different <= size[s] + size[t]
+                    if near.any():
+                        yield _pair_batch(own[s[near]], own[t[near]], size[s[near]] + size[t[near]])
+
+
+def verified(rows: DataFrame, prints: DataFrame, sketches: DataFrame | None, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Those of ``pairs`` (a, b, n) that are similar: ``sketches`` discard, where they have not yet, and shingles decide."""
     pairs = pairs.distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}")), side)
-    pairs = work.save(pairs.where(_possible("sa", "sb", "n")).select("a", "b", "n"), f"{name}_possible")
+    if sketches is not None:
+        for side in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}")), side)
+        pairs = pairs.where(_possible("sa", "sb", "n")).select("a", "b", "n")
+    pairs = work.save(pairs, f"{name}_possible")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     one = F.min(F.struct("doc_id", "h")).alias("one")
     wanted = work.save(prints.join(nodes, "node").groupBy("node").agg(one).select(F.col("one.doc_id").alias("i"), F.col("one.h").alias("k")), f"{name}_ids")

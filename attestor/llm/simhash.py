@@ -309,9 +309,9 @@ def _by_shingles(docs: DataFrame, id_col: str, text_col: str, lags: int, sample:
     wide = met.where("b is null")
     if not wide.isEmpty():
         held = wide.select("tok", "n", F.col("a").alias("node")).join(parts, "node", "left")
-        held = held.select("tok", "n", "node", F.coalesce("component", "node").alias("part"))
-        rest = work.save(sets.by_shingle(held, sets.meet_rest, wide.count()).select("a", "b", "n").distinct(), "rest")
-        found = found.unionByName(sets.verified(rows, prints, sketches, rest, work, "rest"))
+        held = held.select("tok", "n", "node", F.coalesce("component", "node").alias("part")).join(sketches, "node")
+        rest = sets.by_shingle(held.select("tok", "n", "node", "part", "sketch"), sets.meet_rest, 16 * wide.count()).select("a", "b", "n")
+        found = found.unionByName(sets.verified(rows, prints, None, rest, work, "rest"))
         parts = connected_components(found, work, "all")
     return prints.select("doc_id", "h", "node").join(_named(groups.select("node", "least"), parts.select("node", "component"), "node", work), "node")
 
