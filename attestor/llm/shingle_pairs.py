@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, tasks_for
+from .common import Workspace, release, tasks_for
 #: Words in a shingle. Two sets are similar where 5 * common >= 4 * joined, or size + size >= 9 * different.
 WORDS = 5
 #: Documents whose shingles are counted to find common ones, and the most of these that are kept.
@@ -129,6 +129,8 @@ def shingle_prints(rows: DataFrame, common, bits_of) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             names = ["doc_id", "h", "node", "n", "fp", "sketch", "prefix"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)], names)
+        del seen
+        release()
 
     return rows.mapInArrow(run, f"doc_id {kind}, h long, node long, n int, fp long, sketch binary, prefix array<long>")
 
@@ -150,6 +152,8 @@ def by_shingle(rows: DataFrame, settle, many: int) -> DataFrame:
                 kept = [x[last:].copy() for x in own]
         if kept is not None:
             yield from settle(kept)
+        del kept
+        release()
 
     return rows.mapInArrow(run, "a long, b long, n int, tok long")
 

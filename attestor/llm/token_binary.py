@@ -17,16 +17,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, tasks_for
+from .common import Workspace, release, tasks_for
 from .mixing_coder import BLOCK, decode_block, encode_block, lane_lengths
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Tokens in a segment, the unit of writing and reading: whole documents, cut into blocks.
-SEGMENT = 3_000_000
+SEGMENT = 2_000_000
 #: Bytes of text that one task sorts and encodes.
 TASK_BYTES = 64 << 20
 #: Bytes of text that are encoded at a time.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 6 << 20
 MAGIC = b"ATOK"
 _HEAD = struct.Struct("<4sHIQQII")  # magic, version, alphabet, tokens, bytes of the table, its crc32, blocks
 _BLOCK = struct.Struct("<III")  # tokens, 32-bit words, crc32 of the ids as 32-bit integers and the coded bytes
@@ -60,7 +60,7 @@ class Encoder:
     other steps. A test holds the result against the encoding of whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -265,6 +265,7 @@ def write_tokens(
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
+        release()
         encoder, shard = _encoder(path_of), TaskContext.get().partitionId()
         held, keys, counts, size, part = [], [], [], 0, 0
 
@@ -289,6 +290,8 @@ def write_tokens(
                     held, keys, counts, size, part = [], [], [], 0, part + 1
         if keys:
             yield emit()
+        del held, keys, counts
+        release()
 
     rows.mapInArrow(run, "shard int, part int, data binary").write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
