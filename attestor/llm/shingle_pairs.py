@@ -115,7 +115,7 @@ def shingle_prints(rows: DataFrame, common, bits_of) -> DataFrame:
 
     def run(batches):
         order, seen = common.value, set()
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             out = [[], [], [], [], []]
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), WORDS)
