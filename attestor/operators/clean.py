@@ -43,7 +43,7 @@ def squeeze_repeats(col: Column) -> Column:
 
 def drop_short_lines(col: Column, least: int = 15) -> Column:
     """Lines trimmed; those of 1 to ``least`` - 1 characters dropped, empty ones kept."""
-    lines = F.transform(F.split(col, "\n"), F.trim)
+    lines = F.transform(F.split(col, "\n"), lambda x: F.trim(x))  # F.trim itself would get the line's number as the characters to trim
     return F.trim(F.array_join(F.filter(lines, lambda x: (x == "") | (F.length(x) >= least)), "\n"))
 
 

@@ -127,6 +127,12 @@ def test_clean(spark, text, want):
     assert texts(spark, text).select(clean.clean(F.col("text")).alias("x")).first().x == want
 
 
+def test_short_lines_lose_only_spaces_at_their_ends(spark):
+    lines = ["0997523947200283 begins with the line's number", "  1219538112535716 with spaces around 1  ", "2 lines before 2", "", "short 4"]
+    got = texts(spark, "\n".join(lines)).select(clean.drop_short_lines(F.col("text")).alias("x")).first().x
+    assert got == "\n".join([lines[0], lines[1].strip(), lines[2], ""])
+
+
 def test_clean_rendered(spark):
     df = texts(spark, "palavraOutra antes {" + "k:1," * 30 + "} depois de tudo")
     assert df.select(clean.clean(F.col("text"), rendered=True).alias("x")).first().x == "palavra Outra antes depois de tudo"
