@@ -2,11 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Links that one task joins.
+TASK_LINKS = 1_000_000
+
+
+def stars(edges: DataFrame, many: int, each: int = TASK_LINKS) -> DataFrame:
+    """``a, b``: links that join the same nodes as ``edges`` (longs, about ``many`` rows), each node at most once in a
+    task as ``a``, with the smallest node that it reaches there. A dense group of g nodes leaves fewer than g links for
+    each ``each`` of its edges."""
+
+    def run(batches):
+        ends = [np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in batches]
+        nodes, at = np.unique(np.concatenate(ends, axis=1) if ends else np.empty((2, 0), np.int64), return_inverse=True)
+        least = list(range(len(nodes)))
+        for x, y in at.reshape(2, -1).T.tolist():
+            while least[x] != x:
+                least[x] = x = least[least[x]]
+            while least[y] != y:
+                least[y] = y = least[least[y]]
+            least[max(x, y)] = min(x, y)
+        for x, y in enumerate(least):  # least[x] <= x, and those before are settled
+            least[x] = least[y]
+        top = np.array(least, np.int64)
+        own = np.flatnonzero(top != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), pa.array(nodes[top[own]], pa.int64())], ["a", "b"])
+
+    edges = edges.select("a", "b").where("a is not null and b is not null")
+    return edges.repartition(max(1, -(-int(many) // each))).mapInArrow(run, "a long, b long")
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the same nodes as those that gave the components ``parts``."""
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
 
 def connected_components(edges: DataFrame, work: Workspace, name: str = "cc", max_rounds: int = 100) -> DataFrame:
     """Smallest reachable node of every node that has an edge.

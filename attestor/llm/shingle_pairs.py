@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, release, tasks_for
+from .components import stars
+
 #: Words in a shingle. Two sets are similar where 5 * common >= 4 * joined, or size + size >= 9 * different.
 WORDS = 5
 #: Documents whose shingles are counted to find common ones, and the most of these that are kept.
@@ -166,8 +168,8 @@ def _pair_batch(a, b, size, tok=None) -> pa.RecordBatch:
 
 
 def meet(lags: int):
-    """Pairs of sets with a common prefix shingle, all of those up to ``lags`` places apart; and the rows of groups
-    that hold others (b null)."""
+    """Pairs of sets with a common prefix shingle, all of those up to ``lags`` places apart, with their distance for
+    ``tok``; and the rows of groups that hold others (b null)."""
 
     def settle(rows):
         tok, n, node = rows
@@ -180,7 +182,7 @@ def meet(lags: int):
                 break
             at = np.flatnonzero(same & (5 * n[:-lag] >= 4 * n[lag:]))
             if len(at):
-                yield _pair_batch(node[at], node[at + lag], n[at] + n[at + lag])
+                yield _pair_batch(node[at], node[at + lag], n[at] + n[at + lag], np.full(len(at), lag))
             lag = lag + 1 if lag < lags else 1 << lag.bit_length()
         starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[: len(tok)])
         many = np.diff(np.append(starts, len(tok)))
@@ -238,13 +240,15 @@ def meet_rest(rows):
 
 
 def verified(rows: DataFrame, prints: DataFrame, sketches: DataFrame | None, pairs: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b, n) that are similar: ``sketches`` discard, where they have not yet, and shingles decide."""
+    """``a, b``: links that join those of ``pairs`` (a, b, n) that are similar: ``sketches`` discard, where they have not
+    yet, and shingles decide. Of the links of a dense group stars are left (see stars)."""
     pairs = pairs.distinct()
     if sketches is not None:
         for side in ("a", "b"):
             pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}")), side)
         pairs = pairs.where(_possible("sa", "sb", "n")).select("a", "b", "n")
     pairs = work.save(pairs, f"{name}_possible")
+    many = pairs.count()
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     one = F.min(F.struct("doc_id", "h")).alias("one")
     wanted = work.save(prints.join(nodes, "node").groupBy("node").agg(one).select(F.col("one.doc_id").alias("i"), F.col("one.h").alias("k")), f"{name}_ids")
@@ -261,4 +265,4 @@ def verified(rows: DataFrame, prints: DataFrame, sketches: DataFrame | None, pai
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("own").alias(f"o{side}")), side)
     both = F.size(F.array_intersect("oa", "ob"))
-    return work.save(pairs.where(5 * both >= 4 * (F.col("n") - both)).select("a", "b"), f"{name}_links")
+    return work.save(stars(pairs.where(5 * both >= 4 * (F.col("n") - both)), many), f"{name}_links")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import shingle_pairs as sets
 from .common import Workspace, free_names, tasks_for
-from .components import connected_components
+from .components import connected_components, joined
 from .shingle_pairs import shingle_hashes
 
 #: References are random 64-bit words of a fixed generator, the same on every executor.
@@ -300,18 +300,26 @@ def _by_shingles(docs: DataFrame, id_col: str, text_col: str, lags: int, sample:
     dealt = prints.where("prefix is not null").select(F.explode("prefix").alias("tok"), "n", "node")
     many = prints.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0)).alias("s")).first()["s"]
     met = work.save(sets.by_shingle(dealt, sets.meet(lags), many), "met")
-    pairs = both.unionByName(met.where("b is not null").select("a", "b", "n"))
-    involved = met.select(F.col("a").alias("node")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    paired = both.withColumn("tok", F.lit(0).cast("long")).unionByName(met.where("b is not null"))
+    involved = met.select(F.col("a").alias("node")).unionByName(paired.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     sketches = prints.where("sketch is not null").select("node", "sketch").join(involved, "node", "left_semi").dropDuplicates(["node"])
     sketches = work.save(sketches, "sketches")
-    found = sets.verified(rows, prints, sketches, pairs, work, "near")
+    found = sets.verified(rows, prints, sketches, paired.where(F.col("tok") <= lags).select("a", "b", "n"), work, "near")
     parts = connected_components(found, work, "cc")
+    # of pairs further apart those that are not joined yet
+    far = work.save(paired.where(F.col("tok") > lags).select("a", "b", "n").distinct(), "far")
+    if not far.isEmpty():
+        for side in ("a", "b"):
+            far = far.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        far = far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "n")
+        found = joined(parts).unionByName(sets.verified(rows, prints, sketches, far, work, "far"))
+        parts = connected_components(found, work, "fc")
     wide = met.where("b is null")
     if not wide.isEmpty():
         held = wide.select("tok", "n", F.col("a").alias("node")).join(parts, "node", "left")
         held = held.select("tok", "n", "node", F.coalesce("component", "node").alias("part")).join(sketches, "node")
         rest = sets.by_shingle(held.select("tok", "n", "node", "part", "sketch"), sets.meet_rest, 16 * wide.count()).select("a", "b", "n")
-        found = found.unionByName(sets.verified(rows, prints, None, rest, work, "rest"))
+        found = joined(parts).unionByName(sets.verified(rows, prints, None, rest, work, "rest"))
         parts = connected_components(found, work, "all")
     return prints.select("doc_id", "h", "node").join(_named(groups.select("node", "least"), parts.select("node", "component"), "node", work), "node")
 
@@ -327,7 +335,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     common differ in ten bits on average, so fingerprints alone would lose most links: other candidates are pairs that
     share a rare shingle. Similar sets share one among the first fifth in any order, so each set is dealt by these,
     rare ones first, and no similar pair is left out but those joined by others. Of a shingle with many holders, near
-    ones meet first and then those that are not joined yet. Equal sets are one; texts are never shuffled by shingle.
+    ones meet first, then some further apart and then all others, each time those that are not joined yet. Equal sets are one; texts are never shuffled by shingle.
     """
     return _by_shingles(docs, id_col, text_col, lags, sample).select("doc_id", "component_id")
 

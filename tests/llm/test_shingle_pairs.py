@@ -73,3 +73,25 @@ def test_pipeline_stage_drops_edited_copies(spark, words):
 
 def test_empty_table(spark):
     assert simhash.keep_similar_one(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_dense_groups_are_joined_by_few_rows(spark, words, monkeypatch):
+    rng, rows = random.Random(13), []
+    base = rng.choices(words, k=200)
+    for i in range(300):
+        own = base.copy()
+        for k in rng.sample(range(200), rng.choice([1, 2, 3])):
+            own[k] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    sizes, save = {}, simhash.Workspace.save
+
+    def counted(self, df, table):
+        out = save(self, df, table)
+        sizes[table] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash.Workspace, "save", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.component_id for r in simhash.similar_documents(docs).collect()} == {0}
+    assert sizes["cc_0"] < 300 and sizes["near_possible"] < 20 * 300
+    assert sizes["far"] > 0 and sizes.get("far_possible", 0) == 0
