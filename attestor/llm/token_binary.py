@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import re
 import struct
-import unicodedata
 import zlib
 from functools import cache
 from itertools import chain
@@ -34,7 +32,8 @@ _TAIL = ".,!?;:"
 #: The steps of a vocabulary whose pieces between white space can be encoded apart, and words by themselves.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _STEPS = {"NFC", "Replace", "Lowercase"}
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Letters that NFC leaves as they are and that lower-case to one letter, which U+0130 does not.
+_LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -55,12 +54,12 @@ class Encoder:
 
     Where the vocabulary's normaliser and splitter are known never to join across white space, each different piece
     between ASCII white space is encoded once and kept, in bounded memory; a word of Latin letters, alone or before
-    punctuation marks, goes straight to the library's byte-pair model, since normalisation leaves it a word. Letters that
-    NFC changes or that lower-case to several are left to the whole of the library, as are all texts of a vocabulary of
-    other steps. A test holds the result against the encoding of whole texts.
+    punctuation marks, goes straight to the library's byte-pair model, since normalisation leaves it a word. Other
+    letters, which NFC may change or which may lower-case to several, are left to the whole of the library, as are all
+    texts of a vocabulary of other steps. A test holds the result against the encoding of whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -122,28 +121,20 @@ class Encoder:
     def _parts(self, pieces: pa.Array) -> np.ndarray:
         """The numbers of each different piece's word, or of itself, and of the punctuation behind the word."""
         body = pc.ascii_rtrim(pieces, characters=_TAIL)
-        plain = pc.ascii_is_alpha(body)
+        latin = pc.match_substring_regex(body, _LATIN)
         out = np.zeros((len(pieces), 2), np.int64)
-        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
-        words = body.filter(plain)
-        words = (pc.ascii_lower(words) if self.lower else words).dictionary_encode()
+        at = np.flatnonzero(latin.to_numpy(zero_copy_only=False))
+        words = body.filter(latin)
+        words = (pc.utf8_lower(words) if self.lower else words).dictionary_encode()
         out[at, 0] = self._numbers(_strings(words.dictionary), self._words)[words.indices.to_numpy(zero_copy_only=False)]
-        tailed = pc.and_(plain, pc.not_equal(pc.binary_length(pieces), pc.binary_length(body)))
-        tails = [p[len(p.rstrip(_TAIL)) :] for p in _strings(pieces.filter(tailed))]
-        out[np.flatnonzero(tailed.to_numpy(zero_copy_only=False)), 1] = self._numbers(tails, self._any)
-        at = np.flatnonzero(pc.invert(plain).to_numpy(zero_copy_only=False))
-        word, whole = ([], [], []), ([], [])
-        for k, p in zip(at.tolist(), _strings(pieces.filter(pc.invert(plain)))):
-            b = p.rstrip(_TAIL)
-            low = b.lower() if self.lower else b
-            if _LATIN.fullmatch(b) and len(low) == len(b) and unicodedata.is_normalized("NFC", b):
-                for to, x in zip(word, (k, low, p[len(b) :])):
-                    to.append(x)
-            else:
-                for to, x in zip(whole, (k, p)):
-                    to.append(x)
-        out[word[0], 0], out[word[0], 1] = self._numbers(word[1], self._words), self._numbers(word[2], self._any)
-        out[whole[0], 0] = self._numbers(whole[1], self._any)
+        behind = pc.subtract(pc.binary_length(pieces), pc.binary_length(body)).to_numpy()
+        behind = np.where(latin.to_numpy(zero_copy_only=False), behind, 0)
+        for many in np.unique(behind[behind > 0]).tolist():
+            at = np.flatnonzero(behind == many)
+            tails = pc.utf8_slice_codeunits(pieces.take(pa.array(at)), -many).dictionary_encode()
+            out[at, 1] = self._numbers(_strings(tails.dictionary), self._any)[tails.indices.to_numpy(zero_copy_only=False)]
+        whole = pc.invert(latin)
+        out[np.flatnonzero(whole.to_numpy(zero_copy_only=False)), 0] = self._numbers(_strings(pieces.filter(whole)), self._any)
         return out
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

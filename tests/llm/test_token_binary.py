@@ -1,7 +1,9 @@
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,3 +143,24 @@ def test_text_ids(spark):
     got = T.token_output(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, "a", "a", "b", "é"]
     assert sorted(r.n_tokens for r in got) == [1, 2, 2, 2, 3]
+
+
+def test_letters_that_are_encoded_as_words():
+    """Each is in normal form C, alone and behind others, and Arrow lower-cases it to the one letter that it should."""
+    letters = pa.array([chr(c) for c in range(1, 0xD800)])
+    kept = pc.match_substring_regex(letters, T._LATIN)
+    low = pc.utf8_lower(letters.filter(kept)).to_pylist()
+    held = letters.filter(kept).to_pylist()
+    assert len(held) == 449 and "İ" not in held and low == [c.lower() for c in held] and max(map(len, low)) == 1
+    assert unicodedata.is_normalized("NFC", "".join(held)) and not any(map(unicodedata.combining, held))
+
+
+def test_words_met_before_are_not_encoded_again():
+    """Of many different words, as many as a worker meets in some hundred MB of text."""
+    encoder, asked = T.Encoder(T.vocabulary_path()), []
+    words = encoder._words
+    encoder._words = lambda fresh: asked.append(len(fresh)) or words(fresh)
+    text = [" ".join(f"é{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(at, at + 100_000)) for at in (0, 100_000, 200_000)]
+    for t in text + text:
+        encoder.batch(pa.array([t, t + "!"]))
+    assert asked == [100_000] * 3
