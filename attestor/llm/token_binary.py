@@ -24,7 +24,7 @@ SEGMENT = 2_000_000
 #: Bytes of text that one task sorts and encodes.
 TASK_BYTES = 64 << 20
 #: Bytes of text that are encoded at a time.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 2 << 20
 MAGIC = b"ATOK"
 _HEAD = struct.Struct("<4sHIQQII")  # magic, version, alphabet, tokens, bytes of the table, its crc32, blocks
 _BLOCK = struct.Struct("<III")  # tokens, 32-bit words, crc32 of the ids as 32-bit integers and the coded bytes
@@ -56,10 +56,11 @@ class Encoder:
     between ASCII white space is encoded once and kept, in bounded memory; a word of Latin letters, alone or before
     punctuation marks, goes straight to the library's byte-pair model, since normalisation leaves it a word. Other
     letters, which NFC may change or which may lower-case to several, are left to the whole of the library, as are all
-    texts of a vocabulary of other steps. A test holds the result against the encoding of whole texts.
+    texts of a vocabulary of other steps. Beyond ``limit`` pieces only those met again since the last time are kept. A
+    test holds the result against the encoding of whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 320_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,24 +80,34 @@ class Encoder:
         )
         self.lower = "Lowercase" in steps
         self.letters = _byte_letters()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number = {"": 0}  # of each piece that is kept
+        self.number = {"": 0}  # of each piece that is kept, in their order
         self.first, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.met = np.zeros(1024, bool)  # pieces met again
         self.store, self.used = np.empty(4096, self.kind), 0
 
+    def _forget(self) -> None:
+        """Drops the pieces not met again, and the later ones where half of the limit were."""
+        kept = np.flatnonzero(self.met[: len(self.number)])
+        kept = np.append(0, kept[kept > 0][: self.limit // 2])
+        self.store, ends = _gather(self.store, self.first[kept], self.size[kept])
+        self.size = self.size[kept]
+        self.first, self.used = ends - self.size, len(self.store)
+        self.met = np.zeros(len(kept), bool)
+        names = list(self.number)
+        self.number = {names[i]: k for k, i in enumerate(kept.tolist())}
+
     def _keep(self, pieces: list[str], ids: list[list[int]]) -> None:
         at, many = len(self.number), len(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, many)
         total = int(sizes.sum())
         if at + many > len(self.first):
             room = 2 * (at + many)
-            self.first, self.size = np.resize(self.first, room), np.resize(self.size, room)
+            self.first, self.size, self.met = np.resize(self.first, room), np.resize(self.size, room), np.resize(self.met, room)
         if self.used + total > len(self.store):
             self.store = np.resize(self.store, 2 * (self.used + total))
         self.first[at : at + many] = self.used + np.cumsum(sizes) - sizes
         self.size[at : at + many] = sizes
+        self.met[at : at + many] = False
         self.store[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.kind, total)
         self.used += total
         self.number.update(zip(pieces, range(at, at + many)))
@@ -104,6 +115,7 @@ class Encoder:
     def _numbers(self, pieces: list[str], encode) -> np.ndarray:
         get = self.number.get
         out = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        self.met[out[out >= 0]] = True
         if len(out) and out.min() < 0:
             fresh = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(out < 0).tolist()))
             self._keep(fresh, encode(fresh))
@@ -294,6 +306,8 @@ def read_tokens(spark: SparkSession, path: str, *, id_type: str = "long", with_i
     extra = ", ids array<int>" if with_ids else ""
 
     def run(batches):
+        _encoder.cache_clear()  # what the worker has written is done
+        release()
         for batch in batches:
             for shard, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 ids, table = read_segment(data.as_buffer().to_pybytes())

@@ -164,3 +164,30 @@ def test_words_met_before_are_not_encoded_again():
     for t in text + text:
         encoder.batch(pa.array([t, t + "!"]))
     assert asked == [100_000] * 3
+
+
+def word(k):
+    return "q" + "".join(chr(97 + k // 26**i % 26) for i in range(5))
+
+
+def test_pieces_are_forgotten_but_for_those_met_again():
+    encoder, asked = T.Encoder(T.vocabulary_path(), limit=3000), []
+    words = encoder._words
+    encoder._words = lambda fresh: asked.extend(fresh) or words(fresh)
+    often = [f"often{chr(97 + k)}" for k in range(20)]
+    for at in range(0, 20_000, 1000):
+        texts = [" ".join(often), " ".join(map(word, range(at, at + 1000))) + "!"]
+        ids, counts = encoder.batch(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == direct(texts)
+        assert len(encoder.number) <= 3000 + 1000 + 30
+    assert len(asked) == 20_000 + 20
+
+
+def test_a_worker_keeps_some_hundred_thousand_pieces():
+    """However many it meets: two workers and the JVM share an executor's memory."""
+    encoder, most = T.Encoder(T.vocabulary_path()), 0
+    encoder._words = lambda fresh: [[1]] * len(fresh)
+    for at in range(0, 800_000, 50_000):
+        encoder.batch(pa.array([" ".join(map(word, range(at, at + 50_000)))]))
+        most = max(most, len(encoder.number))
+    assert most < 400_000 and len(encoder.store) < 1_600_000
